@@ -315,12 +315,14 @@ def abandoned(by_config: bool) -> str:
               and date_trunc('day', i.created_at) < (select max(created_at) - interval '30' day from sales_order_item)
               and date_trunc('day', i.created_at) > (select max(created_at) - interval '150' day from sales_order_item)""",
     )
-    ties = "fk, unmatched, sid, code, simple_id, config_id, state, paid_price, productsku"
+    # Ties only differ in their path to the campaign and in the catalogue rows: those come last.
+    tied = "fk unmatched order_nr customer sku state paid_price sid code simple_id config_id productsku"
+    ties = ", ".join(f"{column} nulls first" for column in tied.split())
     ranked = (
         "ranked",
         f"""select *, row_number() over (partition by id order by {ties}) as in_item,
-                   row_number() over (partition by order_nr order by id, {ties}) as in_order,
-                   row_number() over (partition by customer order by id, {ties}) as in_customer
+                   row_number() over (partition by order_nr order by id nulls first, {ties}) as in_order,
+                   row_number() over (partition by customer order by id nulls first, {ties}) as in_customer
             from rows_found""",
     )
     stages = {"_bef_cancel": GROSS, "_bef_return": NET, "": AFTER}
@@ -474,9 +476,10 @@ def forecast(part: str, minimum: int = 30) -> str:
         "sold",
         """select * from sales_order_item
            where date_trunc('day', created_at) < (select max(created_at) - interval '30' day from sales_order_item)
-             and date_trunc('day', created_at) >= (select max(created_at) - interval '150' day from sales_order_item)""",
+             and date_trunc('day', created_at) >= (select max(created_at) - interval '150' day from sales_order_item)
+             and dwh_shipment_state not in ('item_invalid')""",
     )
-    kept = f"count(id_sales_order_item) filter (where dwh_shipment_state not in {GROSS})"
+    kept = "count(id_sales_order_item)"
     canceled = "count(id_sales_order_item) filter (where dwh_shipment_state = 'item_canceled')"
     returned = f"count(id_sales_order_item) filter (where dwh_shipment_state in {SENT_BACK})"
 
@@ -492,9 +495,11 @@ def forecast(part: str, minimum: int = 30) -> str:
         "config_level",
         f"""select 'shop' as venture, config_sku, brand, n as sold_items_before_cancellation, canceled_items,
                    returned_items, {rate('returned_items', '(n - canceled_items)')} as return_rate_config_lvl
-            from (select config_sku, coalesce(brand, 'unspecified') as brand, {kept} as n
-                  from sold join config_map on sold.sku = config_map.sku group by 1, 2 having n > 0)
-            join config_sums on config_sku = c""",
+            from (select config_sku, p.brand, n, coalesce(canceled_items, 0) as canceled_items,
+                         coalesce(returned_items, 0) as returned_items
+                  from (select config_sku, coalesce(brand, 'unspecified') as brand, {kept} as n
+                        from sold join config_map on sold.sku = config_map.sku group by 1, 2) p
+                  left join config_sums on config_sku = c)""",
     )
     brand = (
         "brand_level",
@@ -502,15 +507,14 @@ def forecast(part: str, minimum: int = 30) -> str:
                    {rate('r', '(n - c)')} as return_rate_brand_lvl
             from (select coalesce(brand, 'unspecified') as brand, {kept} as n, {canceled} as c, {returned} as r
                   from sold join (select distinct sku, brand from product) p on sold.sku = p.sku
-                  group by 1 having n > 0)""",
+                  group by 1)""",
     )
     total = (
         "total_level",
         f"""select 'shop' as venture, n as sold_items_before_cancellation,
                    {rate('r', '(n - c)')} as return_rate_total_lvl, {rate('c', 'n')} as cancel_rate_total_lvl
-            from (select {kept} as n, {canceled} as c from sold),
-                 (select {returned} as r from sold join product on sold.sku = product.sku)
-            where n > 0""",
+            from (select 'shop' as v, {kept} as n, {canceled} as c from sold group by v),
+                 (select {returned} as r from sold join product on sold.sku = product.sku)""",
     )
     chosen = (
         "chosen",

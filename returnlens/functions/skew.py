@@ -14,7 +14,7 @@ No join is forced to broadcast here: Spark compares the real size with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 16
@@ -34,6 +34,16 @@ def spread_join(
     return sliced.join(copies, [on, "_slice"], how).drop("_slice")
 
 
+def known(key: str | Column) -> Column:
+    """The key with '' for NULL, for a result that several joins share.
+
+    Tables hold no '' (it is read as NULL), so such a row matches nothing, as a NULL would. But
+    a key that cannot be NULL gets no IS NOT NULL filter pushed below the shared result, hence
+    all its uses stay the same plan and Spark runs the shuffle beneath them once.
+    """
+    return F.coalesce(key, F.lit(""))
+
+
 def row_counts(table: DataFrame, *keys: str) -> DataFrame:
     """One row per key with the number of rows it stands for."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))

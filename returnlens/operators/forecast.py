@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, whole_days_from
 from returnlens.functions.rates import count_rate, quotient
-from returnlens.functions.skew import row_counts
+from returnlens.functions.skew import known, row_counts
 from returnlens.functions.states import CANCELED, GROSS, SENT_BACK, inside, outside
 
 PERIOD = Lookback(start=150, end=30)
@@ -29,11 +29,12 @@ def catalog_config_map(product: DataFrame) -> DataFrame:
 def sku_counts(items: DataFrame, lookback: Lookback = PERIOD) -> DataFrame:
     """Sold (not invalid), canceled and returned item rows of the period per simple sku.
 
-    All levels start from this table, so the items are read, filtered and shuffled once, and a
-    hot sku or brand is a single row in every join that follows.
+    All levels start from this table and need all of it, so the items are read, filtered and
+    shuffled once, and a hot sku or brand is a single row in every join that follows. Items
+    without a sku stand under ''.
     """
     in_period = items.filter(whole_days_from(items, "created_at", lookback) & outside(GROSS))
-    return in_period.groupBy("sku").agg(
+    return in_period.groupBy(known("sku").alias("sku")).agg(
         F.count("id_sales_order_item").alias("sold"),
         F.count(F.when(inside([CANCELED]), F.col("id_sales_order_item"))).alias("canceled"),
         F.count(F.when(inside(SENT_BACK), F.col("id_sales_order_item"))).alias("returned"),
@@ -59,18 +60,21 @@ def total_level_rates(
 
 
 def config_level_of(counts: DataFrame, product: DataFrame, venture: str) -> DataFrame:
-    """Per (config sku, brand): own sales, and the config's cancels and returns over all its brands."""
+    """Per (config sku, brand): own sales, and the config's cancels and returns over all its brands.
+
+    The window holds one row per brand of a config, already summed.
+    """
     mapped = counts.join(catalog_config_map(product), "sku")
     per_brand = mapped.groupBy("config_sku", _brand().alias("brand")).agg(*_sums())
-    per_config = per_brand.groupBy(F.col("config_sku").alias("whole_config")).agg(
-        F.sum("canceled").alias("canceled_items"), F.sum("returned").alias("returned_items")
-    )
+    config = Window.partitionBy("config_sku")
+
+    def over_brands(name: str) -> Column:
+        return F.when(F.col("config_sku").isNull(), F.lit(0)).otherwise(F.sum(name).over(config))
+
     sold, canceled, returned = F.col("sold"), F.col("canceled_items"), F.col("returned_items")
     return (
-        per_brand.select("config_sku", "brand", "sold")
-        .join(per_config, F.col("config_sku") == F.col("whole_config"), "left")
-        .withColumn("canceled_items", F.coalesce(canceled, F.lit(0)))
-        .withColumn("returned_items", F.coalesce(returned, F.lit(0)))
+        per_brand.withColumn("canceled_items", over_brands("canceled"))
+        .withColumn("returned_items", over_brands("returned"))
         .select(
             F.lit(venture).alias("venture"),
             "config_sku",

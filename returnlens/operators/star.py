@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, date_id_bounds
 from returnlens.functions.rates import difference_rate
-from returnlens.functions.skew import row_counts
+from returnlens.functions.skew import known, row_counts
 
 PERIOD = Lookback(start=78, end=30)
 SOLD = ("sold_articles_bef_return", "sold_articles")
@@ -44,28 +44,30 @@ def product_sales(
 
 
 def star_sku_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
-    return sku_sales_of(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback))
+    sales = product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
+    return sales.groupBy(F.col("sku").alias("product_sku")).agg(*_sums())
 
 
 def star_sku_attributes(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
     """Sku sales with the targetgroup and description valid at the end of the period."""
-    sales = star_sku_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
-    return with_attributes(sales, fct_sales, dim_dates, dim_products, lookback)
+    sales = product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
+    return with_attributes(level_sales(sales, "sku"), fct_sales, dim_dates, dim_products, lookback)
 
 
 def star_targetgroup_rates(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
-    return rates_of(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "targetgroup")
+    return _rates(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "targetgroup")
 
 
 def star_description_rates(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
-    return rates_of(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "description")
+    return _rates(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "description")
 
 
-def sku_sales_of(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.col("sku").alias("product_sku")).agg(*_sums())
+def level_sales(sales: DataFrame, level: str) -> DataFrame:
+    """Both sums per value of one level, '' for a missing value: the form to join to."""
+    return sales.groupBy(known(level).alias(level)).agg(*_sums())
 
 
-def rates_of(sales: DataFrame, level: str) -> DataFrame:
+def _rates(sales: DataFrame, level: str) -> DataFrame:
     before, after = (F.col(n) for n in SOLD)
     return sales.groupBy(level).agg(*_sums()).withColumn(f"return_rate_{level}", difference_rate(before, after))
 
@@ -90,7 +92,7 @@ def with_attributes(
     valid = dim_products.filter((F.col("valid_from") <= end_date) & (F.col("valid_to") >= end_date)).select(
         F.col("sku").alias("product_sku"), "targetgroup", "description"
     )
-    return sku_sales.join(valid, "product_sku").select("product_sku", "targetgroup", "description", *SOLD)
+    return sku_sales.withColumnRenamed("sku", "product_sku").join(valid, "product_sku").select("product_sku", "targetgroup", "description", *SOLD)
 
 
 def _sums(weight: Column | None = None) -> list[Column]:

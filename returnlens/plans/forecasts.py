@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback
 from returnlens.functions.rates import fallback_rate, rounded_difference_rate
-from returnlens.functions.skew import spread_join
+from returnlens.functions.skew import known, spread_join
 from returnlens.operators import forecast, returns, star
 
 
@@ -30,7 +30,7 @@ def config_brand_forecast(
     own = counts.select(
         "productsku", "brand", before.alias("own_count"), rounded_difference_rate(before, after, 2).alias("own_rate")
     )
-    brand = counts.groupBy("brand").agg(F.sum(before).alias("bef_return"), F.sum(after).alias("aft_return"))
+    brand = counts.groupBy(known("brand").alias("brand")).agg(F.sum(before).alias("bef_return"), F.sum(after).alias("aft_return"))
     brand = brand.select(
         "brand", before.alias("brand_count"), rounded_difference_rate(before, after, 2).alias("brand_rate")
     )
@@ -62,13 +62,13 @@ def star_return_forecast(
     sales = star.product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
     before, after = (F.col(n) for n in star.SOLD)
     rate = rounded_difference_rate(before, after, 2)
-    own = star.with_attributes(star.sku_sales_of(sales), fct_sales, dim_dates, dim_products, lookback).select(
+    own = star.with_attributes(star.level_sales(sales, "sku"), fct_sales, dim_dates, dim_products, lookback).select(
         "product_sku", "targetgroup", "description", before.alias("own_count"), rate.alias("own_rate")
     )
-    targetgroup = star.rates_of(sales, "targetgroup").select(
+    targetgroup = star.level_sales(sales, "targetgroup").select(
         "targetgroup", before.alias("targetgroup_count"), rate.alias("targetgroup_rate")
     )
-    description = star.rates_of(sales, "description").select("description", rate.alias("description_rate"))
+    description = star.level_sales(sales, "description").select("description", rate.alias("description_rate"))
     chosen = fallback_rate(
         F.col("own_count"),
         F.col("own_rate"),

@@ -36,6 +36,18 @@ ITEM_STATE = """
          else 'item_delivered' end"""
 
 
+# Columns used of the shared test tables. Stating them spares a schema lookup per read.
+RAW = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_linestatus string"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "events": "event_id bigint, event_type string",
+}
+
+
 def simple_sku(key: str) -> str:
     return f"concat('C', {key} - {key} % 4, '-', {key} % 4)"
 
@@ -49,7 +61,7 @@ class SampleTables:
         return declared(getattr(self, f"_{name}")(), name)
 
     def _raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def _sales_order(self) -> DataFrame:
         return self._raw("orders").selectExpr(
@@ -67,15 +79,17 @@ class SampleTables:
     def _sales_order_item(self) -> DataFrame:
         orders = self._raw("orders").selectExpr("o_orderkey", f"{ORDER_TIME} as created_at")
         part = self._raw("part").select("p_partkey", F.col("p_name").alias("name"))
-        current = f"named_struct('dwh_shipment_state', {ITEM_STATE}, 'dg_end_date', {OPEN_END})"
-        history = f"named_struct('dwh_shipment_state', 'item_delivered', 'dg_end_date', {CLOSED_END})"
         items = self._raw("lineitem").selectExpr(
+            "*", "explode(case when l_orderkey % 50 = 1 then array(0, 1) else array(0) end) as history"
+        )
+        items = items.selectExpr(
             f"{ITEM_ID} as id_sales_order_item",
             "l_orderkey as fk_sales_order",
             "l_partkey",
             f"{simple_sku('l_partkey')} as sku",
             "cast(l_extendedprice as decimal(12,2)) as paid_price",
-            f"inline(case when l_orderkey % 50 = 1 then array({current}, {history}) else array({current}) end)",
+            f"case when history = 1 then 'item_delivered' else {ITEM_STATE} end as dwh_shipment_state",
+            f"case when history = 1 then {CLOSED_END} else {OPEN_END} end as dg_end_date",
         )
         return items.join(orders, items.fk_sales_order == orders.o_orderkey).join(
             part, items.l_partkey == part.p_partkey
