@@ -1,15 +1,13 @@
-"""Joins and multiplicities that stay balanced when one key holds a large share of the rows.
+"""Joins that stay balanced when one key holds a large share of the rows.
 
-Three rules are used throughout the operators:
+Both sides of a join are aggregated to one row per key wherever the result allows it. Where one
+side must keep its rows (items, sessions, catalogue rows), the other side comes from
+``once_per_key``: then both sides are shuffled directly under the join, which is the shape in
+which adaptive execution cuts a hot partition into pieces of the advisory size. Rows are never
+paired copy by copy; a side that occurs several times carries its number instead.
 
-* aggregate before joining, so that both sides hold a key once;
-* where a side must keep one row per item, join it to a side whose aggregation key is
-  *wider* than the join key. Spark then shuffles that side directly under the join, which is
-  the shape in which adaptive execution can cut a hot partition into pieces;
-* where a small aggregate is joined back to many rows, spread both sides over slices.
-
-No join is forced to broadcast here: Spark compares the real size with
-``spark.sql.autoBroadcastJoinThreshold`` and falls back to a shuffle join beyond it.
+Apart from two sides that are bounded by construction, no join is forced to broadcast: Spark
+compares the measured size with ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
 """
 
 from __future__ import annotations
@@ -17,21 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICES = 16
-VERSION_SLICES = 4
-
 
-def spread_join(
-    left: DataFrame, right: DataFrame, on: str, by: str | tuple[str, ...], how: str = "inner"
-) -> DataFrame:
-    """Join a small pre-aggregated ``right`` to ``left`` whose ``on`` values may be very uneven.
+def once_per_key(table: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """One row per key, combined before the shuffle.
 
-    Left rows of one key go to a slice picked by ``by``; the right row stands in every slice.
+    An aggregate grouped by the key alone would be joined in place, without a shuffle of its own,
+    and the other side's hot partition would stay whole. Grouping by the key and its hash gives
+    the same rows but leaves them partitioned by more than the key.
     """
-    columns = (by,) if isinstance(by, str) else by
-    sliced = left.withColumn("_slice", F.pmod(F.xxhash64(*columns), F.lit(SLICES)).cast("int"))
-    copies = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    return sliced.join(copies, [on, "_slice"], how).drop("_slice")
+    hashed = table.withColumn("_hash", F.xxhash64(key))
+    if not aggregates:
+        return hashed.select(key, "_hash").distinct().select(key)
+    return hashed.groupBy(key, "_hash").agg(*aggregates).drop("_hash")
 
 
 def known(key: str | Column) -> Column:
@@ -45,17 +40,10 @@ def known(key: str | Column) -> Column:
 
 
 def row_counts(table: DataFrame, *keys: str) -> DataFrame:
-    """One row per key with the number of rows it stands for."""
+    """One row per combination of keys with the number of rows it stands for."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def order_versions(orders: DataFrame) -> DataFrame:
-    """Rows per order id, in at most ``VERSION_SLICES`` parts.
-
-    An order that occurs several times multiplies its items; carrying the number instead of
-    the rows avoids pairing every copy of the order with every copy of its items.
-    """
-    part = F.pmod(F.xxhash64("created_at"), F.lit(VERSION_SLICES))
-    return orders.groupBy("id_sales_order", part.alias("order_slice")).agg(
-        F.count(F.lit(1)).alias("order_rows")
-    )
+def order_rows(orders: DataFrame) -> DataFrame:
+    """Each order id with its number of rows: an order listed several times multiplies its items."""
+    return once_per_key(orders, "id_sales_order", F.count(F.lit(1)).alias("order_rows"))

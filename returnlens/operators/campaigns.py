@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, now, timestamp, whole_days_after
 from returnlens.functions.rates import MONEY, difference_rate, rounded_difference_rate
-from returnlens.functions.skew import order_versions
+from returnlens.functions.skew import once_per_key, order_rows
 from returnlens.functions.states import AFTER_RETURN, GROSS, NET_OF_CANCEL, flag, outside
 from returnlens.operators.units import UNIT_KEY, flagged_items, ordered_units, sums
 
@@ -29,23 +29,19 @@ def mentions(column: str, pattern: str) -> Column:
 def reached_orders(
     web_orders: DataFrame, web_campaigns: DataFrame, confdata: DataFrame, pattern: str = PATTERN
 ) -> DataFrame:
-    """Order numbers with a session of a campaign whose category mentions the pattern.
-
-    Semi joins only, so several sessions or campaigns per order never multiply rows. An order
-    number may occur more than once.
-    """
-    codes = confdata.filter(mentions("category_4th_level", pattern)).select("datasourcevalue")
+    """Order numbers with a session of a campaign whose category mentions the pattern, each once."""
+    matching = confdata.filter(mentions("category_4th_level", pattern))
+    codes = once_per_key(matching, "datasourcevalue")
     sessions = web_campaigns.join(codes, web_campaigns.campaign == codes.datasourcevalue, "left_semi")
-    return web_orders.join(sessions.select("sid"), "sid", "left_semi").select(
-        F.col("order_id").alias("order_nr")
-    )
+    reached = web_orders.join(once_per_key(sessions, "sid"), "sid", "left_semi")
+    return once_per_key(reached.select(F.col("order_id").alias("order_nr")), "order_nr")
 
 
 def order_list_return_rate(items: DataFrame, orders: DataFrame, order_list: DataFrame) -> DataFrame:
     """Per config sku, for the orders whose number is in ``order_list`` (column ``order_nr``)."""
-    listed = orders.join(order_list.select("order_nr"), "order_nr", "left_semi")
+    listed = orders.join(once_per_key(order_list, "order_nr"), "order_nr", "left_semi")
     counts = dict(zip(PRODUCT_COUNTS, (GROSS, AFTER_RETURN)))
-    units = ordered_units(items, _distinct_versions(listed), counts)
+    units = ordered_units(items, _distinct_orders(listed), counts)
     return _product_rate(units.groupBy("productsku").agg(*sums(PRODUCT_COUNTS)))
 
 
@@ -68,21 +64,29 @@ def non_campaign_return_rate(
     before, after = PRODUCT_COUNTS
     counts = {before: NET_OF_CANCEL, after: AFTER_RETURN}
     placed = _placed_between(orders, start, end)
-    units = ordered_units(items, _distinct_versions(placed), counts)
+    units = ordered_units(items, _distinct_orders(placed), counts)
 
     reached = _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts)
     # NET_OF_CANCEL holds for every reached row; the second flag tells which of them count
     # after returns as well.
-    hits = reached.groupBy(F.col("id_sales_order_item").alias("reached_id")).agg(
-        F.max(before).alias("hit_before"), F.max(after).alias("hit_after")
+    hits = once_per_key(
+        reached.withColumnRenamed("id_sales_order_item", "reached_id"),
+        "reached_id",
+        F.max(before).alias("hit_before"),
+        F.max(after).alias("hit_after"),
     )
     matched = units.join(hits, units.id_sales_order_item == hits.reached_id, "left")
     free = {name: F.coalesce(hit, F.lit(0)) == 0 for name, hit in ((before, "hit_before"), (after, "hit_after"))}
     if ids_may_be_null:
+        without_id = F.col("id_sales_order_item").isNull()
+        ends = reached.agg(
+            *(F.max(n).alias(f"any_{n}") for n in counts),
+            *(F.max(F.when(without_id, F.col(n))).alias(f"null_{n}") for n in counts),
+        )
         for name in counts:
-            hit = reached.filter(F.col(name) == 1)
-            no_null = ~hit.filter(F.col("id_sales_order_item").isNull()).exists()
-            free[name] &= no_null & (F.col("id_sales_order_item").isNotNull() | ~hit.exists())
+            some = F.coalesce(ends.select(f"any_{name}").scalar(), F.lit(0)) == 1
+            null = F.coalesce(ends.select(f"null_{name}").scalar(), F.lit(0)) == 1
+            free[name] &= ~null & ~(without_id & some)
     kept = matched.select("productsku", *(F.when(free[n], F.col(n)).otherwise(0).alias(n) for n in counts))
     return _product_rate(
         kept.filter((F.col(before) > 0) | (F.col(after) > 0)).groupBy("productsku").agg(*sums(counts))
@@ -162,13 +166,13 @@ def _placed_between(orders: DataFrame, start: datetime, end: datetime) -> DataFr
     return orders.filter(F.col("created_at").between(timestamp(start), timestamp(end)))
 
 
-def _distinct_versions(orders: DataFrame) -> DataFrame:
-    return order_versions(orders.select("id_sales_order", "order_nr", "created_at").distinct())
+def _distinct_orders(orders: DataFrame) -> DataFrame:
+    return order_rows(orders.select("id_sales_order", "order_nr", "created_at").distinct())
 
 
 def _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts) -> DataFrame:
     numbers = reached_orders(web_orders, web_campaigns, confdata, pattern)
-    reached = placed.join(numbers, "order_nr", "left_semi").select("id_sales_order")
+    reached = once_per_key(placed.join(numbers, "order_nr", "left_semi"), "id_sales_order")
     flagged = flagged_items(items, counts)
     return flagged.join(reached, flagged.fk_sales_order == reached.id_sales_order, "left_semi")
 
@@ -199,9 +203,9 @@ def _tracked_orders(web_orders, web_visitors, web_campaigns, confdata, pattern)
     codes = confdata.select("datasourcevalue", flag(mentions("campaign", pattern)).alias("abandoned")).distinct()
     sessions = (
         web_campaigns.join(codes, web_campaigns.campaign == codes.datasourcevalue)
+        .join(once_per_key(web_visitors, "sid"), "sid", "left_semi")
         .select("sid", "abandoned")
         .distinct()
-        .join(web_visitors.select("sid"), "sid", "left_semi")
     )
     return web_orders.join(sessions, "sid").select(F.col("order_id").alias("order_nr"), "abandoned").distinct()
 
@@ -220,7 +224,8 @@ def _first_entries(
         (F.col("dg_end_date") > moment) & whole_days_after(items, "created_at", lookback)
     ).select("id_sales_order_item", "fk_sales_order", "sku", "dwh_shipment_state", "paid_price")
     simple, config = _current_catalogue(product, as_of)
-    listed = simple.join(config, simple.parent_id == config.config_id, "left_semi").select("sku")
+    configs = once_per_key(config, "config_id")
+    listed = once_per_key(simple.join(configs, simple.parent_id == configs.config_id, "left_semi"), "sku")
 
     tracked = _tracked_orders(web_orders, web_visitors, web_campaigns, confdata, pattern)
     placed = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, whole_days_from
 from returnlens.functions.rates import count_rate, quotient
-from returnlens.functions.skew import known, row_counts
+from returnlens.functions.skew import known, once_per_key, row_counts
 from returnlens.functions.states import CANCELED, GROSS, SENT_BACK, inside, outside
 
 PERIOD = Lookback(start=150, end=30)
@@ -90,7 +90,7 @@ def config_level_of(counts: DataFrame, product: DataFrame, venture: str) -> Data
 def brand_level_of(counts: DataFrame, product: DataFrame, venture: str) -> DataFrame:
     """Per brand, over the distinct (sku, brand) pairs of every product type."""
     brands = product.select("sku", "brand").distinct()
-    per_brand = counts.join(brands, "sku").groupBy(_brand().alias("brand")).agg(*_sums())
+    per_brand = once_per_key(counts.join(brands, "sku").withColumn("brand", _brand()), "brand", *_sums())
     sold, canceled, returned = (F.col(n) for n in COUNTS)
     return per_brand.select(
         F.lit(venture).alias("venture"),

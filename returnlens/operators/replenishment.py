@@ -9,12 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.periods import aged_at_most, aged_exactly, now, rounded_age, timestamp
-from returnlens.functions.skew import spread_join
+from returnlens.functions.skew import once_per_key
 from returnlens.functions.states import NET_OF_CANCEL, outside
 
-# Columns that tell catalogue rows of one sku apart.
-ACTIVITY_TIMES = ("activated_at", "created_at")
-
 
 @dataclass(frozen=True)
 class Observation:
@@ -73,13 +70,12 @@ def days_without_stock(stock: DataFrame, seen: Observation = Observation()) -> D
     empty = seen.current(stock).filter(
         aged_at_most("stock_date", seen.moment, seen.days) & (F.col("quantity") == 0)
     )
-    return empty.groupBy("sku").agg(F.count("stock_date").alias("days_without_stock"))
+    return once_per_key(empty, "sku", F.count("stock_date").alias("days_without_stock"))
 
 
 def visibility_period(product: DataFrame, stock: DataFrame, seen: Observation = Observation()) -> DataFrame:
     """Active days less days without stock; the whole period for a sku never out of stock."""
-    active = days_active(product, seen)
-    joined = spread_join(active, days_without_stock(stock, seen), "sku", ACTIVITY_TIMES, "left")
+    joined = days_active(product, seen).join(days_without_stock(stock, seen), "sku", "left")
     return joined.select("sku", visible_days(seen).alias("visibility_period"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, open_period
 from returnlens.functions.rates import difference_rate, rounded_difference_rate
-from returnlens.functions.skew import order_versions, row_counts
+from returnlens.functions.skew import order_rows, row_counts
 from returnlens.functions.states import (
     AFTER_CANCEL_EXCH,
     AFTER_RETURN,
@@ -36,7 +36,7 @@ def period_units(
 ) -> DataFrame:
     """Distinct items ordered within the period."""
     in_period = orders.filter(open_period(orders, "created_at", lookback))
-    return ordered_units(items, order_versions(in_period), counts)
+    return ordered_units(items, order_rows(in_period), counts)
 
 
 def return_rate_by_name(items: DataFrame, orders: DataFrame, lookback: Lookback = PERIOD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.functions.skew import order_versions, row_counts
+from returnlens.functions.skew import once_per_key, order_rows, row_counts
 from returnlens.functions.states import AFTER_RETURN_OLD, BEFORE_RETURN_REJ, flag, outside
 
 
@@ -38,7 +38,8 @@ def product_order_listing(product: DataFrame, items: DataFrame, orders: DataFram
     sold = items.select(F.col("sku").alias("item_sku"), "fk_sales_order")
     timed = sold.join(placed, sold.fk_sales_order == placed.id_sales_order, "left")
     listed = catalogue.join(timed, catalogue.product_sku == timed.item_sku)
-    unsold = catalogue.join(sold, catalogue.product_sku == sold.item_sku, "left_anti")
+    sold_skus = once_per_key(sold, "item_sku")
+    unsold = catalogue.join(sold_skus, catalogue.product_sku == sold_skus.item_sku, "left_anti")
     columns = ["parent_id", "entity_id", "product_sku", "type_id", "item_sku", "created_at"]
     return listed.select(*columns).unionByName(
         unsold.withColumn("item_sku", F.lit(None).cast("string")).withColumn(
@@ -71,10 +72,10 @@ def sold_articles_tagged(product: DataFrame, items: DataFrame, orders: DataFrame
     per_order = items.filter(outside(set(BEFORE_RETURN_REJ) & set(AFTER_RETURN_OLD))).groupBy(
         "sku", "fk_sales_order"
     ).agg(*tags)
-    versions = order_versions(orders)
+    placed = order_rows(orders)
     times = F.coalesce("order_rows", F.lit(1))
     per_sku = (
-        per_order.join(versions, per_order.fk_sales_order == versions.id_sales_order, "left")
+        per_order.join(placed, per_order.fk_sales_order == placed.id_sales_order, "left")
         .groupBy("sku")
         .agg(*(F.sum(F.col(n) * times).alias(n) for n in counts))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, date_id_bounds
 from returnlens.functions.rates import difference_rate
-from returnlens.functions.skew import known, row_counts
+from returnlens.functions.skew import known, once_per_key, row_counts
 
 PERIOD = Lookback(start=78, end=30)
 SOLD = ("sold_articles_bef_return", "sold_articles")
@@ -64,7 +64,7 @@ def star_description_rates(fct_sales, dim_dates, dim_articles, dim_products, loo
 
 def level_sales(sales: DataFrame, level: str) -> DataFrame:
     """Both sums per value of one level, '' for a missing value: the form to join to."""
-    return sales.groupBy(known(level).alias(level)).agg(*_sums())
+    return once_per_key(sales.withColumn(level, known(level)), level, *_sums())
 
 
 def _rates(sales: DataFrame, level: str) -> DataFrame:

@@ -21,20 +21,17 @@ def flagged_items(items: DataFrame, counts: Mapping[str, Iterable[str]]) -> Data
     )
 
 
-def ordered_units(items: DataFrame, versions: DataFrame, counts: Mapping[str, Iterable[str]]) -> DataFrame:
-    """Distinct items of the given order versions, each count multiplied by the order's rows.
+def ordered_units(items: DataFrame, placed: DataFrame, counts: Mapping[str, Iterable[str]]) -> DataFrame:
+    """Distinct items of the given orders, each count multiplied by the order's rows.
 
     Several rows of one item (its history) count once per set of states, however many of them
-    fall into the set. ``versions`` comes from ``order_versions``. The shuffle that brings
-    items to their order also serves the deduplication.
+    fall into the set. ``placed`` comes from ``order_rows``. The shuffle that brings items to
+    their order also serves the deduplication.
     """
     flagged = flagged_items(items, counts)
-    extra = [c for c in versions.columns if c not in ("id_sales_order", "order_slice", "order_rows")]
-    joined = flagged.join(versions, flagged.fk_sales_order == versions.id_sales_order)
-    units = joined.groupBy(*UNIT_KEY, "order_slice").agg(
-        *(F.max(name).alias(name) for name in counts),
-        F.max("order_rows").alias("order_rows"),
-        *(F.max(name).alias(name) for name in extra),
+    joined = flagged.join(placed, flagged.fk_sales_order == placed.id_sales_order)
+    units = joined.groupBy(*UNIT_KEY).agg(
+        *(F.max(name).alias(name) for name in counts), F.max("order_rows").alias("order_rows")
     )
     return units.select(
         "id_sales_order_item",
@@ -42,10 +39,8 @@ def ordered_units(items: DataFrame, versions: DataFrame, counts: Mapping[str, It
         "name",
         config_prefix("sku").alias("productsku"),
         *((F.col(name) * F.col("order_rows")).alias(name) for name in counts),
-        *extra,
     )
 
 
-def sums(names: Iterable[str], weight: Column | None = None) -> list[Column]:
-    """A sum per count, each row taken ``weight`` times."""
-    return [F.sum(F.col(n) if weight is None else F.col(n) * weight).alias(n) for n in names]
+def sums(names: Iterable[str]) -> list[Column]:
+    return [F.sum(n).alias(n) for n in names]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback
 from returnlens.functions.rates import fallback_rate, rounded_difference_rate
-from returnlens.functions.skew import known, spread_join
+from returnlens.functions.skew import known, once_per_key
 from returnlens.operators import forecast, returns, star
 
 
@@ -30,7 +30,12 @@ def config_brand_forecast(
     own = counts.select(
         "productsku", "brand", before.alias("own_count"), rounded_difference_rate(before, after, 2).alias("own_rate")
     )
-    brand = counts.groupBy(known("brand").alias("brand")).agg(F.sum(before).alias("bef_return"), F.sum(after).alias("aft_return"))
+    brand = once_per_key(
+        counts.withColumn("brand", known("brand")),
+        "brand",
+        F.sum(before).alias("bef_return"),
+        F.sum(after).alias("aft_return"),
+    )
     brand = brand.select(
         "brand", before.alias("brand_count"), rounded_difference_rate(before, after, 2).alias("brand_rate")
     )
@@ -42,7 +47,7 @@ def config_brand_forecast(
         F.round(F.lit(all_return_rate), 2),
         minimum,
     )
-    return spread_join(own, brand, "brand", "productsku", "left").select(
+    return own.join(brand, "brand", "left").select(
         F.col("productsku").alias("sku"),
         "brand",
         chosen.alias("return_rate_forecast"),
@@ -77,8 +82,7 @@ def star_return_forecast(
         F.col("description_rate"),
         minimum,
     )
-    joined = spread_join(own, targetgroup, "targetgroup", "product_sku")
-    return spread_join(joined, description, "description", "product_sku").select(
+    return own.join(targetgroup, "targetgroup").join(description, "description").select(
         "product_sku", "targetgroup", "description", chosen.alias("return_rate_forecast")
     )
 
@@ -111,7 +115,7 @@ def return_cancel_forecast(
     )
     # The total is one row by construction (grouped by a constant).
     return (
-        spread_join(config, brand, "brand", "config_sku")
+        config.join(brand, "brand")
         .join(F.broadcast(total), "venture")
         .select(
             "config_sku",

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.rates import quotient
-from returnlens.functions.skew import spread_join
 from returnlens.operators.replenishment import (
-    ACTIVITY_TIMES,
     Observation,
     days_active,
     days_without_stock,
@@ -29,12 +27,14 @@ def replenishment_report(
     """Sales rate, days of stock and sell-through per visible simple sku.
 
     A figure whose divisor is 0 is NULL. Sales and stock are one row per sku (stock on hand: per
-    sku and stock time) before they meet; the catalogue rows are then joined once.
+    sku and stock time) before they meet; the catalogue rows are then joined once. ``distinct``
+    drops no row: as in ``once_per_key`` it keeps a sku with many catalogue rows divisible.
     """
     activity = (
         days_without_stock(stock, seen)
         .join(sales_in_observation(items, seen), "sku", "full")
-        .join(stock_on_hand(stock, seen).select("sku", "amount_on_stock"), "sku", "full")
+        .join(stock_on_hand(stock, seen), "sku", "full")
+        .distinct()
     )
     sold, visible, amount = (
         F.col("sold_items_before_return"),
@@ -42,7 +42,8 @@ def replenishment_report(
         F.col("amount_on_stock"),
     )
     return (
-        spread_join(days_active(product, seen), activity, "sku", ACTIVITY_TIMES, "left")
+        days_active(product, seen)
+        .join(activity, "sku", "left")
         .withColumn("sold_items_before_return", F.coalesce(sold, F.lit(0)))
         .withColumn("visibility_period", visible_days(seen))
         .select(

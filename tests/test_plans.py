@@ -1,0 +1,211 @@
+"""Plans at scale: scans, pushdown, reuse and hot keys. Small joins are kept from broadcasting."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+from plans import final_text, nodes, scans
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from returnlens.functions.periods import Lookback
+from returnlens.operators import campaigns, forecast, returns, sales, star
+from returnlens.operators.replenishment import Observation, days_without_stock, stock_on_hand
+from returnlens.plans.forecasts import config_brand_forecast, return_cancel_forecast, star_return_forecast
+from returnlens.sources.schemas import SCHEMAS
+
+NEWEST = datetime(2001, 8, 1, 7)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """The sample tables as Parquet folders, so scans show which columns and filters reach them."""
+    from returnlens.sources.sample import SampleTables
+
+    folder = tmp_path_factory.mktemp("stored")
+    sample = SampleTables(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        sample.table(name).write.parquet(f"{folder}/{name}")
+    return lambda name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+
+
+@pytest.fixture
+def shuffle_joins(conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+
+
+def test_flagship_reads_the_items_once_and_once_for_the_bounds(stored, shuffle_joins):
+    plan = return_cancel_forecast(stored("sales_order_item"), stored("product"), "shop")
+    assert scans(plan, "dwh_shipment_state") == 1
+    assert scans(plan, "created_at", "sku") == 1
+
+
+def test_config_brand_forecast_reads_the_items_once(stored, shuffle_joins):
+    plan = config_brand_forecast(stored("sales_order_item"), stored("sales_order"), stored("product"))
+    assert scans(plan, "dwh_shipment_state") == 1
+
+
+def test_star_forecast_reads_the_fact_once(stored, shuffle_joins):
+    plan = star_return_forecast(*(stored(n) for n in ("fct_sales", "dim_dates", "dim_articles", "dim_products")))
+    assert scans(plan, "article_id", "sold_articles") == 1
+
+
+@pytest.mark.parametrize("name", ["return_rate_by_sku", "brand_return_cancel_rates", "order_list_return_rate"])
+def test_items_are_shuffled_once_for_join_and_deduplication(stored, shuffle_joins, name):
+    plan = entry.REGISTRY[name].run(stored)
+    assert scans(plan, "dwh_shipment_state") == 1
+    wide = [n for n in nodes(plan) if n.nodeName() == "Exchange" and "id_sales_order_item" in n.output().toString()]
+    assert len(wide) == 1
+
+
+def test_scans_read_only_needed_columns(stored):
+    plan = forecast.sku_counts(stored("sales_order_item"))
+    read = [set(n.requiredSchema().fieldNames()) for n in nodes(plan) if n.nodeName().startswith("Scan parquet")]
+    assert sorted(map(sorted, read)) == [
+        ["created_at"],
+        ["created_at", "dwh_shipment_state", "id_sales_order_item", "sku"],
+    ]
+
+
+def pushed(frame, column: str) -> str:
+    found = [
+        node.metadata().apply("PushedFilters") if node.metadata().contains("PushedFilters") else ""
+        for node in nodes(frame)
+        if node.nodeName().startswith("Scan parquet")
+    ]
+    return " ".join(f for f in found if column in f)
+
+
+def test_known_newest_row_makes_the_period_a_pushed_range_without_a_second_scan(stored):
+    plan = forecast.sku_counts(stored("sales_order_item"), Lookback(150, 30, NEWEST))
+    assert scans(plan, "created_at") == 1
+    assert "GreaterThanOrEqual(created_at,2001-03-05T00:00)" in pushed(plan, "created_at")
+    assert "LessThan(created_at,2001-07-03T00:00)" in pushed(plan, "created_at")
+
+
+def test_known_newest_row_gives_the_same_counts(stored):
+    items = stored("sales_order_item")
+    newest = items.agg(F.max("created_at")).first()[0]
+    known = forecast.sku_counts(items, Lookback(150, 30, newest))
+    assert sorted(known.collect()) == sorted(forecast.sku_counts(items).collect())
+    orders = stored("sales_order")
+    newest = orders.agg(F.max("created_at")).first()[0]
+    known = returns.return_rate_by_sku(items, orders, Lookback(78, 30, newest))
+    assert sorted(known.collect()) == sorted(returns.return_rate_by_sku(items, orders).collect())
+    tables = [stored(n) for n in ("fct_sales", "dim_dates", "dim_articles", "dim_products")]
+    newest = tables[0].agg(F.max("date_id")).first()[0]
+    known = star.star_sku_sales(*tables, Lookback(400, 30, newest))
+    assert sorted(known.collect()) == sorted(star.star_sku_sales(*tables, Lookback(400, 30)).collect())
+
+
+def test_ages_and_dates_are_pushed_ranges(stored):
+    seen = Observation(as_of=datetime(2001, 8, 2, 9))
+    assert "GreaterThan(stock_date,2001-07-22T21:00)" in pushed(days_without_stock(stored("stock"), seen), "stock_date")
+    on_hand = pushed(stock_on_hand(stored("stock"), seen), "stock_date")
+    assert "GreaterThan(stock_date,2001-07-31T21:00)" in on_hand
+    assert "LessThanOrEqual(stock_date,2001-08-01T21:00)" in on_hand
+    web = [stored(n) for n in entry.WEB]
+    march = campaigns.campaign_return_rate(
+        stored("sales_order_item"), stored("sales_order"), *web, datetime(2000, 8, 1), datetime(2000, 8, 31)
+    )
+    assert "GreaterThanOrEqual(created_at,2000-08-01T00:00)" in pushed(march, "created_at")
+
+
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    """A third of the items share one order, another third one sku; a third of the sessions one campaign."""
+    folder = tmp_path_factory.mktemp("hot")
+    open_end = "timestamp_ntz '9999-12-31 00:00:00' as dg_end_date"
+    times = "case when id = 0 then timestamp_ntz '2001-08-01 00:00:00' else timestamp_ntz '2001-06-01 00:00:00' end"
+
+    def write(name, count, *columns):
+        spark.range(0, count, 1, 8).selectExpr(*columns).write.parquet(f"{folder}/{name}")
+
+    write(
+        "sales_order_item",
+        90000,
+        "id as id_sales_order_item",
+        "case when id % 3 = 1 then 7 else id % 6000 end as fk_sales_order",
+        "case when id % 3 = 2 then 'C0-0' else concat('C', id % 5000, '-', id % 4) end as sku",
+        "'n' as name",
+        "cast(1.5 as decimal(12,2)) as paid_price",
+        "'item_delivered' as dwh_shipment_state",
+        f"{times} as created_at",
+        open_end,
+    )
+    write(
+        "sales_order",
+        6000,
+        "id as id_sales_order",
+        "concat('N', id) as order_nr",
+        "id % 100 as mage_customer_entity_id",
+        f"{times} as created_at",
+        open_end,
+    )
+    write(
+        "product",
+        10000,
+        "case when id < 5000 then concat('C', id, '-', id % 4) else concat('C', id - 5000) end as sku",
+        "case when id < 5000 then 'simple' else 'configurable' end as type_id",
+        "case when id < 5000 then id else 1000000 + id - 5000 end as entity_id",
+        "case when id < 5000 then 1000000 + id end as parent_id",
+        "'b' as brand",
+        "1 as status",
+        "'Own Warehouse' as inventory_type",
+        "cast(null as timestamp_ntz) as activated_at",
+        "timestamp_ntz '2001-06-01 00:00:00' as created_at",
+        open_end,
+    )
+    write("web_orders", 60000, "concat('N', id % 6000) as order_id", "case when id % 3 = 0 then 1 else id end as sid")
+    write("web_visitors", 60000, "id as sid")
+    write("web_campaigns", 60000, "id as sid", "case when id % 3 = 0 then 'c1' else concat('c', id % 200) end as campaign")
+    kind = "case when id % 2 = 1 then 'Abandoned' else 'other' end"
+    write("web_confdata", 200, "concat('c', id) as datasourcevalue", f"{kind} as campaign", f"{kind} as category_4th_level")
+    write("order_list", 6000, "concat('N', id) as order_nr")
+    return lambda name: spark.read.parquet(f"{folder}/{name}")
+
+
+MAY = (datetime(2001, 5, 1), datetime(2001, 8, 1))
+
+
+@pytest.mark.parametrize(
+    "operator, tables, parameters",
+    [
+        (returns.return_rate_by_sku, (entry.ITEMS, entry.ORDERS), {}),
+        (config_brand_forecast, (entry.ITEMS, entry.ORDERS, "product"), {}),
+        (campaigns.order_list_return_rate, (entry.ITEMS, entry.ORDERS, "order_list"), {}),
+        (campaigns.campaign_return_rate, (entry.ITEMS, entry.ORDERS, *entry.WEB), {"start": MAY[0], "end": MAY[1]}),
+        (campaigns.non_campaign_return_rate, (entry.ITEMS, entry.ORDERS, *entry.WEB), {"start": MAY[0], "end": MAY[1]}),
+        (campaigns.reached_orders, entry.WEB, {}),
+        (
+            campaigns.abandoned_campaign_totals,
+            (entry.ITEMS, entry.ORDERS, "product", *entry.ALL_WEB),
+            {"as_of": datetime(2001, 8, 2)},
+        ),
+        (sales.product_order_listing, ("product", entry.ITEMS, entry.ORDERS), {}),
+    ],
+    ids=lambda value: getattr(value, "__name__", ""),
+)
+def test_hot_keys_are_cut_into_pieces(hot, conf, shuffle_joins, operator, tables, parameters):
+    frames = [hot(name) for name in tables]
+    expected = sorted(map(str, operator(*frames, **parameters).collect()))
+    conf(
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="3",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        spark__sql__shuffle__partitions="24",
+    )
+    plan = operator(*frames, **parameters)
+    assert sorted(map(str, plan.collect())) == expected
+    joins = [line for line in final_text(plan).splitlines() if line.startswith("SortMergeJoin(skew=true)")]
+    assert joins, final_text(plan)
+
+
+def test_broadcast_hints_only_on_bounded_sides():
+    """The only hints are on the dates of a period and on the one-row total."""
+    from pathlib import Path
+
+    package = Path(entry.__file__).parent / "returnlens"
+    hinted = [p.name for p in package.rglob("*.py") if "F.broadcast(" in p.read_text()]
+    assert sorted(hinted) == ["forecasts.py", "star.py"]
