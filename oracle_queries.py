@@ -581,8 +581,9 @@ def all_queries() -> dict[str, str]:
         "return_rate_by_sku": return_rate("sku"),
         "return_rate_by_config_sku": return_rate("productsku"),
         "return_rate_by_brand": return_rate("brand", BRANDED, "sales_order sales_order_item product"),
-        "brand_return_cancel_rates": brand_rates(20),
-        "brand_return_cancel_rates_min100": brand_rates(100, 400),
+        "brand_return_cancel_rates": brand_rates(100),
+        "brand_return_cancel_rates_min20": brand_rates(20),
+        "brand_return_cancel_rates_year": brand_rates(100, 400),
         "config_return_cancel_rates": with_tables(
             "sales_order sales_order_item product",
             four_counts("productsku, brand", "products", "product"),

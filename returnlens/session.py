@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,13 +15,28 @@ SETTINGS = {
     # then needs a shuffle of its own.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Joining all items to a month of orders: hash the small shuffled side (measured, per
+    # partition) instead of sorting the items.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
+# Shuffle partitions start at this size; AQE merges the small ones afterwards.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings; with ``input_bytes`` also size the shuffles for that much data.
+
+    The number of shuffle partitions the session already has is never lowered.
+    """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if input_bytes is not None:
+        wanted = math.ceil(input_bytes / PARTITION_BYTES)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 

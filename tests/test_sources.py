@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
 
-from returnlens.session import SETTINGS, shared_dir
+from returnlens.session import SETTINGS, configure, shared_dir
 from returnlens.sources.sample import SampleTables
 from returnlens.sources.schemas import SCHEMAS
 from returnlens.sources.sinks import write_forecast_files, write_forecast_table
@@ -68,6 +68,15 @@ def test_settings_are_applied(spark):
     assert {key: spark.conf.get(key) for key in SETTINGS} == SETTINGS
 
 
+def test_shuffles_are_sized_for_the_data_but_never_lowered(spark, conf):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf(spark__sql__adaptive__coalescePartitions__initialPartitionNum="1")
+    configure(spark, input_bytes=10)
+    assert spark.conf.get(key) == "1"
+    configure(spark, input_bytes=100 * 10**12)
+    assert int(spark.conf.get(key)) == 745059
+
+
 def test_sample_item_ids_are_unique(spark):
     items = SampleTables(spark, "/root/testdata/sf0.01").table("sales_order_item")
     current = items.filter(items.dg_end_date == datetime(9999, 12, 31))
