@@ -171,9 +171,8 @@ def unit_step(counts: dict[str, str], key: str = "", source: str = "sales_order_
 def in_period(start: int = 78, end: int = 30) -> tuple[str, str]:
     return (
         "placed",
-        f"""select id_sales_order from sales_order
-            where created_at > (select max(created_at) - interval '{start}' day from sales_order)
-              and created_at < (select max(created_at) - interval '{end}' day from sales_order)""",
+        f"""select id_sales_order from sales_order, (select max(created_at) as newest from sales_order)
+            where created_at > newest - interval '{start}' day and created_at < newest - interval '{end}' day""",
     )
 
 
@@ -310,10 +309,10 @@ def abandoned(by_config: bool) -> str:
             join web_orders w on w.order_id = o.order_nr
             join web_visitors v on v.sid = w.sid
             join web_campaigns c on c.sid = v.sid
-            join web_confdata d on d.datasourcevalue = c.campaign
-            where i.dg_end_date > {AS_OF}
-              and date_trunc('day', i.created_at) < (select max(created_at) - interval '30' day from sales_order_item)
-              and date_trunc('day', i.created_at) > (select max(created_at) - interval '150' day from sales_order_item)""",
+            join web_confdata d on d.datasourcevalue = c.campaign,
+            (select max(created_at) as newest from sales_order_item)
+            where i.dg_end_date > {AS_OF} and date_trunc('day', i.created_at) < newest - interval '30' day
+              and date_trunc('day', i.created_at) > newest - interval '150' day""",
     )
     # Ties only differ in their path to the campaign and in the catalogue rows: those come last.
     tied = "fk unmatched order_nr customer sku state paid_price sid code simple_id config_id productsku"
@@ -418,11 +417,10 @@ def replenishment(part: str, own_tables: bool = False) -> str:
 def star(part: str, start: int = 78) -> str:
     sold = (
         "sold",
-        f"""select p.sku as product_sku, p.targetgroup, p.description, s.sold_articles_bef_return, s.sold_articles
-            from fct_sales s join dim_dates d on s.date_id = d.date_id join dim_articles a on s.article_id = a.article_id
-            join dim_products p on a.product_id = p.product_id
-            where d.date_id < (select max(date_id) - 30 from fct_sales)
-              and d.date_id >= (select max(date_id) - {start} from fct_sales)""",
+        f"""select sku as product_sku, targetgroup, description, sold_articles_bef_return, sold_articles
+            from fct_sales join dim_dates using (date_id) join dim_articles using (article_id)
+            join dim_products using (product_id), (select max(date_id) as newest from fct_sales)
+            where date_id between newest - {start} and newest - 31""",
     )
 
     def level(key: str) -> str:
@@ -474,9 +472,9 @@ def forecast(part: str, minimum: int = 30) -> str:
     )
     sold = (
         "sold",
-        """select * from sales_order_item
-           where date_trunc('day', created_at) < (select max(created_at) - interval '30' day from sales_order_item)
-             and date_trunc('day', created_at) >= (select max(created_at) - interval '150' day from sales_order_item)
+        """select * from sales_order_item, (select max(created_at) as newest from sales_order_item)
+           where date_trunc('day', created_at) < newest - interval '30' day
+             and date_trunc('day', created_at) >= newest - interval '150' day
              and dwh_shipment_state not in ('item_invalid')""",
     )
     kept = "count(id_sales_order_item)"
@@ -556,9 +554,11 @@ def all_queries() -> dict[str, str]:
         ),
         "product_order_listing": with_tables(
             "sales_order sales_order_item product",
-            """select parent_id, entity_id, p.sku as product_sku, type_id, i.sku as item_sku, o.created_at
-               from product p left join sales_order_item i on i.sku = p.sku
-               left join sales_order o on o.id_sales_order = i.fk_sales_order""",
+            """select parent_id, entity_id, sku as product_sku, type_id, item_sku, ordered_at as created_at
+               from product left join (
+                 select i.sku as item_sku, o.created_at as ordered_at
+                 from sales_order_item i left join sales_order o on i.fk_sales_order = o.id_sales_order
+               ) on item_sku = sku""",
         ),
         "product_parent_listing": with_tables(
             "product",
