@@ -34,10 +34,13 @@ def sku_counts(items: DataFrame, lookback: Lookback = PERIOD) -> DataFrame:
     without a sku stand under ''.
     """
     in_period = items.filter(whole_days_from(items, "created_at", lookback) & outside(GROSS))
-    return in_period.groupBy(known("sku").alias("sku")).agg(
-        F.count("id_sales_order_item").alias("sold"),
-        F.count(F.when(inside([CANCELED]), F.col("id_sales_order_item"))).alias("canceled"),
-        F.count(F.when(inside(SENT_BACK), F.col("id_sales_order_item"))).alias("returned"),
+    item = F.col("id_sales_order_item")
+    return once_per_key(
+        in_period.withColumn("sku", known("sku")),
+        "sku",
+        F.count(item).alias("sold"),
+        F.count(F.when(inside([CANCELED]), item)).alias("canceled"),
+        F.count(F.when(inside(SENT_BACK), item)).alias("returned"),
     )
 
 

@@ -63,14 +63,15 @@ def config_return_cancel_rates(
     items: DataFrame, orders: DataFrame, product: DataFrame, lookback: Lookback = PERIOD
 ) -> DataFrame:
     """Four counters and two unrounded rates per (config sku, brand)."""
-    return config_rates_of(config_brand_counts(items, orders, product, lookback))
+    counts = config_brand_counts(items, orders, product, lookback)
+    return _return_cancel(counts, ["productsku", "brand"], "products", "product")
 
 
 def brand_rates_unfiltered(
     items: DataFrame, orders: DataFrame, product: DataFrame, lookback: Lookback = PERIOD
 ) -> DataFrame:
     """Four counters and two unrounded rates per brand."""
-    return brand_rates_of(config_brand_counts(items, orders, product, lookback))
+    return _return_cancel(_brand_counts(items, orders, product, lookback), ["brand"], "brands", "brand")
 
 
 def brand_return_cancel_rates(
@@ -81,10 +82,8 @@ def brand_return_cancel_rates(
     minimum: int = 100,
 ) -> DataFrame:
     """Rates rounded to 2 digits, for brands with at least ``minimum`` items before returns."""
-    counts = config_brand_counts(items, orders, product, lookback).groupBy("brand").agg(
-        *sums(RETURN_CANCEL_COUNTS)
-    )
-    return _return_cancel(counts.filter(F.col("bef_return") >= minimum), ["brand"], "brands", "brand", digits=2)
+    enough = _brand_counts(items, orders, product, lookback).filter(F.col("bef_return") >= minimum)
+    return _return_cancel(enough, ["brand"], "brands", "brand", digits=2)
 
 
 def config_brand_counts(
@@ -94,14 +93,9 @@ def config_brand_counts(
     return _config_brand_counts(items, orders, product, RETURN_CANCEL_COUNTS, lookback)
 
 
-def brand_rates_of(config_counts: DataFrame) -> DataFrame:
-    return _return_cancel(
-        config_counts.groupBy("brand").agg(*sums(RETURN_CANCEL_COUNTS)), ["brand"], "brands", "brand"
-    )
-
-
-def config_rates_of(config_counts: DataFrame) -> DataFrame:
-    return _return_cancel(config_counts, ["productsku", "brand"], "products", "product")
+def _brand_counts(items, orders, product, lookback) -> DataFrame:
+    counts = config_brand_counts(items, orders, product, lookback)
+    return counts.groupBy("brand").agg(*sums(RETURN_CANCEL_COUNTS))
 
 
 def _config_brand_counts(items, orders, product, counts, lookback) -> DataFrame:

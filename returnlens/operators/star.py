@@ -30,10 +30,11 @@ def product_sales(
     in_period = (F.col("date_id") >= first) & (F.col("date_id") < after_last)
     # One row per date id of the period: never more than start - end rows.
     dates = F.broadcast(row_counts(dim_dates.filter(in_period), "date_id"))
-    sold = fct_sales.filter(in_period).join(dates, "date_id").groupBy("article_id").agg(*_sums(F.col("copies")))
+    sold = fct_sales.filter(in_period).join(dates, "date_id")
+    per_article = once_per_key(sold, "article_id", *_sums(F.col("copies")))
 
     articles = row_counts(dim_articles, "article_id", "product_id")
-    per_product = sold.join(articles, "article_id").groupBy("product_id").agg(*_sums(F.col("copies")))
+    per_product = once_per_key(per_article.join(articles, "article_id"), "product_id", *_sums(F.col("copies")))
 
     products = row_counts(dim_products, "product_id", "sku", "targetgroup", "description")
     return (
@@ -43,22 +44,46 @@ def product_sales(
     )
 
 
-def star_sku_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
+def star_sku_sales(
+    fct_sales: DataFrame,
+    dim_dates: DataFrame,
+    dim_articles: DataFrame,
+    dim_products: DataFrame,
+    lookback: Lookback = PERIOD,
+) -> DataFrame:
     sales = product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
     return sales.groupBy(F.col("sku").alias("product_sku")).agg(*_sums())
 
 
-def star_sku_attributes(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
+def star_sku_attributes(
+    fct_sales: DataFrame,
+    dim_dates: DataFrame,
+    dim_articles: DataFrame,
+    dim_products: DataFrame,
+    lookback: Lookback = PERIOD,
+) -> DataFrame:
     """Sku sales with the targetgroup and description valid at the end of the period."""
     sales = product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback)
     return with_attributes(level_sales(sales, "sku"), fct_sales, dim_dates, dim_products, lookback)
 
 
-def star_targetgroup_rates(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
+def star_targetgroup_rates(
+    fct_sales: DataFrame,
+    dim_dates: DataFrame,
+    dim_articles: DataFrame,
+    dim_products: DataFrame,
+    lookback: Lookback = PERIOD,
+) -> DataFrame:
     return _rates(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "targetgroup")
 
 
-def star_description_rates(fct_sales, dim_dates, dim_articles, dim_products, lookback: Lookback = PERIOD) -> DataFrame:
+def star_description_rates(
+    fct_sales: DataFrame,
+    dim_dates: DataFrame,
+    dim_articles: DataFrame,
+    dim_products: DataFrame,
+    lookback: Lookback = PERIOD,
+) -> DataFrame:
     return _rates(product_sales(fct_sales, dim_dates, dim_articles, dim_products, lookback), "description")
 
 
@@ -92,7 +117,8 @@ def with_attributes(
     valid = dim_products.filter((F.col("valid_from") <= end_date) & (F.col("valid_to") >= end_date)).select(
         F.col("sku").alias("product_sku"), "targetgroup", "description"
     )
-    return sku_sales.withColumnRenamed("sku", "product_sku").join(valid, "product_sku").select("product_sku", "targetgroup", "description", *SOLD)
+    sold = sku_sales.withColumnRenamed("sku", "product_sku")
+    return sold.join(valid, "product_sku").select("product_sku", "targetgroup", "description", *SOLD)
 
 
 def _sums(weight: Column | None = None) -> list[Column]:

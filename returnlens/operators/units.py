@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.skus import config_prefix
-from returnlens.functions.states import STATE, flag, outside
+from returnlens.functions.states import flag, outside
 
 UNIT_KEY = ("fk_sales_order", "id_sales_order_item", "sku", "name")
 

@@ -113,7 +113,8 @@ def return_cancel_forecast(
         F.col("return_rate_total_lvl"),
         minimum,
     )
-    # The total is one row by construction (grouped by a constant).
+    # The total is one row by construction (grouped by a constant). As a scalar subquery it would
+    # not share the scan of the items.
     return (
         config.join(brand, "brand")
         .join(F.broadcast(total), "venture")

@@ -85,8 +85,13 @@ NEWEST = [datetime(2001, 8, 1), datetime(2001, 8, 1, 7, 30)]
 
 
 def moments(newest):
-    steps = [timedelta(days=-d, hours=h, seconds=s) for d in (29, 30, 31, 77, 78, 79) for h in range(0, 24, 3) for s in (-1, 0, 1)]
-    return sorted({newest} | {newest + s for s in steps if s < timedelta(0)} | {datetime(2001, 5, 15), datetime(2001, 7, 2)})
+    steps = [
+        timedelta(days=-d, hours=h, seconds=s)
+        for d in (29, 30, 31, 77, 78, 79)
+        for h in range(0, 24, 3)
+        for s in (-1, 0, 1)
+    ]
+    return sorted({newest, datetime(2001, 5, 15), datetime(2001, 7, 2)} | {newest + s for s in steps})
 
 
 def kept_by(spark, condition, newest):

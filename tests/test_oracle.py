@@ -15,6 +15,8 @@ from returnlens.sources.schemas import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.001"
 RAW = ("orders", "lineitem", "part", "events")
+DAYS_BACK = (0, 1, 2, 9, 10, 11, 30, 31, 50, 78, 100, 149, 150, 151)
+FACT_DAYS = (0, 1, 21, 22, 48, 49, 60, 68, 69, 70, 98, 99)
 NULL_AWARE = {"non_campaign_return_rate": {"ids_may_be_null": True}}
 
 
@@ -72,7 +74,7 @@ def hostile_tables(seed: int) -> dict[str, list[tuple]]:
     ]
     ends = [datetime(9999, 12, 31), datetime(9999, 12, 31), datetime(1999, 1, 1)]
     moments = (
-        [newest - timedelta(days=d, hours=h) for d in (0, 1, 2, 9, 10, 11, 30, 31, 50, 78, 100, 149, 150, 151) for h in (0, 7, 12)]
+        [newest - timedelta(days=d, hours=h) for d in DAYS_BACK for h in (0, 7, 12)]
         + [datetime(2000, 8, d, h) for d in (1, 15, 30, 31) for h in (0, 1)]
         + [newest]
     )
@@ -92,7 +94,13 @@ def hostile_tables(seed: int) -> dict[str, list[tuple]]:
 
     def order():
         number = pick.randrange(14)
-        return (number, maybe(f"N{hot([number, 3])}"), maybe(hot([7, 8, 9])), maybe(pick.choice(moments), 0.05), pick.choice(ends))
+        return (
+            number,
+            maybe(f"N{hot([number, 3])}"),
+            maybe(hot([7, 8, 9])),
+            maybe(pick.choice(moments), 0.05),
+            pick.choice(ends),
+        )
 
     def product():
         kind = pick.choice(["simple", "simple", "configurable"])
@@ -111,11 +119,22 @@ def hostile_tables(seed: int) -> dict[str, list[tuple]]:
 
     def fact():
         before = pick.randrange(3)
-        return (4000 + pick.choice([0, 1, 21, 22, 48, 49, 60, 68, 69, 70, 98, 99]), hot([1, 2, 3, 4]), before, pick.randrange(before + 1))
+        return (4000 + pick.choice(FACT_DAYS), hot([1, 2, 3, 4]), before, pick.randrange(before + 1))
 
     def dim_product():
         start = pick.choice([date(1990, 1, 1), date(2000, 12, 1), date(2000, 12, 20)])
-        return (pick.randrange(5), maybe(hot(skus)), maybe(pick.choice(["t1", "t2"])), maybe(pick.choice(["d1", "d2"])), start, pick.choice([date(2000, 12, 10), date(9999, 12, 31)]))
+        return (
+            pick.randrange(5),
+            maybe(hot(skus)),
+            maybe(pick.choice(["t1", "t2"])),
+            maybe(pick.choice(["d1", "d2"])),
+            start,
+            pick.choice([date(2000, 12, 10), date(9999, 12, 31)]),
+        )
+
+    def conf():
+        code = pick.choice(list(kinds))
+        return (maybe(code), kinds[code], pick.choice(["abandoned", "other", None]))
 
     def many(make, count):
         return [make() for _ in range(count)]
@@ -132,9 +151,7 @@ def hostile_tables(seed: int) -> dict[str, list[tuple]]:
         "web_orders": many(lambda: (maybe(f"N{pick.randrange(14)}"), maybe(hot([1, 2, 3, 4]))), 30),
         "web_visitors": many(lambda: (maybe(pick.randrange(4)),), 6),
         "web_campaigns": many(lambda: (maybe(hot([1, 2, 3])), maybe(pick.choice(["c1", "c2", "c3", "c4"]))), 12),
-        "web_confdata": many(
-            lambda: (lambda c: (maybe(c), kinds[c], pick.choice(["abandoned", "other", None])))(pick.choice(list(kinds))), 6
-        ),
+        "web_confdata": many(conf, 6),
         "dim_dates": [
             (4000 + d, (date(2000, 10, 4) + timedelta(days=d)).strftime("%Y.%m.%d")) for d in range(100) if d != 22
         ],
@@ -151,7 +168,8 @@ def hostile(request, spark):
     frames = {}
     for name, found in data.items():
         frames[name] = spark.createDataFrame(found, SCHEMAS[name]).repartition(3)
-        connection.execute(f"create table fixture_{name} ({SCHEMAS[name].replace('timestamp_ntz', 'timestamp').replace('string', 'varchar')})")
+        columns = SCHEMAS[name].replace("timestamp_ntz", "timestamp").replace("string", "varchar")
+        connection.execute(f"create table fixture_{name} ({columns})")
         connection.executemany(f"insert into fixture_{name} values ({', '.join('?' * len(found[0]))})", found)
     return frames, connection
 

@@ -35,7 +35,9 @@ def shuffle_joins(conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
 
 
-def test_flagship_reads_the_items_once_and_once_for_the_bounds(stored, shuffle_joins):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_flagship_reads_the_items_once_and_once_for_the_bounds(stored, conf, threshold):
+    conf(spark__sql__autoBroadcastJoinThreshold=threshold, spark__sql__adaptive__autoBroadcastJoinThreshold=threshold)
     plan = return_cancel_forecast(stored("sales_order_item"), stored("product"), "shop")
     assert scans(plan, "dwh_shipment_state") == 1
     assert scans(plan, "created_at", "sku") == 1

@@ -12,7 +12,10 @@ from returnlens.sources.schemas import SCHEMAS
 from returnlens.sources.sinks import write_forecast_files, write_forecast_table
 from returnlens.sources.ventures import Venture
 
-FORECAST = "config_sku string, brand string, venture string, sold_items_bfr_cancel_config bigint, return_rate_forecast double, cancel_rate_forecast double"
+FORECAST = (
+    "config_sku string, brand string, venture string, sold_items_bfr_cancel_config bigint, "
+    "return_rate_forecast double, cancel_rate_forecast double"
+)
 
 
 def test_venture_folder(spark, make, tmp_path):
