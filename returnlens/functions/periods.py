@@ -1,8 +1,11 @@
 """Training periods and ages, written as plain ranges on the raw column.
 
 Every condition compares the stored column itself with a constant or with a scalar
-subquery, never with a function of the column, so the scan can skip row groups and
-partitions.
+subquery, never with a function of the column, so the scan can use it.
+
+Spark's Parquet reader skips nothing by zone-free timestamps. A table may therefore hold, usually
+as its partition column, the day of such a column under ``day_column``; every condition then also
+limits the days.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ class Lookback:
     latest: datetime | int | None = None
 
 
+def day_column(column: str) -> str:
+    return f"{column}_day"
+
+
 def timestamp(value: datetime) -> Column:
     """A zone-free timestamp constant."""
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -53,7 +60,7 @@ def open_period(table: DataFrame, column: str, lookback: Lookback) -> Column:
     newest = _newest(table, column, lookback)
     lower = newest(lambda m: m - days(lookback.start))
     upper = newest(lambda m: m - days(lookback.end))
-    return (F.col(column) > lower) & (F.col(column) < upper)
+    return (F.col(column) > lower) & (F.col(column) < upper) & _days_between(table, column, lower, upper)
 
 
 def whole_days_after(table: DataFrame, column: str, lookback: Lookback) -> Column:
@@ -65,7 +72,7 @@ def whole_days_after(table: DataFrame, column: str, lookback: Lookback) -> Colum
     newest = _newest(table, column, lookback)
     lower = newest(lambda m: midnight(m - days(lookback.start)) + days(1))
     upper = newest(lambda m: next_midnight(m - days(lookback.end)))
-    return (F.col(column) >= lower) & (F.col(column) < upper)
+    return (F.col(column) >= lower) & (F.col(column) < upper) & _days_between(table, column, lower, upper)
 
 
 def whole_days_from(table: DataFrame, column: str, lookback: Lookback) -> Column:
@@ -73,7 +80,7 @@ def whole_days_from(table: DataFrame, column: str, lookback: Lookback) -> Column
     newest = _newest(table, column, lookback)
     lower = newest(lambda m: next_midnight(m - days(lookback.start)))
     upper = newest(lambda m: next_midnight(m - days(lookback.end)))
-    return (F.col(column) >= lower) & (F.col(column) < upper)
+    return (F.col(column) >= lower) & (F.col(column) < upper) & _days_between(table, column, lower, upper)
 
 
 def date_id_bounds(fact: DataFrame, lookback: Lookback) -> tuple[Column, Column]:
@@ -82,18 +89,25 @@ def date_id_bounds(fact: DataFrame, lookback: Lookback) -> tuple[Column, Column]
     return newest(lambda m: m - lookback.start), newest(lambda m: m - lookback.end)
 
 
-def aged_at_most(column: str, as_of: Column, limit: int) -> Column:
+def between(table: DataFrame, column: str, start: datetime, end: datetime) -> Column:
+    """From one instant to another, both included."""
+    lower, upper = timestamp(start), timestamp(end)
+    return F.col(column).between(lower, upper) & _days_between(table, column, lower, upper)
+
+
+def aged_at_most(table: DataFrame, column: str, as_of: Column, limit: int) -> Column:
     """Age in days, rounded to a whole number, is at most ``limit``."""
-    return F.col(column) > as_of - _half_day_after(limit)
+    oldest = as_of - _half_day_after(limit)
+    return (F.col(column) > oldest) & _days_between(table, column, oldest)
 
 
-def aged_exactly(column: str, as_of: Column, point: int) -> Column:
+def aged_exactly(table: DataFrame, column: str, as_of: Column, point: int) -> Column:
     """Age in days, rounded half away from zero, equals ``point``."""
     oldest = as_of - _half_day_after(point)
     newest = as_of - _half_day_after(point - 1)
     after = F.col(column) > oldest if point >= 0 else F.col(column) >= oldest
     until = F.col(column) <= newest if point > 0 else F.col(column) < newest
-    return after & until
+    return after & until & _days_between(table, column, oldest, newest)
 
 
 def rounded_age(column: Column, as_of: Column, extra_days: int = 0) -> Column:
@@ -112,6 +126,14 @@ def now() -> Column:
     return F.localtimestamp()
 
 
+def _days_between(table: DataFrame, column: str, lower: Column, upper: Column | None = None) -> Column:
+    day = day_column(column)
+    if day not in table.columns:
+        return F.lit(True)
+    after = F.col(day) >= lower.cast("date")
+    return after if upper is None else after & (F.col(day) <= upper.cast("date"))
+
+
 def _half_day_after(whole_days: int) -> Column:
     return F.make_dt_interval(F.lit(whole_days), F.lit(12))
 

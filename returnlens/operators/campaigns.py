@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.functions.periods import Lookback, now, timestamp, whole_days_after
+from returnlens.functions.periods import Lookback, between, now, timestamp, whole_days_after
+from returnlens.functions.pruning import between_ends
 from returnlens.functions.rates import MONEY, difference_rate, rounded_difference_rate
 from returnlens.functions.skew import once_per_key, order_rows
 from returnlens.functions.states import AFTER_RETURN, GROSS, NET_OF_CANCEL, flag, outside
@@ -41,7 +42,8 @@ def order_list_return_rate(items: DataFrame, orders: DataFrame, order_list: Data
     """Per config sku, for the orders whose number is in ``order_list`` (column ``order_nr``)."""
     listed = orders.join(once_per_key(order_list, "order_nr"), "order_nr", "left_semi")
     counts = dict(zip(PRODUCT_COUNTS, (GROSS, AFTER_RETURN)))
-    units = ordered_units(items, _distinct_orders(listed), counts)
+    near = between_ends(items, "fk_sales_order", listed, "id_sales_order")
+    units = ordered_units(near, _distinct_orders(listed), counts)
     return _product_rate(units.groupBy("productsku").agg(*sums(PRODUCT_COUNTS)))
 
 
@@ -64,9 +66,10 @@ def non_campaign_return_rate(
     before, after = PRODUCT_COUNTS
     counts = {before: NET_OF_CANCEL, after: AFTER_RETURN}
     placed = _placed_between(orders, start, end)
-    units = ordered_units(items, _distinct_orders(placed), counts)
+    near = between_ends(items, "fk_sales_order", placed, "id_sales_order")
+    units = ordered_units(near, _distinct_orders(placed), counts)
 
-    reached = _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts)
+    reached = _reached_items(near, placed, web_orders, web_campaigns, confdata, pattern, counts)
     # NET_OF_CANCEL holds for every reached row; the second flag tells which of them count
     # after returns as well.
     hits = once_per_key(
@@ -106,7 +109,8 @@ def campaign_return_rate(
     """Per simple sku (in column ``productsku``), for orders of [start, end] a campaign reached."""
     counts = dict(zip(PRODUCT_COUNTS, (NET_OF_CANCEL, AFTER_RETURN)))
     placed = _placed_between(orders, start, end)
-    reached = _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts)
+    near = between_ends(items, "fk_sales_order", placed, "id_sales_order")
+    reached = _reached_items(near, placed, web_orders, web_campaigns, confdata, pattern, counts)
     units = reached.groupBy(*UNIT_KEY).agg(*(F.max(n).alias(n) for n in counts))
     return _product_rate(units.groupBy(F.col("sku").alias("productsku")).agg(*sums(PRODUCT_COUNTS)))
 
@@ -163,7 +167,7 @@ def abandoned_totals_by_config(
 
 
 def _placed_between(orders: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    return orders.filter(F.col("created_at").between(timestamp(start), timestamp(end)))
+    return orders.filter(between(orders, "created_at", start, end))
 
 
 def _distinct_orders(orders: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def days_active(product: DataFrame, seen: Observation = Observation()) -> DataFr
 def days_without_stock(stock: DataFrame, seen: Observation = Observation()) -> DataFrame:
     """Stock rows with nothing on stock within the period, per sku."""
     empty = seen.current(stock).filter(
-        aged_at_most("stock_date", seen.moment, seen.days) & (F.col("quantity") == 0)
+        aged_at_most(stock, "stock_date", seen.moment, seen.days) & (F.col("quantity") == 0)
     )
     return once_per_key(empty, "sku", F.count("stock_date").alias("days_without_stock"))
 
@@ -89,12 +89,12 @@ def visible_days(seen: Observation) -> Column:
 def sales_in_observation(items: DataFrame, seen: Observation = Observation()) -> DataFrame:
     """Item rows sold within the period and not canceled, per sku."""
     sold = seen.current(items).filter(
-        aged_at_most("created_at", seen.moment, seen.days) & outside(NET_OF_CANCEL)
+        aged_at_most(items, "created_at", seen.moment, seen.days) & outside(NET_OF_CANCEL)
     )
     return sold.groupBy("sku").agg(F.count("id_sales_order_item").alias("sold_items_before_return"))
 
 
 def stock_on_hand(stock: DataFrame, seen: Observation = Observation()) -> DataFrame:
     """Quantity per sku and stock time, for stock exactly ``stock_point`` days old."""
-    observed = seen.current(stock).filter(aged_exactly("stock_date", seen.moment, seen.stock_point))
+    observed = seen.current(stock).filter(aged_exactly(stock, "stock_date", seen.moment, seen.stock_point))
     return observed.groupBy("sku", "stock_date").agg(F.sum("quantity").alias("amount_on_stock"))

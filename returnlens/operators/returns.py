@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, open_period
+from returnlens.functions.pruning import between_ends
 from returnlens.functions.rates import difference_rate, rounded_difference_rate
 from returnlens.functions.skew import order_rows, row_counts
 from returnlens.functions.states import (
@@ -36,7 +37,8 @@ def period_units(
 ) -> DataFrame:
     """Distinct items ordered within the period."""
     in_period = orders.filter(open_period(orders, "created_at", lookback))
-    return ordered_units(items, order_rows(in_period), counts)
+    near = between_ends(items, "fk_sales_order", in_period, "id_sales_order")
+    return ordered_units(near, order_rows(in_period), counts)
 
 
 def return_rate_by_name(items: DataFrame, orders: DataFrame, lookback: Lookback = PERIOD) -> DataFrame:

@@ -21,6 +21,11 @@ SETTINGS = {
 }
 
 
+# Merging the two bounds of a period into one subquery would make them fields of a struct, and
+# only a plain value can be handed to the scan as a filter.
+EXCLUDED_RULES = "spark.sql.optimizer.excludedRules"
+MERGE_SUBQUERIES = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
+
 # Shuffle partitions start at this size; AQE merges the small ones afterwards.
 PARTITION_BYTES = 128 * 1024 * 1024
 
@@ -33,6 +38,9 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    excluded = [rule for rule in spark.conf.get(EXCLUDED_RULES, "").split(",") if rule]
+    if MERGE_SUBQUERIES not in excluded:
+        spark.conf.set(EXCLUDED_RULES, ",".join([*excluded, MERGE_SUBQUERIES]))
     if input_bytes is not None:
         wanted = math.ceil(input_bytes / PARTITION_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):

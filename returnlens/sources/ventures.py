@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from returnlens.functions.periods import day_column
 from returnlens.sources.schemas import BLANK_IS_NULL, SCHEMAS
 
 
@@ -30,7 +31,8 @@ class Venture:
 def declared(rows: DataFrame, table: str) -> DataFrame:
     """The table's declared columns and types, empty strings read as missing values.
 
-    Columns already of the declared type stay bare, so their filters reach the scan.
+    Columns already of the declared type stay bare, so their filters reach the scan. Day columns
+    (see ``functions.periods``) are kept where the table has them.
     """
     blank = BLANK_IS_NULL.get(table, ())
     columns = []
@@ -39,4 +41,6 @@ def declared(rows: DataFrame, table: str) -> DataFrame:
         if rows.schema[name].dataType.simpleString() != kind:
             column = column.cast(kind)
         columns.append((F.nullif(column, F.lit("")) if name in blank else column).alias(name))
+        if day_column(name) in rows.columns:
+            columns.append(F.col(day_column(name)))
     return rows.select(*columns)

@@ -141,10 +141,10 @@ def test_ages(spark):
     age = {t: half_away(Decimal((as_of - t).total_seconds()) / 86400) for t in times}
     assert {r[0]: r[1] for r in table.select("at", periods.rounded_age(F.col("at"), now)).collect()} == age
     for point in (-1, 0, 1, 2, 10):
-        kept = {r[0] for r in table.filter(periods.aged_exactly("at", now, point)).collect()}
+        kept = {r[0] for r in table.filter(periods.aged_exactly(table, "at", now, point)).collect()}
         assert kept == {t for t in times if age[t] == point}
     for limit in (0, 1, 10):
-        kept = {r[0] for r in table.filter(periods.aged_at_most("at", now, limit)).collect()}
+        kept = {r[0] for r in table.filter(periods.aged_at_most(table, "at", now, limit)).collect()}
         assert kept == {t for t in times if age[t] <= limit}
 
 

@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from returnlens.functions.periods import Lookback
 from returnlens.operators import campaigns, forecast, returns, sales, star
-from returnlens.operators.replenishment import Observation, days_without_stock, stock_on_hand
+from returnlens.operators.replenishment import (
+    Observation,
+    days_without_stock,
+    sales_in_observation,
+    stock_on_hand,
+)
 from returnlens.plans.forecasts import config_brand_forecast, return_cancel_forecast, star_return_forecast
 from returnlens.sources.schemas import SCHEMAS
+from returnlens.sources.ventures import Venture
 
 NEWEST = datetime(2001, 8, 1, 7)
 
@@ -46,6 +52,8 @@ def test_flagship_reads_the_items_once_and_once_for_the_bounds(stored, conf, thr
 def test_config_brand_forecast_reads_the_items_once(stored, shuffle_joins):
     plan = config_brand_forecast(stored("sales_order_item"), stored("sales_order"), stored("product"))
     assert scans(plan, "dwh_shipment_state") == 1
+    # newest order, range of ids, join
+    assert scans(plan, "created_at") == 3
 
 
 def test_star_forecast_reads_the_fact_once(stored, shuffle_joins):
@@ -75,6 +83,15 @@ def test_scans_read_only_needed_columns(stored):
     ]
 
 
+def rows_read(frame, column: str) -> list[int]:
+    """Rows each scan with the column gave after skipping files and row groups."""
+    return [
+        node.metrics().apply("numOutputRows").value()
+        for node in nodes(frame)
+        if node.nodeName().startswith("Scan parquet") and column in node.requiredSchema().fieldNames()
+    ]
+
+
 def pushed(frame, column: str) -> str:
     found = [
         node.metadata().apply("PushedFilters") if node.metadata().contains("PushedFilters") else ""
@@ -119,6 +136,52 @@ def test_ages_and_dates_are_pushed_ranges(stored):
     assert "GreaterThanOrEqual(created_at,2000-08-01T00:00)" in pushed(march, "created_at")
 
 
+@pytest.mark.parametrize("latest", [None, datetime(2001, 8, 1)])
+def test_items_of_orders_outside_the_period_are_not_read(spark, tmp_path, latest):
+    """Ids follow time: only the files whose id range meets the period give rows to the join."""
+    orders = spark.range(0, 1000, 1, 4).selectExpr(
+        "id as id_sales_order", "timestamp_ntz '2001-08-01 00:00:00' - make_dt_interval(999 - cast(id as int)) as created_at"
+    )
+    items = spark.range(0, 10000, 1, 20).selectExpr(
+        "id as id_sales_order_item",
+        "id div 10 as fk_sales_order",
+        "'a-1' as sku",
+        "'n' as name",
+        "'item_delivered' as dwh_shipment_state",
+    )
+    for name, table in (("orders", orders), ("items", items)):
+        table.write.parquet(f"{tmp_path}/{name}")
+    items, orders = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("items", "orders"))
+    plan = returns.return_rate_by_sku(items, orders, Lookback(78, 30, latest))
+    assert plan.collect()[0].sold_articles == 470
+    assert rows_read(plan, "fk_sales_order") == [1000]
+
+
+@pytest.mark.parametrize("latest", [None, datetime(2001, 8, 1)])
+def test_days_outside_the_period_are_not_read(spark, tmp_path, latest):
+    """Items stored by day: the period selects the folders, also while its bounds are a subquery."""
+    spark.range(0, 400, 1, 2).selectExpr(
+        "id as id_sales_order_item",
+        "1 as fk_sales_order",
+        "'a-1' as sku",
+        "'n' as name",
+        "cast(1 as decimal(12,2)) as paid_price",
+        "'item_delivered' as dwh_shipment_state",
+        "timestamp_ntz '2001-08-01 00:00:00' - make_dt_interval(399 - cast(id as int)) as created_at",
+        "timestamp_ntz '9999-12-31 00:00:00' as dg_end_date",
+    ).withColumn("created_at_day", F.col("created_at").cast("date")).repartition(1).write.partitionBy(
+        "created_at_day"
+    ).parquet(f"{tmp_path}/shop/sales_order_item")
+    items = Venture(spark, "shop", str(tmp_path)).table("sales_order_item")
+    plan = forecast.sku_counts(items, Lookback(150, 30, latest))
+    assert plan.collect()[0].sold == 120
+    assert rows_read(plan, "sku") == [121]
+    seen = Observation(as_of=datetime(2001, 8, 2, 9))
+    plan = sales_in_observation(items, seen)
+    assert plan.collect()[0].sold_items_before_return == 10
+    assert rows_read(plan, "sku") == [11]
+
+
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """A third of the items share one order, another third one sku; a third of the sessions one campaign."""

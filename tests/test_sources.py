@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
 
-from returnlens.session import SETTINGS, configure, shared_dir
+from returnlens.session import EXCLUDED_RULES, MERGE_SUBQUERIES, SETTINGS, configure, shared_dir
 from returnlens.sources.sample import SampleTables
 from returnlens.sources.schemas import SCHEMAS
 from returnlens.sources.sinks import write_forecast_files, write_forecast_table
@@ -71,6 +71,12 @@ def test_settings_are_applied(spark):
     assert {key: spark.conf.get(key) for key in SETTINGS} == SETTINGS
 
 
+def test_other_excluded_rules_are_kept(spark, conf):
+    conf(spark__sql__optimizer__excludedRules="a.b.Rule")
+    configure(configure(spark))
+    assert spark.conf.get(EXCLUDED_RULES) == f"a.b.Rule,{MERGE_SUBQUERIES}"
+
+
 def test_shuffles_are_sized_for_the_data_but_never_lowered(spark, conf):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     conf(spark__sql__adaptive__coalescePartitions__initialPartitionNum="1")
