@@ -5,12 +5,19 @@ from __future__ import annotations
 import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import oracle_queries
+from returnlens.functions.periods import open_period
+from returnlens.functions.skus import config_prefix
+from returnlens.functions.states import outside
+from returnlens.operators import returns
+from returnlens.operators.units import UNIT_KEY
 from returnlens.sources.schemas import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.001"
@@ -184,3 +191,37 @@ def test_on_hostile_tables(hostile, monkeypatch, name):
         registered.operator, registered.tables, registered.parameters | NULL_AWARE.get(name, {})
     )
     compare(extended.run(frames.__getitem__), connection, oracle_queries.all_queries()[name])
+
+
+def test_one_scan_equals_stacking_one_distinct_branch_per_count(hostile):
+    """The flags of a single scan give what a set union of separately tagged scans gives."""
+    items, orders, product = (hostile[0][n] for n in (entry.ITEMS, entry.ORDERS, "product"))
+    counts = returns.RETURN_CANCEL_COUNTS
+    branches = [
+        items.filter(outside(states)).select(
+            *UNIT_KEY, *(F.lit(int(name == other)).alias(other) for other in counts)
+        )
+        for name, states in counts.items()
+    ]
+    stacked = reduce(lambda left, right: left.unionByName(right), branches).distinct()
+    placed = orders.filter(open_period(orders, "created_at", returns.PERIOD)).select("id_sales_order")
+    brands = product.select(F.col("sku").alias("productsku"), "brand")
+    expected = (
+        stacked.withColumn("productsku", config_prefix("sku"))
+        .join(placed, F.col("fk_sales_order") == F.col("id_sales_order"))
+        .join(brands, "productsku", "left")
+        .groupBy("productsku", "brand")
+        .agg(*(F.sum(n).alias(n) for n in counts))
+    )
+    actual = returns.config_brand_counts(items, orders, product)
+    assert ordered(map(tuple, actual.collect())) == ordered(map(tuple, expected.collect()))
+
+
+def test_counts_shrink_with_every_excluded_state(spark):
+    found = entry.queries()["abandoned_totals_by_config"](spark, "/root/testdata/sf0.01")
+    for kind in ("orders", "sold_items", "customers", "rev"):
+        wrong = (F.col(f"{kind}_bef_cancel") < F.col(f"{kind}_bef_return")) | (F.col(f"{kind}_bef_return") < F.col(kind))
+        assert found.filter(wrong).count() == 0
+    rates = entry.queries()["brand_rates_unfiltered"](spark, "/root/testdata/sf0.01")
+    assert rates.filter(~F.col("return_rate_brand").between(0, 1)).count() == 0
+    assert rates.filter(~F.col("cancellation_rate_brand").between(0, 1)).count() == 0
