@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -9,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returnlens.llm import bpe, packing, token_counts
+from returnlens.llm import bpe, embeddings, packing, simhash, token_counts, toxicity, warc
 from returnlens.llm.shared import ship_package
+from returnlens.session import shared_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.classified(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), bits=3, words=3)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +48,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return warc.read_archive(spark, folder).select(
+        "page_id",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+    )
+
+
+def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,5 +78,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_best_fit_packing, op6_token_counts, op9_bpe_round_trip)
+    f.__name__: f
+    for f in (
+        op2_toxicity,
+        op4_simhash_groups,
+        op5_best_fit_packing,
+        op6_token_counts,
+        op7_warc_archive,
+        op8_embedding_groups,
+        op9_bpe_round_trip,
+    )
 }
