@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from returnlens.llm.shared import OTHER_SPACES, Runs, plain, ragged, slices, split_codes, texts_of
 
 NONE = np.iinfo(np.int32).max
-WORDS_KEPT = 1_000_000
-SLICE_BYTES = 6 << 20
+WORDS_KEPT = 250_000
+SLICE_BYTES = 3 << 20
+SLICE_ROWS = 2_000
 SEPARATOR = "\x0b"  # white space that texts hardly hold
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,7 +196,8 @@ class WordRuns:
 
     def part_runs_of(self, codes: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of coded parts, one part after the other, and the number of ids of each."""
-        return self.part_runs.take(self.numbers(parts)[codes])
+        numbers = self.numbers(parts)  # may renew the table of runs
+        return self.part_runs.take(numbers[codes])
 
     def _add(self, new: list[str]) -> None:
         """Most parts are cut in one go, joined by a separator; parts it could touch are cut alone."""
@@ -267,22 +269,43 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+def _encoded(batches: Iterator[pa.Array], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and bounds of the texts, in small steps: what a task holds is bounded by ``SLICE_BYTES``."""
+    for batch in batches:
+        for low in range(0, len(batch), SLICE_ROWS):
+            texts = texts_of(batch.slice(low, SLICE_ROWS))
+            for start, stop in slices(texts, SLICE_BYTES):
+                ids, counts = encode_texts(texts.slice(start, stop - start), path)
+                yield ids, np.append(0, np.cumsum(counts))
+
+
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 def encoder(path: str):
     """Column function from a text to its ids."""
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = texts_of(batch)
-            found = [encode_texts(texts.slice(a, b - a), path) for a, b in slices(texts, SLICE_BYTES)]
-            counts = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            flat = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int32)
-            bounds = np.append(0, np.cumsum(counts)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32()))
+        for found, bounds in _encoded(batches, path):
+            yield _lists(found, bounds)
 
     return ids.asNondeterministic()
 
 
+def round_tripper(path: str):
+    """Column function from a text to its ids and the text they decode to, in one pass."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found, bounds in _encoded(batches, path):
+            decoded = pa.array(merges(path).decode(found, bounds), pa.string())
+            yield pa.StructArray.from_arrays([_lists(found, bounds), decoded], ["ids", "decoded"])
+
+    return both.asNondeterministic()
+
+
 def decoder(path: str):
     """Column function from ids to their text."""
 
@@ -311,6 +334,14 @@ def bpe_encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids"
     return frame.withColumn(ids, encoder(path)(_text(frame, text)))
 
 
+def bpe_round_trip(
+    frame: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` in one pass, for checks that the ids lose nothing."""
+    both = frame.withColumn("_both", round_tripper(path)(_text(frame, text)))
+    return both.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
+
+
 def bpe_decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Every row with the text of its ids, special tokens written out. NULL ids give ''."""
     return frame.withColumn(text, decoder(path)(frame[ids]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.skew import once_per_key
 from returnlens.llm.components import components
-from returnlens.llm.shared import plain, written
+from returnlens.llm.shared import grouped_runs, plain, written
 
 COSINE = 0.93
 TABLES = 12
@@ -182,27 +182,9 @@ def _compared(classes: DataFrame, cosine: float) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each group, which lie together; a group holds two blocks at most."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        keys = [held[c].combine_chunks() for c in GROUP]
-        changes = np.zeros(max(0, held.num_rows - 1), bool)
-        for column in keys:
-            changes |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist()]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            yield held.slice(low, high - low)
-        held = held.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _group_links(cosine: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends: list[tuple[bytes, bytes | None, int | None]] = []
-    for group in _runs(batches):
+    for group in grouped_runs(batches, GROUP):
         if group.num_rows > 1:
             ends += _links(group, cosine)
         if len(ends) > 50_000:

@@ -25,7 +25,7 @@ from returnlens.llm.shared import slices, split_codes, texts_of
 CAPACITY = 4096
 OPEN_BINS = 32_768
 END_ID = 1
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts, white space between the matches dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

@@ -67,9 +67,7 @@ def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.bpe_encode(docs, path).select("doc_id", "ids")
-    decoded = bpe.bpe_decode(encoded, path)
-    return decoded.select(
+    return bpe.bpe_round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

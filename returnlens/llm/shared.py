@@ -116,3 +116,22 @@ class Runs:
         starts = self.bounds[numbers]
         lengths = self.bounds[numbers + 1] - starts
         return self.pool[ragged(starts, lengths)], lengths
+
+
+def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of a sorted partition; a group must fit in memory."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None or not held.num_rows else pa.concat_tables([held, table]).combine_chunks()
+        changes = np.zeros(max(0, held.num_rows - 1), bool)
+        for key in keys:
+            column = plain(held[key])
+            changed = pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1)))
+            changes |= changed.to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            yield held.slice(low, high - low)
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
