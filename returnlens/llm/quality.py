@@ -147,13 +147,11 @@ def quality(frame: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     enough = 100 * F.length(bare(F.col("clean_text"))) >= LEAST_LEFT * F.col("word_chars")
-    return counted.select(
-        *kept_names,
-        *OUTPUTS[:5],
-        failed.alias("base_failed"),
-        (~failed & enough).alias("kept"),
-        "clean_text",
-    )
+    # A filter on the verdict must not be pushed below: it would judge every text twice, the inner steps many times.
+    # Spark moves no filter past a generator, and this one makes one row of each.
+    verdict = F.struct(*OUTPUTS[:5], failed.alias("base_failed"), (~failed & enough).alias("kept"), "clean_text")
+    held = counted.select(*kept_names, F.explode(F.array(verdict)).alias("_verdict"))
+    return held.select(*kept_names, *(F.col(f"_verdict.{c}").alias(c) for c in OUTPUTS))
 
 
 OUTPUTS = [
