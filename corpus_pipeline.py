@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again.
+
+Every stage takes what its predecessor kept. All but the last return the columns of documents; where a stage changes a
+text, ``n_chars`` follows. Rows of equal ``doc_id`` are one document.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,68 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from returnlens.llm import queries
+from returnlens.llm import line_dedup, quality, queries, simhash, toxicity
 from returnlens.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of the training fold, scores below its threshold."""
+    model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), model.column("text").alias("score"))
+    return rows.filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality rules keep, without their failing lines."""
+    judged = quality.quality(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept")
+    return _with_text(judged, docs.columns, F.col("clean_text"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
+    queries.prepare(spark)
+    classes = line_dedup.line_classes(docs.select("doc_id", "text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    cleaned = line_dedup.without_repeated_lines(rows, classes)
+    emptied = (F.length(quality.bare(F.col("text"))) == 0) & (F.length(quality.bare(F.col("row.text"))) > 0)
+    return _with_text(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs.columns, F.col("text"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked fingerprints, the document of the smallest id."""
+    queries.prepare(spark)
+    groups = simhash.simhash_groups(docs.select("doc_id", "text"), bits=3, words=3)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    queries.prepare(spark)
     return queries.packed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", pack_documents)]
+def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
+    """The columns of ``row`` with another text, and its length where it changed."""
+    old = F.col("row.text")
+    values = {"text": text, "n_chars": F.when(text.eqNullSafe(old), F.col("row.n_chars")).otherwise(F.length(text))}
+    return rows.select(*(values.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack_documents),
+]
 
-# Tokenizers and a trained classifier are beyond SQL; the tests hold the stages against brute force.
+# A trained classifier, edit distances, fingerprints and tokenizers are beyond SQL; the tests hold the stages against
+# brute force.
 ORACLE_SQL = None
 
 

@@ -17,8 +17,13 @@ from returnlens.session import shared_dir
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed."""
     ship_package(spark, ROOT)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
