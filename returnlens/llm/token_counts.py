@@ -4,12 +4,14 @@ A piece vocabulary with word starts never merges across the start of a run of wo
 text are those of its pre-tokens: marks with the characters that follow them. The steps:
 
 1. Each chunk of documents gives one row per distinct pre-token, with the documents that hold it and how often.
-2. The distinct pre-tokens of all chunks are counted once each, by the library.
-3. A join brings the counts to the frequencies. Each frequency row stands for a whole chunk, so a pre-token of every
-   document has one row per chunk; both sides are shuffled under the join, which lets Spark split a hot one.
-4. Products are summed per document, first within a task, then per chunk.
-
-Bounds: a chunk holds at most ``CHUNK_BYTES`` of text (or one longer document) and 65,536 documents.
+2. These rows are shuffled and sorted by pre-token, so all frequencies of a pre-token meet its count, which the library
+   gives once. This is a merge join whose other side is made on the way: a table of counts of its own would take the
+   same shuffle a second time.
+3. Products are summed per document, first within a task, then per chunk.
+
+Bounds: a chunk holds at most ``CHUNK_BYTES`` of text (or one longer document) and 65,536 documents. A pre-token of
+every document has one row per chunk; the rows of ``SPAN`` input partitions go to one task at most, so on larger
+inputs a pre-token is counted once for each such span.
 """
 
 from __future__ import annotations
@@ -25,15 +27,22 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, ArrayType, LongType
+from pyspark.sql.types import StructField, StructType
 
 from returnlens.llm.shared import gathered, plain, split_codes, texts_of
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 1 << 16
-FLUSH_PAIRS = 4_000_000
+SPAN = 1 << 10
+CHUNK_BITS = 16  # for the chunks of one partition
+FLUSH_PAIRS = 2_000_000
+SENT_ROWS = 50_000
 MARK = "▁"
 LEAD = "\n"
+# How often a document (its number in the chunk) holds a pre-token, and how many tokens that gives.
+# A frequency beyond 255 takes several entries.
+POSTING = np.dtype([("doc", "<u2"), ("n", "u1")])
+SUM = np.dtype([("doc", "<u2"), ("n", "<i8")])
 PRE_TOKENS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -84,24 +93,16 @@ def token_counts(
     have 0 bytes and 0 tokens. Repeated rows and NULL keys give a row each; other columns are not read.
     """
     docs = frame.select(frame[key].alias("key"), frame[text].cast("string").alias("text"))
-    key_type = docs.schema["key"].dataType
-    listed = [
-        StructField("keys", ArrayType(key_type)),
-        StructField("sizes", ArrayType(LongType())),
-    ]
-    postings = StructType.fromDDL("chunk long, pre_token string, docs binary, counts binary")
-    frequencies = docs.mapInArrow(_chunk_rows, StructType([*postings.fields, *listed]))
-    counted = (
-        docs.select("text")
-        .mapInArrow(_distinct_words, "pre_token string")
-        .distinct()
-        .mapInArrow(functools.partial(_counted_words, path), "pre_token string, n_pieces int")
+    frequencies = docs.mapInArrow(_chunk_rows, "chunk long, pre_token string, postings binary")
+    span = F.shiftright("chunk", CHUNK_BITS + SPAN.bit_length() - 1)
+    partial = (
+        frequencies.repartition("pre_token", span)
+        .sortWithinPartitions("pre_token")
+        .mapInArrow(functools.partial(_partial_sums, path), "chunk long, listed boolean, postings binary")
     )
-    joined = frequencies.join(counted, "pre_token", "left")
-    partial = joined.drop("pre_token").mapInArrow(
-        _partial_sums, StructType([*StructType.fromDDL("chunk long, docs binary, counts binary").fields, *listed])
+    out = StructType(
+        [StructField("key", docs.schema["key"].dataType), *StructType.fromDDL("n_bytes long, n_tokens long").fields]
     )
-    out = StructType([StructField("key", key_type), *StructType.fromDDL("n_bytes long, n_tokens long").fields])
     totals = partial.groupBy("chunk").applyInArrow(_chunk_totals, out)
     return totals.select(
         F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
@@ -109,100 +110,97 @@ def token_counts(
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Runs of fixed-width numbers as binary values."""
+    """Runs of fixed-width records as binary values."""
     offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(values)])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
 
 
-def _numbers(values: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of binary values, and how many each value holds."""
+def _records(values: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of binary values, and how many each value holds."""
     values = plain(values)
     joined = b"".join(values.to_pylist())
-    return np.frombuffer(joined, dtype), pc.binary_length(values).to_numpy(zero_copy_only=False) // np.dtype(dtype).itemsize
+    return np.frombuffer(joined, dtype), pc.binary_length(values).to_numpy(zero_copy_only=False) // dtype.itemsize
 
 
-def _listed(values: pa.Array, kind: pa.DataType, rows: int) -> pa.Array:
-    """Rows of NULL, then one row that lists all the values."""
-    bounds = pa.array([*[None] * rows, 0, len(values)], pa.int32())
-    return pa.ListArray.from_arrays(bounds, values.cast(kind))
+def _table_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each chunk: one per distinct pre-token, and one that lists the chunk's documents."""
-    first = TaskContext.get().partitionId() << 16
+    first = TaskContext.get().partitionId() << CHUNK_BITS
     for number, batch in enumerate(gathered(batches, "text", CHUNK_BYTES, CHUNK_ROWS)):
         texts = texts_of(batch.column("text"))
-        n = len(texts)
+        n, chunk = len(texts), first + number
         rows, codes, words = pre_tokens(texts)
         pairs, counts = np.unique(codes * n + rows, return_counts=True)
+        entries = -(-counts // 255)
+        pairs, last = np.repeat(pairs, entries), np.cumsum(entries) - 1
+        postings = np.empty(len(pairs), POSTING)
+        postings["doc"], postings["n"] = pairs % n, 255
+        postings["n"][last] = counts - 255 * (entries - 1)
         owners = pairs // n
-        starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(pairs) else np.zeros(0, np.int64)
-        bounds = np.concatenate([starts, [len(pairs)] * 2])  # the last row has no postings
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
         used = pa.array(words, pa.string()).take(pa.array(owners[starts]))
-        chunk = first + number
-        m = len(starts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(m + 1, chunk)),
-                pa.concat_arrays([used, pa.array([f"chunk {chunk}"])]),
-                _binary((pairs % n).astype("<u2"), bounds),
-                _binary(counts.astype("<i4"), bounds),
-                _listed(batch.column("key"), batch.column("key").type, m),
-                _listed(pc.binary_length(texts), pa.int64(), m),
-            ],
-            names=["chunk", "pre_token", "docs", "counts", "keys", "sizes"],
-        )
-
-
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in gathered(batches, "text", CHUNK_BYTES, CHUNK_ROWS):
-        _, codes, words = pre_tokens(texts_of(batch.column("text")))
-        used = pa.array(words, pa.string()).take(pa.array(np.unique(codes)))
-        yield pa.RecordBatch.from_arrays([used], names=["pre_token"])
-
-
-def _counted_words(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column("pre_token")
-        yield pa.RecordBatch.from_arrays(
-            [words, pa.array(count_pieces(path, words.to_pylist()))], names=["pre_token", "n_pieces"]
-        )
-
-
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Products of frequency and piece count, summed per document as far as one task can."""
+        listed = pa.table({"key": batch.column("key"), "size": pc.binary_length(texts).cast(pa.int64())})
+        for names, values in (
+            (used, _binary(postings, np.append(starts, len(pairs)))),
+            (pa.array([f"chunk {chunk}"]), pa.array([_table_bytes(listed)], pa.binary())),
+        ):
+            for low in range(0, len(names), SENT_ROWS):
+                part = names.slice(low, SENT_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), chunk)), part, values.slice(low, SENT_ROWS)],
+                    names=["chunk", "pre_token", "postings"],
+                )
+
+
+def _partial_sums(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of frequency and piece count, summed per document as far as one task can.
+
+    Rows that list a chunk's documents, which carry no word-start mark, pass.
+    """
+    names = ["chunk", "listed", "postings"]
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    shape: list[pa.DataType] = []
 
     def summed() -> pa.RecordBatch:
         owner, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sums = np.zeros(len(owner), "<i8")
-        np.add.at(sums, inverse, np.concatenate([h[1] for h in held]))
+        sums = np.empty(len(owner), SUM)
+        sums["doc"] = owner & 0xFFFF
+        sums["n"] = 0
+        np.add.at(sums["n"], inverse, np.concatenate([h[1] for h in held]))
         chunks = owner >> 16
-        starts = np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1]))
-        bounds = np.append(starts, len(owner))
-        nothing = [pa.nulls(len(starts), kind) for kind in shape]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(chunks[starts]), _binary((owner & 0xFFFF).astype("<u2"), bounds), _binary(sums, bounds), *nothing],
-            names=["chunk", "docs", "counts", "keys", "sizes"],
-        )
+        starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+        values = _binary(sums, np.append(starts, len(owner)))
+        return pa.RecordBatch.from_arrays([pa.array(chunks[starts]), pa.array([False] * len(starts)), values], names)
 
+    last, last_count = "", 0
     for batch in batches:
-        shape = [batch.column("keys").type, batch.column("sizes").type]
-        lists = batch.filter(pc.is_null(batch.column("n_pieces")))
+        listing = pc.invert(pc.starts_with(batch.column("pre_token"), MARK))
+        lists, rows = batch.filter(listing), batch.filter(pc.invert(listing))
         if lists.num_rows:
-            yield lists.select(["chunk", "docs", "counts", "keys", "sizes"])
-        rows = batch.filter(pc.is_valid(batch.column("n_pieces")))
-        docs, lengths = _numbers(rows.column("docs"), "<u2")
-        counts, _ = _numbers(rows.column("counts"), "<i4")
-        if not len(docs):
+            yield pa.RecordBatch.from_arrays(
+                [lists["chunk"], pa.array([True] * lists.num_rows), lists["postings"]], names
+            )
+        if not rows.num_rows:
             continue
+        coded = rows.column("pre_token").dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        # The rows are sorted: only the first may have been counted with the batch before.
+        again = words[0] == last
+        counted = count_pieces(path, words[again:])
+        n_pieces = np.append(np.array([last_count] * again, np.int32), counted).astype(np.int64)
+        last, last_count = words[-1], n_pieces[-1]
+        found, lengths = _records(rows.column("postings"), POSTING)
         # Chunk numbers need 47 bits at most: 31 of the partition, 16 of its chunk.
         chunks = np.repeat(rows.column("chunk").to_numpy(), lengths)
-        pieces = np.repeat(rows.column("n_pieces").to_numpy().astype(np.int64), lengths)
-        held.append(((chunks << 16) | docs, counts * pieces))
-        size += len(docs)
+        pieces = np.repeat(n_pieces[coded.indices.to_numpy(zero_copy_only=False)], lengths)
+        held.append(((chunks << 16) | found["doc"], found["n"] * pieces))
+        size += len(found)
         if size > FLUSH_PAIRS:
             yield summed()
             held, size = [], 0
@@ -211,11 +209,9 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _chunk_totals(table: pa.Table) -> pa.Table:
-    listed = table.filter(pc.is_valid(table["keys"]))
-    keys = plain(plain(listed["keys"]).flatten())
-    sums = table.filter(pc.is_null(table["keys"]))
-    docs, _ = _numbers(sums["docs"], "<u2")
-    counts, _ = _numbers(sums["counts"], "<i8")
-    totals = np.zeros(len(keys), np.int64)
-    np.add.at(totals, docs, counts)
-    return pa.table({"key": keys, "n_bytes": plain(listed["sizes"]).flatten(), "n_tokens": pa.array(totals)})
+    listed = table.filter(table["listed"])["postings"]
+    docs = pa.ipc.open_stream(listed[0].as_buffer()).read_all()
+    found, _ = _records(table.filter(pc.invert(table["listed"]))["postings"], SUM)
+    totals = np.zeros(docs.num_rows, np.int64)
+    np.add.at(totals, found["doc"], found["n"])
+    return pa.table({"key": docs["key"], "n_bytes": docs["size"], "n_tokens": pa.array(totals)})
