@@ -23,14 +23,17 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from returnlens.llm.shared import OTHER_SPACES, Runs, plain, ragged, slices, split_codes, texts_of
 
 NONE = np.iinfo(np.int32).max
-WORDS_KEPT = 250_000
+PARTS_KEPT = 250_000
+WORDS_KEPT = 500_000
 SLICE_BYTES = 3 << 20
 SLICE_ROWS = 2_000
 SEPARATOR = "\x0b"  # white space that texts hardly hold
+UNKNOWN = r"[^\p{L}\p{N}\p{M}\p{P}\p{S}\p{Z}\p{C}]"
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -166,28 +169,31 @@ def merges(path: str) -> Merges:
 
 
 class WordRuns:
-    """Ids of parts of texts, kept while there are at most ``WORDS_KEPT`` of them and found anew beyond.
+    """Ids of parts of texts and of their pre-tokens, kept up to a number of each and found anew beyond.
 
-    A part is cut into special tokens first, then by the pattern, after the normaliser, into pre-tokens.
+    A part is cut into special tokens first, then by the pattern, after the normaliser, into pre-tokens. Parts with
+    characters that not every version of Unicode knows are cut by the tokenizer's own library.
     """
 
     def __init__(self, path: str, pattern: str, normal: Callable[[str], str] = str):
         self.merges, self.normal = merges(path), normal
+        library = Tokenizer.from_file(path)
+        self.library_normal = library.normalizer.normalize_str if library.normalizer else str
+        self.library_cut = library.pre_tokenizer.pre_tokenize_str
         self.special = self.merges.special
         names = "|".join(map(regex.escape, self.special))
         self.split = regex.compile(f"({names})").split if names else lambda text: [text]
         self.find = regex.compile(rf"{pattern}|{SEPARATOR}").findall
-        self.alone = rf"^  |^ ?[{OTHER_SPACES}]|[ {OTHER_SPACES}]$|^$|{SEPARATOR}" + (f"|{names}" if names else "")
-        self.clear()
-
-    def clear(self) -> None:
+        self.alone = rf"^  |^ ?[{OTHER_SPACES}]|[ {OTHER_SPACES}]$|^$|{SEPARATOR}|{UNKNOWN}" + (f"|{names}" if names else "")
         self.words, self.word_runs = {}, Runs()
         self.parts, self.part_runs = {}, Runs()
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The run number of each part in ``part_runs``, new parts encoded on the way."""
-        if len(self.parts) + len(parts) > WORDS_KEPT:
-            self.clear()
+        if len(self.parts) + len(parts) > PARTS_KEPT:
+            self.parts, self.part_runs = {}, Runs()
+            if len(self.words) > WORDS_KEPT:
+                self.words, self.word_runs = {}, Runs()
         known = self.parts
         new = [p for p in dict.fromkeys(parts) if p not in known]
         if new:
@@ -225,7 +231,11 @@ class WordRuns:
         """Pre-tokens of a part, special tokens as their ids."""
         out: list[str | int] = []
         for text in self.split(part):
-            out += [self.special[text]] if text in self.special else self.find(self.normal(text))
+            if text in self.special:
+                out.append(self.special[text])
+            else:
+                plain_text = self.library_normal(text)
+                out += [plain_text[a:b] for _, (a, b) in self.library_cut(plain_text)]
         return out
 
     def _encode(self, fresh: list[str | int]) -> None:

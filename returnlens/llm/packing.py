@@ -9,6 +9,7 @@ fullest closes first. A partition wastes at most the space of its last few bins.
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from tokenizers import normalizers
 
 from returnlens.llm.bpe import WordRuns
 from returnlens.llm.shared import slices, split_codes, texts_of
@@ -64,10 +64,16 @@ class OpenBins:
         return number
 
 
+def normal(text: str) -> str:
+    """NFC in lower case, character by character: only for a sigma does Python look at the neighbours."""
+    if text.isascii():
+        return text.lower()
+    return "σ".join(part.lower() for part in unicodedata.normalize("NFC", text).split("Σ"))
+
+
 @functools.cache
 def _word_level(path: str) -> WordRuns:
-    normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-    return WordRuns(path, PATTERN, lambda text: text.lower() if text.isascii() else normal.normalize_str(text))
+    return WordRuns(path, PATTERN, normal)
 
 
 def token_pieces(
