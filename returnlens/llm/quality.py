@@ -81,21 +81,33 @@ def line_kept(line: Column, words: Column) -> Column:
     return ~(punctuation | navigation | boilerplate)
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words covered by windows that occur at least twice, given each window's hash in order of place."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Equal hashes lie together; those with an equal neighbour are repeated.
-    pairs = F.zip_with(F.slice(placed, 1, F.size(placed) - 1), F.slice(placed, 2, F.size(placed) - 1), _both)
-    places = F.array_sort(F.array_distinct(F.flatten(pairs)))
-    steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window))))
-    repeats = F.aggregate(steps, F.lit(0), lambda total, step: total + step)
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(repeats).cast("long")
+def placed_hashes(hashes: Column) -> Column:
+    """Hashes with their places, sorted, so that equal ones lie together; none if all differ."""
+    some = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), hashes).otherwise(F.array().cast("array<bigint>"))
+    return F.array_sort(F.transform(some, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+
+def repeated_places(placed: Column) -> Column:
+    """Places of the windows whose hash has an equal neighbour, in order."""
+    rest = F.greatest(F.size(placed) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(placed, 1, rest), F.slice(placed, 2, rest), _both)
+    return F.array_sort(F.array_distinct(F.flatten(pairs)))
 
 
 def _both(a: Column, b: Column) -> Column:
     return F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
 
 
+def covered_words(places: Column, window: int = WINDOW) -> Column:
+    """Words in windows at the given places, each once."""
+    steps = F.zip_with(
+        places,
+        F.slice(places, 2, F.size(places)),
+        lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window))),
+    )
+    return F.aggregate(steps, F.lit(0), lambda total, step: total + step).cast("long")
+
+
 def quality(frame: DataFrame, text: str = "text") -> DataFrame:
     """Every row with its counts, ``base_failed``, ``kept`` and ``clean_text``; columns of these names are replaced.
 
@@ -135,6 +147,8 @@ def quality(frame: DataFrame, text: str = "text") -> DataFrame:
             F.isnotnull,
         ).alias("_passed"),
     )
+    judged = judged.withColumn("_placed", placed_hashes(F.col("_windows")))
+    judged = judged.withColumn("_places", repeated_places(F.col("_placed")))
     solid = F.length(bare(F.col("_text")))
     counted = judged.select(
         *kept_names,
@@ -142,7 +156,7 @@ def quality(frame: DataFrame, text: str = "text") -> DataFrame:
         solid.cast("long").alias("word_chars"),
         (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_windows")).alias("n_repeat_words"),
+        covered_words(F.col("_places")).alias("n_repeat_words"),
         F.array_join("_passed", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
