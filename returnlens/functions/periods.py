@@ -141,7 +141,9 @@ def _half_day_after(whole_days: int) -> Column:
 def _newest(table: DataFrame, column: str, lookback: Lookback):
     if lookback.latest is None:
         newest = table.agg(F.max(column).alias("newest"))
-        return lambda shift: newest.select(shift(F.col("newest"))).scalar()
+        # Spark would merge the bounds into fields of one struct, which no scan takes as a filter. It leaves
+        # subqueries alone that end in a coalesce; their common aggregation still runs once.
+        return lambda shift: newest.select(shift(F.col("newest"))).coalesce(1).scalar()
     if isinstance(lookback.latest, datetime):
         return lambda shift: shift(timestamp(lookback.latest))
     return lambda shift: shift(F.lit(lookback.latest))

@@ -15,5 +15,6 @@ def between_ends(rows: DataFrame, column: str, keys: DataFrame, key: str) -> Dat
     only costs the minimum and maximum.
     """
     # Both values ask for both ends, so that their aggregations are alike and run once.
-    first, last = (keys.agg(end(F.min(key), F.max(key))).scalar() for end in (F.least, F.greatest))
+    # The coalesce keeps Spark from merging them into one struct, which no scan takes as a filter.
+    first, last = (keys.agg(end(F.min(key), F.max(key))).coalesce(1).scalar() for end in (F.least, F.greatest))
     return rows.filter(F.col(column).between(first, last))

@@ -30,8 +30,11 @@ SENT_BACK = (RETURNED, EXCHANGED, REJECTED)
 
 
 def outside(states: Iterable[str], column: str | Column = STATE) -> Column:
-    """True when the state is known and not in ``states``; NULL for a NULL state."""
-    return ~_col(column).isin(*states)
+    """True when the state is known and not in ``states``; NULL for a NULL state, false for a blank one.
+
+    A blank state is a missing one. It is listed here, not turned to NULL, so that the filter reaches the scan.
+    """
+    return ~_col(column).isin(*states, "")
 
 
 def inside(states: Iterable[str], column: str | Column = STATE) -> Column:

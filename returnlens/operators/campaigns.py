@@ -42,8 +42,7 @@ def order_list_return_rate(items: DataFrame, orders: DataFrame, order_list: Data
     """Per config sku, for the orders whose number is in ``order_list`` (column ``order_nr``)."""
     listed = orders.join(once_per_key(order_list, "order_nr"), "order_nr", "left_semi")
     counts = dict(zip(PRODUCT_COUNTS, (GROSS, AFTER_RETURN)))
-    near = between_ends(items, "fk_sales_order", listed, "id_sales_order")
-    units = ordered_units(near, _distinct_orders(listed), counts)
+    units = ordered_units(items, order_rows(_distinct_rows(listed)), counts)
     return _product_rate(units.groupBy("productsku").agg(*sums(PRODUCT_COUNTS)))
 
 
@@ -56,40 +55,53 @@ def non_campaign_return_rate(
     start: datetime,
     end: datetime,
     pattern: str = PATTERN,
-    ids_may_be_null: bool = False,
 ) -> DataFrame:
     """Per config sku, for orders of [start, end] without items a campaign reached.
 
-    Each count has its own set of reached items. With ``ids_may_be_null`` a reached item
-    without an id empties the count, as NOT IN does; item ids normally are the table's key.
+    Each count leaves out its own set of reached item ids, by the rule of NOT IN: a reached item without an id
+    empties the count, and an item without an id counts only if nothing was reached. Items are read once: the orders
+    carry the mark whether a campaign reached them, and the reached items are found among the same units.
     """
     before, after = PRODUCT_COUNTS
     counts = {before: NET_OF_CANCEL, after: AFTER_RETURN}
     placed = _placed_between(orders, start, end)
     near = between_ends(items, "fk_sales_order", placed, "id_sales_order")
-    units = ordered_units(near, _distinct_orders(placed), counts)
+    numbers = reached_orders(web_orders, web_campaigns, confdata, pattern).withColumnRenamed("order_nr", "reached_nr")
+    listed = _distinct_rows(placed)
+    marked = listed.join(numbers, listed.order_nr == numbers.reached_nr, "left")
+    by_order = once_per_key(
+        marked,
+        "id_sales_order",
+        F.count(F.lit(1)).alias("order_rows"),
+        F.max(flag(F.col("reached_nr").isNotNull())).alias("reached"),
+    )
+    units = ordered_units(near, by_order, counts, marks=("reached",))
 
-    reached = _reached_items(near, placed, web_orders, web_campaigns, confdata, pattern, counts)
-    # NET_OF_CANCEL holds for every reached row; the second flag tells which of them count
-    # after returns as well.
-    hits = once_per_key(
-        reached.withColumnRenamed("id_sales_order_item", "reached_id"),
-        "reached_id",
-        F.max(before).alias("hit_before"),
-        F.max(after).alias("hit_after"),
+    reached = units.filter(F.col("reached") == 1).select(
+        F.col("id_sales_order_item").alias("reached_id"), *(flag(F.col(n) > 0).alias(f"hit_{n}") for n in counts)
     )
-    matched = units.join(hits, units.id_sales_order_item == hits.reached_id, "left")
-    free = {name: F.coalesce(hit, F.lit(0)) == 0 for name, hit in ((before, "hit_before"), (after, "hit_after"))}
-    if ids_may_be_null:
-        without_id = F.col("id_sales_order_item").isNull()
-        ends = reached.agg(
-            *(F.max(n).alias(f"any_{n}") for n in counts),
-            *(F.max(F.when(without_id, F.col(n))).alias(f"null_{n}") for n in counts),
-        )
-        for name in counts:
-            some = F.coalesce(ends.select(f"any_{name}").scalar(), F.lit(0)) == 1
-            null = F.coalesce(ends.select(f"null_{name}").scalar(), F.lit(0)) == 1
-            free[name] &= ~null & ~(without_id & some)
+    hits = once_per_key(reached, "reached_id", *(F.max(f"hit_{n}").alias(f"hit_{n}") for n in counts))
+    without_id = F.col("reached_id").isNull()
+    # One struct, so that the subquery reads the same columns as the rest and shares its shuffles.
+    ends = reached.agg(
+        F.struct(
+            *(F.max(f"hit_{n}").alias(f"any_{n}") for n in counts),
+            *(F.max(F.when(without_id, F.col(f"hit_{n}"))).alias(f"null_{n}") for n in counts),
+        ).alias("ends")
+    ).scalar()
+
+    def found(name: str) -> Column:
+        return F.coalesce(ends.getField(name), F.lit(0)) == 1
+
+    # Null-safe, though NULL ids are decided below: a plain equality would filter the hits' scan only, and the items
+    # would be read for each side. (A hit without an id empties the counts anyway.)
+    matched = units.join(hits, units.id_sales_order_item.eqNullSafe(hits.reached_id), "left")
+    free = {
+        n: (F.coalesce(f"hit_{n}", F.lit(0)) == 0)
+        & ~found(f"null_{n}")
+        & ~(F.col("id_sales_order_item").isNull() & found(f"any_{n}"))
+        for n in counts
+    }
     kept = matched.select("productsku", *(F.when(free[n], F.col(n)).otherwise(0).alias(n) for n in counts))
     return _product_rate(
         kept.filter((F.col(before) > 0) | (F.col(after) > 0)).groupBy("productsku").agg(*sums(counts))
@@ -170,8 +182,8 @@ def _placed_between(orders: DataFrame, start: datetime, end: datetime) -> DataFr
     return orders.filter(between(orders, "created_at", start, end))
 
 
-def _distinct_orders(orders: DataFrame) -> DataFrame:
-    return order_rows(orders.select("id_sales_order", "order_nr", "created_at").distinct())
+def _distinct_rows(orders: DataFrame) -> DataFrame:
+    return orders.select("id_sales_order", "order_nr", "created_at").distinct()
 
 
 def _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts) -> DataFrame:
@@ -201,17 +213,17 @@ def _current_catalogue(product: DataFrame, as_of: datetime | None) -> tuple[Data
 def _tracked_orders(web_orders, web_visitors, web_campaigns, confdata, pattern) -> DataFrame:
     """Order numbers with a complete session path, and whether a campaign on it matched.
 
-    ``distinct`` leaves at most two rows per campaign code, session and order number (with and
-    without a match), so no step multiplies rows by more than two.
+    Only the matching row of a session, number or order is kept where there is one: its unmatched twin shares the
+    order, item and customer and comes later in every ranking.
     """
-    codes = confdata.select("datasourcevalue", flag(mentions("campaign", pattern)).alias("abandoned")).distinct()
-    sessions = (
-        web_campaigns.join(codes, web_campaigns.campaign == codes.datasourcevalue)
-        .join(once_per_key(web_visitors, "sid"), "sid", "left_semi")
-        .select("sid", "abandoned")
-        .distinct()
+    match = F.max("abandoned").alias("abandoned")
+    codes = once_per_key(
+        confdata.withColumn("abandoned", flag(mentions("campaign", pattern))), "datasourcevalue", match
     )
-    return web_orders.join(sessions, "sid").select(F.col("order_id").alias("order_nr"), "abandoned").distinct()
+    visited = web_campaigns.join(codes, web_campaigns.campaign == codes.datasourcevalue).select("sid", "abandoned")
+    sessions = once_per_key(visited, "sid", match).join(once_per_key(web_visitors, "sid"), "sid", "left_semi")
+    numbers = web_orders.join(sessions, "sid").select(F.col("order_id").alias("order_nr"), "abandoned")
+    return once_per_key(numbers, "order_nr", match)
 
 
 def _first_entries(
@@ -236,9 +248,12 @@ def _first_entries(
         orders.filter(F.col("dg_end_date") > moment)
         .select("id_sales_order", "order_nr", F.col("mage_customer_entity_id").alias("customer"))
         .join(tracked, "order_nr")
-        .distinct()
+        .groupBy("id_sales_order", "order_nr", "customer")
+        .agg(F.max("abandoned").alias("abandoned"))
     )
-    rows = sold.join(placed, sold.fk_sales_order == placed.id_sales_order).join(listed, "sku", "left_semi")
+    # An inner join with distinct skus: a semi join would be pushed below the orders, and all items of the period
+    # would be shuffled by sku before the orders have reduced them.
+    rows = sold.join(placed, sold.fk_sales_order == placed.id_sales_order).join(listed, "sku")
 
     entry = F.struct(
         F.col("id_sales_order_item").alias("item"),

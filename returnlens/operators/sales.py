@@ -68,14 +68,13 @@ def sold_articles_tagged(product: DataFrame, items: DataFrame, orders: DataFrame
     Nothing is deduplicated: an item row counts once per matching order row and catalogue row.
     """
     counts = {"sold_articles_bef_return": BEFORE_RETURN_REJ, "sold_articles": AFTER_RETURN_OLD}
-    tags = [F.sum(flag(outside(states))).alias(name) for name, states in counts.items()]
-    per_order = items.filter(outside(set(BEFORE_RETURN_REJ) & set(AFTER_RETURN_OLD))).groupBy(
-        "sku", "fk_sales_order"
-    ).agg(*tags)
+    sold = items.filter(outside(set(BEFORE_RETURN_REJ) & set(AFTER_RETURN_OLD))).select(
+        "sku", "fk_sales_order", *(flag(outside(states)).alias(name) for name, states in counts.items())
+    )
     placed = order_rows(orders)
     times = F.coalesce("order_rows", F.lit(1))
     per_sku = (
-        per_order.join(placed, per_order.fk_sales_order == placed.id_sales_order, "left")
+        sold.join(placed, sold.fk_sales_order == placed.id_sales_order, "left")
         .groupBy("sku")
         .agg(*(F.sum(F.col(n) * times).alias(n) for n in counts))
     )

@@ -21,17 +21,19 @@ def flagged_items(items: DataFrame, counts: Mapping[str, Iterable[str]]) -> Data
     )
 
 
-def ordered_units(items: DataFrame, placed: DataFrame, counts: Mapping[str, Iterable[str]]) -> DataFrame:
+def ordered_units(
+    items: DataFrame, placed: DataFrame, counts: Mapping[str, Iterable[str]], marks: Iterable[str] = ()
+) -> DataFrame:
     """Distinct items of the given orders, each count multiplied by the order's rows.
 
     Several rows of one item (its history) count once per set of states, however many of them
     fall into the set. ``placed`` comes from ``order_rows``. The shuffle that brings items to
-    their order also serves the deduplication.
+    their order also serves the deduplication. ``marks`` are further columns of ``placed`` to keep.
     """
     flagged = flagged_items(items, counts)
     joined = flagged.join(placed, flagged.fk_sales_order == placed.id_sales_order)
     units = joined.groupBy(*UNIT_KEY).agg(
-        *(F.max(name).alias(name) for name in counts), F.max("order_rows").alias("order_rows")
+        *(F.max(name).alias(name) for name in counts), *(F.max(c).alias(c) for c in ("order_rows", *marks))
     )
     return units.select(
         "id_sales_order_item",
@@ -39,6 +41,7 @@ def ordered_units(items: DataFrame, placed: DataFrame, counts: Mapping[str, Iter
         "name",
         config_prefix("sku").alias("productsku"),
         *((F.col(name) * F.col("order_rows")).alias(name) for name in counts),
+        *marks,
     )
 
 

@@ -21,28 +21,22 @@ SETTINGS = {
 }
 
 
-# Merging the two bounds of a period into one subquery would make them fields of a struct, and
-# only a plain value can be handed to the scan as a filter.
-EXCLUDED_RULES = "spark.sql.optimizer.excludedRules"
-MERGE_SUBQUERIES = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
+# Bytes of one shuffle partition of the widest exchange. Adaptive execution merges the partitions of smaller ones.
+PARTITION_BYTES = 512 * 1024 * 1024
 
-# Shuffle partitions start at this size; AQE merges the small ones afterwards.
-PARTITION_BYTES = 128 * 1024 * 1024
 
+def configure(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Apply the settings; with ``shuffled_bytes`` also size the shuffles for the widest exchange.
 
-def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
-    """Apply the settings; with ``input_bytes`` also size the shuffles for that much data.
-
-    The number of shuffle partitions the session already has is never lowered.
+    That is what arrives in the widest exchange after filters, column pruning and map-side combining, far less than
+    what is read. The settings stay on the session; no optimizer rule is switched off. The number of shuffle
+    partitions the session already has is never lowered.
     """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    excluded = [rule for rule in spark.conf.get(EXCLUDED_RULES, "").split(",") if rule]
-    if MERGE_SUBQUERIES not in excluded:
-        spark.conf.set(EXCLUDED_RULES, ",".join([*excluded, MERGE_SUBQUERIES]))
-    if input_bytes is not None:
-        wanted = math.ceil(input_bytes / PARTITION_BYTES)
+    if shuffled_bytes is not None:
+        wanted = math.ceil(shuffled_bytes / PARTITION_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark

@@ -32,10 +32,10 @@ SCHEMAS = {
     "fct_sales": "date_id int, article_id bigint, sold_articles_bef_return int, sold_articles int",
 }
 
-# Text columns in which an empty string means "missing".
-BLANK_IS_NULL = {
-    "sales_order_item": ("sku",),
-    "product": ("sku", "brand", "inventory_type"),
-    "stock": ("sku",),
-    "dim_products": ("sku", "targetgroup", "description"),
-}
+# An empty string means "missing" in every text column. It is read as NULL, except in columns that are only ever
+# compared with constants: there the comparisons leave it out, and their filters reach the scan.
+BLANK_KEPT = ("dwh_shipment_state",)
+
+
+def blank_is_null(column: str, kind: str) -> bool:
+    return kind == "string" and column not in BLANK_KEPT

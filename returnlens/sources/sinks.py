@@ -9,11 +9,16 @@ def forecast_table_name(venture: str) -> str:
     return f"{venture}_RTN_CNCL_FC"
 
 
-def write_forecast_table(forecast: DataFrame, venture: str, schema: str | None = None) -> str:
-    """Create the venture's forecast table; fails when it exists."""
+def write_forecast_table(
+    forecast: DataFrame, venture: str, schema: str | None = None, folder: str | None = None
+) -> str:
+    """Create the venture's forecast table at once, in ``folder`` if one is given; fails when it exists."""
     name = forecast_table_name(venture)
     qualified = f"{schema}.{name}" if schema else name
-    forecast.write.mode("errorifexists").format("parquet").saveAsTable(qualified)
+    writer = forecast.write.mode("errorifexists").format("parquet")
+    if folder:
+        writer = writer.option("path", f"{folder.rstrip('/')}/{name}")
+    writer.saveAsTable(qualified)
     return qualified
 
 

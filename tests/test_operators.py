@@ -205,8 +205,7 @@ def test_the_date_range_ends_at_the_given_instant(make):
     assert rows(found, "productsku") == [("S1",)]
 
 
-@pytest.mark.parametrize("aware, expected", [(False, [("A", 2, 2, 0.0)]), (True, [])])
-def test_a_reached_item_without_an_id(make, aware, expected):
+def test_a_reached_item_without_an_id_empties_the_count(make):
     placed = make("sales_order", [order(1), order(2)])
     tables = web(
         make,
@@ -215,8 +214,15 @@ def test_a_reached_item_without_an_id(make, aware, expected):
         web_confdata=CODES,
     )
     items = make("sales_order_item", [item(None), item(2, order=2)])
-    found = campaigns.non_campaign_return_rate(items, placed, *tables, DAY, DAY, ids_may_be_null=aware)
-    assert rows(found) == expected
+    found = campaigns.non_campaign_return_rate(items, placed, *tables, DAY, DAY)
+    assert rows(found) == []
+
+
+def test_an_item_without_an_id_counts_when_nothing_was_reached(make):
+    placed = make("sales_order", [order(1), order(2)])
+    items = make("sales_order_item", [item(None), item(2, order=2)])
+    found = campaigns.non_campaign_return_rate(items, placed, *web(make), DAY, DAY)
+    assert rows(found) == [("A", 2, 2, 0.0)]
 
 
 def abandoned_tables(make, items, orders, web_orders, product=None):

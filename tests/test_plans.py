@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from plans import final_text, nodes, scans
+from plans import final_text, nodes, scanned_tables, scans
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -276,5 +276,44 @@ def test_broadcast_hints_only_on_bounded_sides():
     from pathlib import Path
 
     package = Path(entry.__file__).parent / "returnlens"
-    hinted = [p.name for p in package.rglob("*.py") if "F.broadcast(" in p.read_text()]
+    core = [p for p in package.rglob("*.py") if p.parent.name != "llm"]
+    hinted = [p.name for p in core if "F.broadcast(" in p.read_text()]
     assert sorted(hinted) == ["forecasts.py", "star.py"]
+
+
+@pytest.mark.parametrize("name", entry.REGISTRY)
+def test_every_input_is_found_in_the_plan(stored, shuffle_joins, name):
+    registered = entry.REGISTRY[name]
+    assert set(scanned_tables(registered.run(stored))) == set(registered.tables)
+
+
+def test_non_campaign_rate_reads_the_items_once(stored, shuffle_joins):
+    plan = entry.REGISTRY["non_campaign_return_rate"].run(stored)
+    assert scanned_tables(plan)["sales_order_item"] == 1
+
+
+def test_order_list_reads_items_and_orders_once(stored, shuffle_joins):
+    counts = scanned_tables(entry.REGISTRY["order_list_return_rate"].run(stored))
+    assert counts["sales_order_item"] == counts["sales_order"] == counts["order_list"] == 1
+
+
+def test_sold_articles_are_shuffled_by_order_only(stored, shuffle_joins):
+    plan = entry.REGISTRY["sold_articles_tagged"].run(stored)
+    keys = [e for e in shuffles(plan) if "fk_sales_order" in e]
+    assert len(keys) == 1 and not any("sku" in e and "fk_sales_order" in e for e in keys)
+
+
+def test_abandoned_items_meet_their_order_before_their_sku(stored, shuffle_joins):
+    plan = entry.REGISTRY["abandoned_campaign_totals"].run(stored)
+    by_order = [e for e in shuffles(plan) if "fk_sales_order" in e]
+    assert len(by_order) == 1
+    for node in nodes(plan):
+        if "Join" in node.nodeName() and "fk_sales_order" in node.simpleString(500):
+            below = node.left().toString()
+            assert "hashpartitioning(sku" not in below
+
+
+def shuffles(plan):
+    """The keys of each shuffle."""
+    found = (node.simpleString(500) for node in nodes(plan) if node.nodeName() == "Exchange")
+    return [text.partition("hashpartitioning(")[2].partition(")")[0] for text in found]

@@ -6,7 +6,9 @@ import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
 
-from returnlens.session import EXCLUDED_RULES, MERGE_SUBQUERIES, SETTINGS, configure, shared_dir
+import __spark_entry__ as entry
+from returnlens.operators.sales import count_sales_before_returns
+from returnlens.session import SETTINGS, configure, shared_dir
 from returnlens.sources.sample import SampleTables
 from returnlens.sources.schemas import SCHEMAS
 from returnlens.sources.sinks import write_forecast_files, write_forecast_table
@@ -71,19 +73,65 @@ def test_settings_are_applied(spark):
     assert {key: spark.conf.get(key) for key in SETTINGS} == SETTINGS
 
 
-def test_other_excluded_rules_are_kept(spark, conf):
+def test_no_rule_is_switched_off(spark, conf):
+    rules = "spark.sql.optimizer.excludedRules"
     conf(spark__sql__optimizer__excludedRules="a.b.Rule")
-    configure(configure(spark))
-    assert spark.conf.get(EXCLUDED_RULES) == f"a.b.Rule,{MERGE_SUBQUERIES}"
+    entry.queries()["return_cancel_forecast"](spark, "/root/testdata/sf0.001").collect()
+    assert spark.conf.get(rules) == "a.b.Rule"
 
 
-def test_shuffles_are_sized_for_the_data_but_never_lowered(spark, conf):
+def test_shuffles_are_sized_for_what_is_shuffled_but_never_lowered(spark, conf):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     conf(spark__sql__adaptive__coalescePartitions__initialPartitionNum="1")
-    configure(spark, input_bytes=10)
+    configure(spark, shuffled_bytes=10)
     assert spark.conf.get(key) == "1"
-    configure(spark, input_bytes=100 * 10**12)
-    assert int(spark.conf.get(key)) == 745059
+    # 100 TB read, of which a period's columns are a twentieth.
+    configure(spark, shuffled_bytes=5 * 10**12)
+    assert int(spark.conf.get(key)) == 9314
+
+
+def test_stored_names_of_tables(spark, make, tmp_path):
+    make("stock", [{"sku": "a", "quantity": 2}]).write.parquet(f"{tmp_path}/shop/bob_stock")
+    make("stock", [{"sku": "b"}]).write.parquet(f"{tmp_path}/elsewhere")
+    by_name = Venture(spark, "shop", str(tmp_path), {"stock": "bob_stock"})
+    by_path = Venture(spark, "shop", str(tmp_path), {"stock": f"{tmp_path}/elsewhere"})
+    assert rows(by_name.table("stock"), "sku") == [("a",)] and rows(by_path.table("stock"), "sku") == [("b",)]
+    spark.sql("create schema shop_c")
+    spark.sql("create schema layer")
+    make("stock", [{"sku": "c"}]).write.saveAsTable("shop_c.bob_stock")
+    make("stock", [{"sku": "d"}]).write.saveAsTable("layer.stock")
+    assert rows(Venture(spark, "shop_c", stored={"stock": "bob_stock"}).table("stock"), "sku") == [("c",)]
+    assert rows(Venture(spark, "shop_c", stored={"stock": "layer.stock"}).table("stock"), "sku") == [("d",)]
+
+
+def test_replenishment_report_over_stored_names(spark, tmp_path):
+    needed = ("product", "stock", "sales_order_item")
+    sample = SampleTables(spark, "/root/testdata/sf0.001")
+    for name in needed:
+        sample.table(name).write.parquet(f"{tmp_path}/shop/bob_{name}")
+    shop = Venture(spark, "shop", str(tmp_path), {name: f"bob_{name}" for name in needed})
+    registered = entry.REGISTRY["replenishment_report_v2"]
+    assert rows(registered.run(shop.table)) == rows(registered.run(sample.table))
+
+
+def test_blank_texts_are_missing(spark, make, tmp_path):
+    make("sales_order", [{"order_nr": ""}]).write.parquet(f"{tmp_path}/shop/sales_order")
+    items = [{"id_sales_order_item": i, "name": "", "dwh_shipment_state": s} for i, s in enumerate(("", "item_shipped"))]
+    make("sales_order_item", items).write.parquet(f"{tmp_path}/shop/sales_order_item")
+    shop = Venture(spark, "shop", str(tmp_path))
+    assert rows(shop.table("sales_order"), "order_nr") == [(None,)]
+    assert rows(shop.table("sales_order_item"), "name") == [(None,), (None,)]
+    assert rows(count_sales_before_returns(shop.table("sales_order_item"))) == [(1,)]
+
+
+def test_forecast_table_in_a_schema_and_folder(spark, tmp_path):
+    forecast = spark.createDataFrame([("A", "x", "shop", 1, 0.5, 0.1)], FORECAST)
+    spark.sql("create schema forecasts")
+    name = write_forecast_table(forecast, "shop", "forecasts", str(tmp_path))
+    assert name == "forecasts.shop_RTN_CNCL_FC" and rows(spark.table(name)) == rows(forecast)
+    assert rows(spark.read.parquet(f"{tmp_path}/shop_RTN_CNCL_FC")) == rows(forecast)
+    with pytest.raises(AnalysisException):
+        write_forecast_table(forecast, "shop", "forecasts", str(tmp_path))
 
 
 def test_sample_item_ids_are_unique(spark):
