@@ -91,16 +91,16 @@ def test_shuffles_are_sized_for_what_is_shuffled_but_never_lowered(spark, conf):
 
 
 def test_stored_names_of_tables(spark, make, tmp_path):
-    make("stock", [{"sku": "a", "quantity": 2}]).write.parquet(f"{tmp_path}/shop/bob_stock")
+    make("stock", [{"sku": "a", "quantity": 2}]).write.parquet(f"{tmp_path}/shop/raw_stock")
     make("stock", [{"sku": "b"}]).write.parquet(f"{tmp_path}/elsewhere")
-    by_name = Venture(spark, "shop", str(tmp_path), {"stock": "bob_stock"})
+    by_name = Venture(spark, "shop", str(tmp_path), {"stock": "raw_stock"})
     by_path = Venture(spark, "shop", str(tmp_path), {"stock": f"{tmp_path}/elsewhere"})
     assert rows(by_name.table("stock"), "sku") == [("a",)] and rows(by_path.table("stock"), "sku") == [("b",)]
     spark.sql("create schema shop_c")
     spark.sql("create schema layer")
-    make("stock", [{"sku": "c"}]).write.saveAsTable("shop_c.bob_stock")
+    make("stock", [{"sku": "c"}]).write.saveAsTable("shop_c.raw_stock")
     make("stock", [{"sku": "d"}]).write.saveAsTable("layer.stock")
-    assert rows(Venture(spark, "shop_c", stored={"stock": "bob_stock"}).table("stock"), "sku") == [("c",)]
+    assert rows(Venture(spark, "shop_c", stored={"stock": "raw_stock"}).table("stock"), "sku") == [("c",)]
     assert rows(Venture(spark, "shop_c", stored={"stock": "layer.stock"}).table("stock"), "sku") == [("d",)]
 
 
@@ -108,8 +108,8 @@ def test_replenishment_report_over_stored_names(spark, tmp_path):
     needed = ("product", "stock", "sales_order_item")
     sample = SampleTables(spark, "/root/testdata/sf0.001")
     for name in needed:
-        sample.table(name).write.parquet(f"{tmp_path}/shop/bob_{name}")
-    shop = Venture(spark, "shop", str(tmp_path), {name: f"bob_{name}" for name in needed})
+        sample.table(name).write.parquet(f"{tmp_path}/shop/raw_{name}")
+    shop = Venture(spark, "shop", str(tmp_path), {name: f"raw_{name}" for name in needed})
     registered = entry.REGISTRY["replenishment_report_v2"]
     assert rows(registered.run(shop.table)) == rows(registered.run(sample.table))
 
