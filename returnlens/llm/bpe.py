@@ -73,7 +73,8 @@ class Merges:
         byte = {c: b for b, c in enumerate(letters)}
         pieces = [b""] * self.size
         for token, i in vocabulary.items():
-            pieces[i] = bytes(byte[c] for c in token.removesuffix(suffix)) if all(c in byte for c in token) else token.encode()
+            if token not in self.special:
+                pieces[i] = bytes(byte[c] for c in token.removesuffix(suffix))
         for token, i in self.special.items():
             pieces[i] = token.encode()
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)

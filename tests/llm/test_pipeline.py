@@ -63,7 +63,8 @@ def test_one_document_of_each_group_stays(stages):
 def test_all_kept_documents_are_packed(stages):
     packed = stages[5]
     assert rows(packed.select("doc_id").distinct()) == rows(stages[4].select("doc_id"))
-    fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    end = F.max(F.col("offset") + F.col("length"))
+    fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), end.alias("end"))
     assert fill.filter("n != end or n > 4096").count() == 0
 
 
