@@ -24,16 +24,19 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from returnlens.functions.skew import once_per_key
 from returnlens.llm.components import components
-from returnlens.llm.shared import grouped_runs, plain, texts_of, written
+from returnlens.llm.shared import grouped_runs, texts_of, written
 
 THRESHOLD = 2
 LEAST_CHARS = 20
 BLOCK = 512
 SEEN_LINES = 400_000
 SENT_ROWS = 20_000
+PAIRS = 1 << 15
+HELD_BYTES = 16 << 20
 
 
 @functools.lru_cache(1 << 14)
@@ -154,21 +157,23 @@ def line_classes(
     classes = components(line_links(docs, threshold, least_chars))
 
     named = places.filter(F.col("digest").isNotNull())
-    first = named.groupBy("digest").agg(F.min(F.struct("key", "line_no")).alias("first"))
+    first = named.groupBy("digest").agg(F.min(F.struct("key", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     joined = first.join(classes, first.digest == classes.node, "left").withColumn(
         "class", F.coalesce("component", "digest")
     )
-    # Only classes of several lines need their first line looked for.
+    # Only classes of several lines need their first line looked for, only lines in company its name.
     several = joined.filter(F.col("component").isNotNull())
     least = once_per_key(several, "class", F.min("first").alias("class_first")).withColumnRenamed("class", "of")
-    heads = joined.join(least, F.col("class") == F.col("of"), "left").select(
-        F.col("digest").alias("line"), F.coalesce("class_first", "first").alias("head")
+    heads = (
+        joined.filter("n != 1 or component is not null")
+        .join(least, F.col("class") == F.col("of"), "left")
+        .select(F.col("digest").alias("line"), F.coalesce("class_first", "first").alias("head"))
     )
     heads = once_per_key(heads, "line", F.min("head").alias("head"))
     own = F.struct(F.col("key"), F.col("line_no"))
     found = (
-        named.join(heads, named.digest == heads.line)
-        .select("key", "line_no", "head")
+        named.join(heads, named.digest == heads.line, "left")
+        .select("key", "line_no", F.coalesce("head", own).alias("head"))
         .unionByName(places.filter(F.col("digest").isNull()).select("key", "line_no", own.alias("head")))
     )
     return found.select(
@@ -198,34 +203,32 @@ def without_repeated_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_
 
 def line_links(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     """Links between the MD5 digests of lines, as many as connect what is connected: columns a, b."""
-    # Copies are combined within a partition before any line is shuffled.
+    # Copies are combined within a partition before any line is shuffled. Lines and keys are each used twice and
+    # shuffled once: both uses read all columns, and no column can be NULL, so that no join filters one use alone.
     lines = (
         docs.select("text")
-        .mapInArrow(functools.partial(_distinct_lines, least_chars), "id long, digest binary, line string")
+        .mapInArrow(functools.partial(_distinct_lines, least_chars), _filled("id long, line string"))
         .repartition("id")
-        .groupBy("id", "digest")
-        .agg(F.any_value("line").alias("line"))
-    )
-    entries = (
-        lines.select("id", "line")
-        .mapInArrow(functools.partial(_key_rows, threshold), "number long, id long, own boolean")
-        .repartition("number")
+        .distinct()
     )
+    entries = lines.mapInArrow(
+        functools.partial(_key_rows, threshold), _filled("number long, id long, own boolean")
+    ).repartition("number")
     crowds = (
         entries.groupBy("number")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed"))
-        .filter("n > 1 and indexed")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed"), F.max("id").alias("some"))
+        .filter("n > 1 and indexed and some is not null")
         .select(F.col("number").alias("met"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     met = entries.join(crowds, F.col("number") == F.col("met")).select(
         "number", "own", "blocks", F.col("id").alias("line_id")
     )
     placed = met.join(lines, F.col("line_id") == F.col("id")).withColumn(
-        "block", F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int")
+        "block", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int")
     )
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "number", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "own", "digest", "line",
+        "block", "own", "line",
     )
     return (
         paired.repartition(*GROUP)
@@ -237,6 +240,11 @@ def line_links(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
 GROUP = ["number", "low", "high"]
 
 
+def _filled(columns: str) -> StructType:
+    """Columns that are never NULL."""
+    return StructType([StructField(f.name, f.dataType, False) for f in StructType.fromDDL(columns)])
+
+
 def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
@@ -254,8 +262,7 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
             seen.update(new)
             ids = np.frombuffer(b"".join(new), "<i8")[::2]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([*new], pa.binary()), pa.array([*new.values()], pa.string())],
-                names=["id", "digest", "line"],
+                [pa.array(ids), pa.array([*new.values()], pa.string())], names=["id", "line"]
             )
 
 
@@ -274,31 +281,45 @@ def _key_rows(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def _group_links(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups are compared many at a time, as far as memory and ``PAIRS`` allow: most hold two or three lines."""
+    lines: dict[str, int] = {}
+    pairs: list[np.ndarray] = []
+    held = size = 0
     for group in grouped_runs(batches, GROUP):
-        found = linked_lines(group, threshold) if group.num_rows > 1 else []
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def linked_lines(group: pa.Table, threshold: int) -> list[tuple[bytes, bytes]]:
-    """Links within a group that keep connected lines connected."""
-    n = group.num_rows
-    digests = group["digest"].to_pylist()
+        found = _pairs(group, lines, threshold)
+        pairs.append(found)
+        held += found.shape[1]
+        size += pc.sum(pc.binary_length(group["line"])).as_py()
+        if held > PAIRS or size > HELD_BYTES:
+            yield _links([*lines], pairs, threshold)
+            lines, pairs, held, size = {}, [], 0, 0
+    if held:
+        yield _links([*lines], pairs, threshold)
+
+
+def _pairs(group: pa.Table, lines: dict[str, int], threshold: int) -> np.ndarray:
+    """Pairs of a group that may be linked, shorter line first, as numbers in ``lines``, which grows."""
     own, block = group["own"].to_numpy(), group["block"].to_numpy()
-    crossing = group["low"][0].as_py() != group["high"][0].as_py()
-    lines = plain(group["line"]).to_pylist()
-    data = [line.encode("utf-32-le") for line in lines]
-    lengths = np.fromiter(map(len, lines), np.int64, n)
-    symbols = np.frombuffer(b"".join(data), "<u4")
-    starts = np.cumsum(lengths) - lengths
+    texts = group["line"].to_pylist()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     gap = lengths[None, :] - lengths[:, None]  # of the column's line over the row's
     wanted = own[:, None] & (gap >= 0) & (gap <= threshold)
-    if crossing:
+    if group["low"][0].as_py() != group["high"][0].as_py():
         wanted &= block[:, None] != block[None, :]
-    np.fill_diagonal(wanted, False)
-    twice = wanted & wanted.T
-    wanted &= ~np.tril(twice)
+    numbers = np.fromiter((lines.setdefault(t, len(lines)) for t in texts), np.int64, len(texts))
+    i, j = np.nonzero(wanted)
+    found = np.stack([numbers[i], numbers[j]])
+    return found[:, found[0] != found[1]]
+
+
+def _links(lines: list[str], pairs: list[np.ndarray], threshold: int) -> pa.RecordBatch:
+    """Links among the pairs that keep connected lines connected."""
+    n = len(lines)
+    both = np.concatenate(pairs, axis=1)
+    codes = np.unique(both.min(axis=0) * n + both.max(axis=0))
+    lengths = np.fromiter(map(len, lines), np.int64, n)
+    symbols = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    starts = np.cumsum(lengths) - lengths
     tree = list(range(n))
 
     def root(i: int) -> int:
@@ -306,14 +327,13 @@ def linked_lines(group: pa.Table, threshold: int) -> list[tuple[bytes, bytes]]:
             tree[i] = i = tree[tree[i]]
         return i
 
-    i, j = np.nonzero(wanted)
     links: list[tuple[bytes, bytes]] = []
-    for low in range(0, len(i), 1 << 15):
-        a, b = i[low : low + (1 << 15)], j[low : low + (1 << 15)]
+    for low in range(0, len(codes), PAIRS):
+        a, b = codes[low : low + PAIRS] // n, codes[low : low + PAIRS] % n
         near = distances(symbols, starts, lengths, a, b, threshold) <= threshold
         for x, y in zip(a[near].tolist(), b[near].tolist()):
             if root(x) != root(y):
                 tree[root(x)] = root(y)
-                if digests[x] != digests[y]:
-                    links.append((digests[x], digests[y]))
-    return links
+                links.append((lines[x], lines[y]))
+    names = [[hashlib.md5(link[k].encode(), usedforsecurity=False).digest() for link in links] for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in names], names=["a", "b"])
