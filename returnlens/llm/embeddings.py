@@ -49,6 +49,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _units(vectors: pa.ListArray, size: int) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return unit(flat.astype(np.float64).reshape(-1, size))
+
+
 def buckets(units: np.ndarray) -> np.ndarray:
     """Bucket number of each vector in each table."""
     directions, shifts, mixers = _directions(units.shape[1])
@@ -84,9 +89,11 @@ def embedding_groups(
     length. Repeated rows are copies that link with each other; a NULL key is a component's smallest only if all its
     keys are NULL. Other columns are not read.
     """
+    # Single precision stays so, at half the size; all arithmetic is in double precision.
+    stored = "array<float>" if frame.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = frame.select(
         frame[key].alias("key"), frame[label].cast("string").alias("label"),
-        frame[vector].cast("array<double>").alias("vector"),
+        frame[vector].cast(stored).alias("vector"),
     ).withColumn("class", class_of(F.col("vector"), F.col("label")))
     members = written(rows.select("key", "class"), "vector-classes")
     classes = written(
@@ -100,7 +107,7 @@ def embedding_groups(
         )
         .mapInArrow(
             _with_buckets,
-            "class binary, label string, vector array<double>, copies long, smallest long, buckets array<long>",
+            f"class binary, label string, vector {stored}, copies long, smallest long, buckets array<long>",
         ),
         "vectors",
     )
@@ -142,8 +149,7 @@ def _with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         numbers = np.zeros((len(sizes), TABLES), np.int64)
         for size in np.unique(sizes):
             chosen = np.flatnonzero(sizes == size)
-            flat = vectors.take(pa.array(chosen)).flatten().to_numpy(zero_copy_only=False)
-            numbers[chosen] = buckets(unit(flat.reshape(-1, size)))
+            numbers[chosen] = buckets(_units(vectors.take(pa.array(chosen)), size))
         bounds = pa.array(np.arange(0, numbers.size + 1, TABLES, dtype=np.int32))
         lists = pa.ListArray.from_arrays(bounds, pa.array(numbers.ravel()))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "buckets"])
@@ -154,9 +160,10 @@ GROUP = ["label", "size", "number", "bucket", "low", "high"]
 
 def _compared(classes: DataFrame, cosine: float) -> DataFrame:
     """Links that keep connected classes connected (a, b), and link counts per class (a, links)."""
-    placed = classes.withColumn("size", F.size("vector")).select(
-        "*", F.posexplode("buckets").alias("number", "bucket")
-    )
+    placed = classes.select(
+        "class", "label", "vector", "copies", F.size("vector").alias("size"),
+        F.posexplode("buckets").alias("number", "bucket"),
+    )
     # Buckets of one class compare nothing; larger ones are cut into blocks.
     crowd = (
         placed.groupBy("label", "size", "number", "bucket")
@@ -172,7 +179,7 @@ def _compared(classes: DataFrame, cosine: float) -> DataFrame:
         "block", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int")
     )
     paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "size", "number", "bucket", "block", "class", "vector", "copies", "buckets",
+        "label", "size", "number", "bucket", "block", "class", "vector", "copies",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
     return (
@@ -203,7 +210,7 @@ def _link_rows(ends: list) -> pa.RecordBatch:
 
 def _links(group: pa.Table, cosine: float) -> list[tuple[bytes, bytes | None, int | None]]:
     n = group.num_rows
-    vectors = unit(plain(group["vector"]).flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+    vectors = _units(plain(group["vector"]), group["size"][0].as_py())
     near = vectors @ vectors.T >= cosine
     if group["low"][0].as_py() != group["high"][0].as_py():
         block = group["block"].to_numpy()
@@ -212,7 +219,7 @@ def _links(group: pa.Table, cosine: float) -> list[tuple[bytes, bytes | None, in
     if not len(i):
         return []
     number = group["number"][0].as_py()
-    tables = plain(group["buckets"]).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, :number]
+    tables = buckets(vectors)[:, :number]
     fresh = ~(tables[i] == tables[j]).any(axis=1)
     i, j = i[fresh], j[fresh]
     if not len(i):
