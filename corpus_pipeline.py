@@ -34,7 +34,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
     queries.prepare(spark)
-    classes = line_dedup.line_classes(docs.select("doc_id", "text"))
+    classes = line_dedup.line_classes(docs.select("doc_id", "text"), threshold=None)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     cleaned = line_dedup.without_repeated_lines(rows, classes)
     emptied = (F.length(quality.bare(F.col("text"))) == 0) & (F.length(quality.bare(F.col("row.text"))) > 0)

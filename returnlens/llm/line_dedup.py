@@ -10,12 +10,21 @@ distance, for many pairs at a time.
 Only keys with two lines or more go on, and only for those the texts are fetched. The lines of a key are compared in
 blocks of at most ``BLOCK`` lines, every pair of blocks in its own group; a group returns links that keep connected
 lines connected, never all pairs. Equal lines are one line from the start, so copies add no work.
+
+With ``threshold=None`` the threshold grows with the line and no line is left out (``within``). Equal lines that are not
+blank are one class at any length. Characters: one edit from 20 of them, two from 40, none of them in a digit. Words:
+one edit for every 25 of them. Lengths are those of the shorter line; either measure links. Two lines of 25 words or
+more within their threshold share a run of 12 words, of 16 from 54 words and of 20 from 100: of the runs of ``GRAM``
+words in each window of that length the one with the smallest hash is a key, so both lines have it. Larger windows
+choose among the keys of smaller ones, so lines on two sides of a bound meet as well. Lines of 40 words or more that
+are short words throughout meet by these keys also where characters differ; the others have segments too.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from returnlens.functions.skew import once_per_key
+from returnlens.llm import quality
 from returnlens.llm.components import components
 from returnlens.llm.shared import grouped_runs, texts_of, written
 
@@ -38,6 +48,20 @@ SENT_ROWS = 20_000
 PAIRS = 1 << 15
 HELD_BYTES = 16 << 20
 
+# Threshold by length.
+EDIT_CHARS = 20  # code points for one edit of characters
+MOST_EDITS = 2  # of characters; longer lines have edits of words as well
+EDIT_WORDS = 25  # words for one edit of words
+GRAM = 8
+GRAM_SEED = 1 << 40
+WINDOWS = ((100, 13), (54, 9), (0, 5))  # least words, runs in a window
+LONG_WORD = 48  # a longer word counts as its characters
+PLAIN_WORDS, PLAIN_CHARS = 40, 15
+#: Scripts without spaces: each character is a word.
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
+DIGITS = re.compile(r"\d+")
+
 
 @functools.lru_cache(1 << 14)
 def segments(length: int, threshold: int) -> tuple[tuple[int, int], ...]:
@@ -74,6 +98,132 @@ def keys_of(line: str, threshold: int) -> list[int]:
     return [digest(data[4 * at : 4 * (at + size)], seed) for seed, at, size in probes(len(line), threshold)]
 
 
+def words_in(line: str) -> list[str]:
+    """What lies between white space; long words and scripts without spaces count by character."""
+    parts = line.split()
+    if line.isascii() and max(map(len, parts), default=0) <= LONG_WORD:
+        return parts
+    found: list[str] = []
+    for part in parts:
+        if len(part) > LONG_WORD:
+            found.extend(part)
+        elif part.isascii():
+            found.append(part)
+        else:
+            found.extend(UNSPACED_PARTS.findall(part))
+    return found
+
+
+def numbers_in(line: str) -> str:
+    return " ".join(DIGITS.findall(line))
+
+
+def char_edits(length: int) -> int:
+    return min(length // EDIT_CHARS, MOST_EDITS)
+
+
+def word_edits(count: int) -> int:
+    return count // EDIT_WORDS
+
+
+@functools.lru_cache(1 << 14)
+def length_probes(length: int) -> tuple[tuple[tuple[int, int, int], ...], int]:
+    """Probes for lines that are shorter by their own threshold at most, and how many of them are index entries."""
+    own, others = [], []
+    for other in range(max(EDIT_CHARS, length - MOST_EDITS), length + 1):
+        threshold, longer = char_edits(other), length - other
+        if longer > threshold:
+            continue
+        for i, (start, size) in enumerate(segments(other, threshold)):
+            before, after = i, threshold - i
+            low = max(0, start - before, start + longer - after)
+            high = min(length - size, start + before, start + longer + after)
+            for at in range(low, high + 1):
+                entry = (other * (MOST_EDITS + 1) + i, at, size)
+                (own if not longer and at == start else others).append(entry)
+    return (*own, *others), len(own)
+
+
+def length_keys(line: str) -> tuple[list[int], int]:
+    """Hashes under which a line meets those within its threshold, and how many of them are index entries."""
+    words = words_in(line)
+    grams = gram_keys(words) if len(words) >= EDIT_WORDS else []
+    if len(words) >= PLAIN_WORDS and max(map(len, words)) <= PLAIN_CHARS and words == line.split():
+        return grams, len(grams)
+    numbers = numbers_in(line)
+    mixed = xxhash.xxh64_intdigest(numbers.encode()) if numbers else 0
+    data = line.encode("utf-32-le")
+    digest = xxhash.xxh64_intdigest
+    entries, own = length_probes(len(line))
+    found = [digest(data[4 * at : 4 * (at + size)], seed ^ mixed) for seed, at, size in entries]
+    return grams + found, len(grams) + own
+
+
+def gram_keys(words: list[str]) -> list[int]:
+    """The smallest hash of each window of runs of words."""
+    parts = [w.encode() for w in words]
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    spans = zip(starts[: len(parts) - GRAM + 1].tolist(), ends[GRAM - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(joined[a:b], GRAM_SEED) for a, b in spans), np.uint64, len(parts) - GRAM + 1)
+    window = next(runs for least, runs in WINDOWS if len(words) >= least)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1)).tolist()
+
+
+def near_words(a: list[str], b: list[str]) -> bool:
+    """Whether the edit distance over words is within the threshold of the shorter list."""
+    if len(a) > len(b):
+        a, b = b, a
+    most = word_edits(len(a))
+    if len(b) - len(a) > most:
+        return False
+    low, n = 0, len(a)
+    while low < n and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < n - low and a[n - 1 - high] == b[len(b) - 1 - high]:
+        high += 1
+    a, b = a[low : n - high], b[low : len(b) - high]
+    if not a or len(b) <= most:
+        return len(b) <= most
+    # Bit-parallel over the whole of a, in Python's long integers.
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    last = 1 << len(a) - 1
+    plus, minus, distance = full, 0, len(a)
+    for column, word in enumerate(b):
+        match = places.get(word, 0)
+        diagonal = (((match & plus) + plus) ^ plus) | match | minus
+        up = minus | ~(diagonal | plus) & full
+        down = plus & diagonal
+        distance += bool(up & last) - bool(down & last)
+        if distance - (len(b) - 1 - column) > most:
+            return False
+        up = up << 1 | 1
+        plus = (down << 1 | ~(diagonal | up)) & full
+        minus = diagonal & up & full
+    return distance <= most
+
+
+def within(a: str, b: str) -> bool:
+    """Whether two lines are linked under the threshold by length."""
+    if a == b:
+        return bool(a.strip(quality.SPACES))
+    least = char_edits(min(len(a), len(b)))
+    if least and abs(len(a) - len(b)) <= least and numbers_in(a) == numbers_in(b):
+        lengths = np.array([len(a), len(b)])
+        symbols = np.frombuffer((a + b).encode("utf-32-le"), "<u4")
+        one, two = np.array([0]), np.array([1])
+        if distances(symbols, np.array([0, len(a)]), lengths, one, two, MOST_EDITS)[0] <= least:
+            return True
+    first, second = words_in(a), words_in(b)
+    return min(len(first), len(second)) >= EDIT_WORDS and near_words(first, second)
+
+
 def distances(
     symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int
 ) -> np.ndarray:
@@ -134,7 +284,7 @@ def distances(
 
 def line_classes(
     frame: DataFrame,
-    threshold: int = THRESHOLD,
+    threshold: int | None = THRESHOLD,
     least_chars: int = LEAST_CHARS,
     key: str = "doc_id",
     text: str = "text",
@@ -145,14 +295,19 @@ def line_classes(
     is kept. Lines of fewer than ``least_chars`` code points are never linked nor equal, hence always kept. A NULL
     text has no lines; an empty text has one empty line. A NULL key comes first. Rows that repeat key and text repeat
     the result. Other columns are not read.
+
+    Without a ``threshold`` it grows with the line: every line that is not blank belongs to a class, whatever its
+    length, and ``least_chars`` is not used. Blank lines are kept.
     """
-    if least_chars <= threshold:
+    if threshold is None:
+        least_chars = EDIT_CHARS  # shorter ones have no edits; their digests meet
+    elif least_chars <= threshold:
         raise ValueError("lines must be longer than the threshold")
     docs = frame.select(frame[key].alias("key"), frame[text].cast("string").alias("text"))
     lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    long = F.length("line") >= least_chars
+    classed = F.length("line") >= least_chars
     places = written(
-        lines.select("key", "line_no", F.when(long, F.unhex(F.md5("line"))).alias("digest")), "line-places"
+        lines.select("key", "line_no", F.when(classed, F.unhex(F.md5("line"))).alias("digest")), "line-places"
     )
     classes = components(line_links(docs, threshold, least_chars))
 
@@ -201,7 +356,7 @@ def without_repeated_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_
     return joined.select(*(cleaned.alias(c) if c == text else docs[c] for c in docs.columns))
 
 
-def line_links(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
+def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> DataFrame:
     """Links between the MD5 digests of lines, as many as connect what is connected: columns a, b."""
     # Copies are combined within a partition before any line is shuffled. Lines and keys are each used twice and
     # shuffled once: both uses read all columns, and no column can be NULL, so that no join filters one use alone.
@@ -214,11 +369,23 @@ def line_links(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     entries = lines.mapInArrow(
         functools.partial(_key_rows, threshold), _filled("number long, id long, own boolean")
     ).repartition("number")
+    mixed = F.xxhash64("id", "own")
     crowds = (
         entries.groupBy("number")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed"), F.max("id").alias("some"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("own").alias("indexed"),
+            F.max("id").alias("some"),
+            F.sum(F.shiftright(mixed, 32)).alias("high"),
+            F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        )
         .filter("n > 1 and indexed and some is not null")
-        .select(F.col("number").alias("met"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    # Of keys with the very same lines one is enough: near copies share many.
+    crowds = (
+        crowds.groupBy("n", "some", "high", "low")
+        .agg(F.min("number").alias("met"))
+        .select("met", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     met = entries.join(crowds, F.col("number") == F.col("met")).select(
         "number", "own", "blocks", F.col("id").alias("line_id")
@@ -266,44 +433,69 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
             )
 
 
-def _key_rows(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for low in range(0, whole.num_rows, SENT_ROWS // 10):
             batch = whole.slice(low, SENT_ROWS // 10)
-            found = [keys_of(line, threshold) for line in batch.column("line").to_pylist()]
+            texts = batch.column("line").to_pylist()
+            if threshold is None:
+                both = [length_keys(line) for line in texts]
+                found = [keys for keys, _ in both]
+                indexed = np.fromiter((own for _, own in both), np.int64, len(both))
+            else:
+                found = [keys_of(line, threshold) for line in texts]
+                indexed = np.full(len(found), threshold + 1)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum())).view(np.int64)
             ids = np.repeat(batch.column("id").to_numpy(), sizes)
             place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), pa.array(ids), pa.array(place <= threshold)], names=["number", "id", "own"]
+                [pa.array(numbers), pa.array(ids), pa.array(place < np.repeat(indexed, sizes))], names=["number", "id", "own"]
             )
 
 
-def _group_links(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _group_links(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups are compared many at a time, as far as memory and ``PAIRS`` allow: most hold two or three lines."""
     lines: dict[str, int] = {}
     pairs: list[np.ndarray] = []
     held = size = 0
+    find, linked = (_pairs, _links) if threshold is not None else (_length_pairs, _length_links)
     for group in grouped_runs(batches, GROUP):
-        found = _pairs(group, lines, threshold)
+        found = find(group, lines, threshold)
         pairs.append(found)
         held += found.shape[1]
         size += pc.sum(pc.binary_length(group["line"])).as_py()
         if held > PAIRS or size > HELD_BYTES:
-            yield _links([*lines], pairs, threshold)
+            yield linked([*lines], pairs, threshold)
             lines, pairs, held, size = {}, [], 0, 0
     if held:
-        yield _links([*lines], pairs, threshold)
+        yield linked([*lines], pairs, threshold)
 
 
 def _pairs(group: pa.Table, lines: dict[str, int], threshold: int) -> np.ndarray:
     """Pairs of a group that may be linked, shorter line first, as numbers in ``lines``, which grows."""
-    own, block = group["own"].to_numpy(), group["block"].to_numpy()
+    own = group["own"].to_numpy()
     texts = group["line"].to_pylist()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     gap = lengths[None, :] - lengths[:, None]  # of the column's line over the row's
-    wanted = own[:, None] & (gap >= 0) & (gap <= threshold)
+    return _numbered(group, texts, lines, own[:, None] & (gap >= 0) & (gap <= threshold))
+
+
+def _length_pairs(group: pa.Table, lines: dict[str, int], threshold: None) -> np.ndarray:
+    own, texts = group["own"].to_numpy(), group["line"].to_pylist()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    gap = lengths[None, :] - lengths[:, None]
+    most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
+    wanted = own[:, None] & (gap >= 0) & (gap <= most[:, None])
+    if own.all():
+        counts = np.fromiter((len(words_in(t)) for t in texts), np.int64, len(texts))
+        more = counts[None, :] - counts[:, None]
+        wanted |= (more >= 0) & (more <= (counts // EDIT_WORDS)[:, None]) & (counts >= EDIT_WORDS)[:, None]
+    return _numbered(group, texts, lines, wanted)
+
+
+def _numbered(group: pa.Table, texts: list[str], lines: dict[str, int], wanted: np.ndarray) -> np.ndarray:
+    block = group["block"].to_numpy()
     if group["low"][0].as_py() != group["high"][0].as_py():
         wanted &= block[:, None] != block[None, :]
     numbers = np.fromiter((lines.setdefault(t, len(lines)) for t in texts), np.int64, len(texts))
@@ -335,5 +527,60 @@ def _links(lines: list[str], pairs: list[np.ndarray], threshold: int) -> pa.Reco
             if root(x) != root(y):
                 tree[root(x)] = root(y)
                 links.append((lines[x], lines[y]))
+    return _named(links)
+
+
+def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) -> pa.RecordBatch:
+    """Links among the pairs under the threshold by length; pairs that are connected already are not compared."""
+    n = len(lines)
+    both = np.concatenate(pairs, axis=1)
+    codes = np.unique(both.min(axis=0) * n + both.max(axis=0))
+    firsts = codes // n
+    lengths = np.fromiter(map(len, lines), np.int64, n)
+    symbols = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    starts = np.cumsum(lengths) - lengths
+    most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
+    words: dict[int, list[str]] = {}
+    tree = np.arange(n)  # every line's class, by its number
+    members = {}
+    links: list[tuple[bytes, bytes]] = []
+
+    def join(x: int, y: int) -> None:
+        links.append((lines[x], lines[y]))
+        x, y = int(tree[x]), int(tree[y])
+        mine, other = members.pop(x, [x]), members.pop(y, [y])
+        if len(mine) < len(other):
+            x, mine, other = y, other, mine
+        tree[other] = x
+        members[x] = mine + other
+
+    def split(x: int) -> list[str]:
+        if x not in words:
+            words[x] = words_in(lines[x])
+        return words[x]
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        apart = tree[x] != tree[y]
+        x, y = x[apart], y[apart]
+        least = np.minimum(most[x], most[y])
+        near = distances(symbols, starts, lengths, x, y, MOST_EDITS) <= least
+        for a, b, close in zip(x.tolist(), y.tolist(), near.tolist()):
+            if tree[a] != tree[b]:
+                if close and numbers_in(lines[a]) == numbers_in(lines[b]):
+                    join(a, b)
+                elif min(len(split(a)), len(split(b))) >= EDIT_WORDS and near_words(split(a), split(b)):
+                    join(a, b)
+
+    # Large runs of one line first: they connect most of a group, and its other pairs need no look.
+    cuts = np.flatnonzero(np.diff(firsts, prepend=-1, append=n))
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if high - low >= 64:
+            compare(firsts[low:high], codes[low:high] % n)
+    for low in range(0, len(codes), PAIRS):
+        compare(firsts[low : low + PAIRS], codes[low : low + PAIRS] % n)
+    return _named(links)
+
+
+def _named(links: list[tuple[str, str]]) -> pa.RecordBatch:
     names = [[hashlib.md5(link[k].encode(), usedforsecurity=False).digest() for link in links] for k in (0, 1)]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in names], names=["a", "b"])
