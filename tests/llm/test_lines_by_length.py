@@ -37,6 +37,24 @@ def changed(pick, line, count):
     return " ".join(parts)
 
 
+def check_classes(found, rows):
+    lines = [(key, i, line) for key, text in rows if text is not None for i, line in enumerate(text.split("\n"))]
+    named = sorted({line for *_, line in lines if line.strip(quality.SPACES)})
+    links = [(a, b) for i, a in enumerate(named) for b in named[:i] if linked(a, b)]
+    group = groups_of(named, links)
+    order = lambda place: (place[0] is not None, place[0] or 0, place[1])
+    first = {}
+    for key, i, line in lines:
+        if line in group:
+            first[group[line]] = min((key, i), first.get(group[line], (key, i)), key=order)
+    expected = []
+    for key, i, line in lines:
+        head = first[group[line]] if line in group else (key, i)
+        expected.append((key, i, *head, head == (key, i)))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+    return links
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_lines_within_the_threshold_share_a_key(seed):
     pick = random.Random(seed)
@@ -55,6 +73,36 @@ def test_lines_within_the_threshold_share_a_key(seed):
             assert set(a[:own_a]) & set(b) or set(b[:own_b]) & set(a)
 
 
+def test_classes_of_near_lines(texts):
+    pick = random.Random(4)
+    base = [" ".join(words(pick, n)) for n in (2, 5, 5, 8, 26, 30, 50, 60, 110)]
+    rows = []
+    for i in range(45):
+        line = pick.choice(base)
+        line = changed(pick, line, pick.randrange(len(line.split()) // 25 + 2)) if i % 2 else line
+        rows.append((i, pick.choice(["Les.", "", " \t", "a"]) + "\n" + edited(line, [("r", pick.randrange(90), "x")] * (i % 3))))
+    assert len(check_classes(line_dedup.line_classes(texts(rows), threshold=None).collect(), rows)) > 10
+
+
+def test_many_near_lines_in_blocks(texts, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    pick = random.Random(6)
+    base = " ".join(words(pick, 60))
+    rows = [(i, changed(pick, base, i % 4)) for i in range(40)]
+    assert check_classes(line_dedup.line_classes(texts(rows), threshold=None).collect(), rows)
+
+
+def test_classes_of_hostile_texts(texts):
+    rows = [r for r in HOSTILE if r[0] not in (6, 7)] + [(40, "日本語" * 30), (41, "日本語" * 29 + "日本人"), (42, "x" * 400)]
+    check_classes(line_dedup.line_classes(texts(rows), threshold=None).collect(), rows)
+
+
+def test_short_lines_that_repeat_are_one_class(texts):
+    rows = [(1, "Les.\nAnd ornd.\n\nLes."), (2, "Les.\n\n \nLes"), (3, "a")]
+    found = line_dedup.line_classes(texts(rows), threshold=None).filter("not kept").collect()
+    assert {(r.doc_id, r.line_no, r.first_doc, r.first_line) for r in found} == {(1, 3, 1, 0), (2, 0, 1, 0)}
+
+
 def test_one_changed_word_in_a_long_line(texts):
     line = " ".join(words(random.Random(8), 60))
     parts = line.split(" ")
@@ -69,3 +117,10 @@ def test_lines_that_differ_only_in_numbers_stay(texts):
     rows = [(n, f"Chapter {n} of the book begins on page {n + 100} of {n % 7}") for n in range(10, 60)]
     rows += [(n, f"Your order {n} was sent.") for n in range(100, 120)]
     assert line_dedup.line_classes(texts(rows), threshold=None).filter("not kept").collect() == []
+
+
+def test_the_query_takes_the_threshold_by_length(spark, tmp_path):
+    rows = [(1, "Les."), (2, "Les.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op1_line_dedup(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.kept) for r in sorted(found)] == [(1, True), (2, False)]
