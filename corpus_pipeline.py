@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again.
 
 Every stage takes what its predecessor kept. All but the last return the columns of documents; where a stage changes a
-text, ``n_chars`` follows. Rows of equal ``doc_id`` are one document.
+text, ``n_chars`` follows. Every row is a document of its own, whatever its ``doc_id``: the stages that compare
+documents tell rows apart by a number, which ``run`` writes with their input.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnlens.llm import line_dedup, quality, queries, simhash, toxicity
+from returnlens.llm.shared import written
 from returnlens.session import shared_dir
 
+ROW = "corpus_pipeline_row"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,19 +38,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
     queries.prepare(spark)
-    classes = line_dedup.line_classes(docs.select("doc_id", "text"), threshold=None)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    cleaned = line_dedup.without_repeated_lines(rows, classes)
+    numbered = _numbered(docs)
+    rows = numbered.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", ROW).alias("place"), "text")
+    classes = line_dedup.line_classes(rows, threshold=None, key="place")
+    cleaned = line_dedup.without_repeated_lines(rows, classes, key="place")
     emptied = (F.length(quality.bare(F.col("text"))) == 0) & (F.length(quality.bare(F.col("row.text"))) > 0)
     return _with_text(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs.columns, F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints, the document of the smallest id."""
+    """Of every group of linked fingerprints, one row: the first of the smallest id."""
     queries.prepare(spark)
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"), bits=3, words=3)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    numbered = _numbered(docs)
+    # A NULL id comes last.
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", ROW)
+    groups = simhash.simhash_groups(numbered.select(place.alias("place"), "text"), bits=3, words=3, key="place")
+    kept = groups.filter(F.col("place").eqNullSafe(F.col("component_id"))).select(
+        F.col(f"place.{ROW}").alias("_kept")
+    )
+    return numbered.join(kept, F.col(ROW) == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +65,13 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return queries.packed_documents(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own; written where they have none, so that every read sees the same."""
+    if ROW in docs.columns:
+        return docs
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
     """The columns of ``row`` with another text, and its length where it changed."""
     old = F.col("row.text")
@@ -81,6 +98,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            rows = rows.withColumn(ROW, F.monotonically_increasing_id())
+        rows.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,0 +1,42 @@
+"""The pipeline's stages tell rows apart that share a doc_id or have none."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, n_chars long"
+SF = "/root/testdata/sf0.001"
+
+
+def test_repeated_lines_go_from_their_own_row_only(spark):
+    texts = [
+        (1, "a line that comes first\nthe second line of it"),
+        (None, "some words of one text\na line that comes first"),
+        (None, "other words entirely\nnobody else says this"),
+        (5, "fifth document begins\na line that comes first"),
+        (5, "quite another beginning\nand unique second words"),
+        (6, "twice under this id here"),
+        (6, "twice under this id here"),
+    ]
+    docs = spark.createDataFrame([(*row, len(row[1])) for row in texts], SCHEMA).coalesce(1)
+    found = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in found.collect()) == sorted(
+        [
+            ("1", "the second line of it"),  # a NULL id comes first
+            ("None", texts[1][1]),
+            ("None", texts[2][1]),
+            ("5", "fifth document begins"),
+            ("5", texts[4][1]),
+            ("6", texts[5][1]),
+        ]
+    )
+
+
+def test_one_row_of_each_group_stays(spark):
+    texts = [(None, "one two three four"), (None, "one two three four"), (None, "a text of other words"),
+             (7, "red green blue and so on"), (7, "red green blue and so on"), (7, "nothing of that kind here")]
+    docs = spark.createDataFrame([(*row, len(row[1])) for row in texts], SCHEMA)
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted({str(tuple(r)) for r in docs.collect()})
