@@ -56,9 +56,3 @@ def conf(spark):
     yield change
     for key, value in changed.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
-def rows(frame, *columns):
-    """All rows as sorted tuples."""
-    frame = frame.select(*columns) if columns else frame
-    return sorted((tuple(r) for r in frame.collect()), key=lambda r: tuple((v is not None, str(v)) for v in r))

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.sql import functions as F
 
 from returnlens.functions import periods, rates, states

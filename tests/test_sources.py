@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from collected import rows
 from pyspark.errors import AnalysisException
 
 import __spark_entry__ as entry
