@@ -94,4 +94,32 @@ select page_id, strlen(html)::bigint as payload_bytes,
 from coded
 """
 
-ORACLE: dict[str, str] = {"op7_warc_archive": WARC, "op10_quality_rules": QUALITY}
+NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as whole
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as alike,
+    list_dot_product(a.whole, r.whole)::bigint as score
+  from vectors a join vectors r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from scored where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not alike and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_warc_archive": WARC,
+    "op10_quality_rules": QUALITY,
+    "op11_hard_negatives": NEGATIVES,
+}

@@ -10,7 +10,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from returnlens.llm import bpe, embeddings, licences, line_dedup, packing, quality, simhash, token_counts, toxicity, warc
+from returnlens.llm import (
+    alignment,
+    bpe,
+    embeddings,
+    hard_negatives,
+    licences,
+    line_dedup,
+    packing,
+    quality,
+    quality_gam,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 from returnlens.llm.shared import ship_package
 from returnlens.session import shared_dir
 
@@ -93,6 +107,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "clean_text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    key = F.col("vec_id")
+    labelled = vectors.withColumn("label", hard_negatives.shifted_label(F.col("label"), key))
+    return hard_negatives.hard_negatives(labelled, key % 100 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_path, piece_path = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), byte_path, piece_path)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_gam.graded(docs, model).select(
+        "doc_id", quality_gam.held_out("doc_id").alias("held_out"), "score", "predicted"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,5 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_groups,
         op9_bpe_round_trip,
         op10_quality_rules,
+        op11_hard_negatives,
+        op12_token_alignment,
+        op13_quality_classifier,
     )
 }
