@@ -38,10 +38,10 @@ from returnlens.llm.bpe import PATTERN, SEPARATOR, UNEVEN, UNKNOWN, WordRuns
 from returnlens.llm.shared import OTHER_SPACES, Runs, gathered, plain, ragged, split_codes, texts_of, written
 from returnlens.llm.token_counts import MARK, pieces_model
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 15
 CHUNK_BITS = 16  # for the chunks of one partition
-PARTS_KEPT = 400_000
+PARTS_KEPT, WORDS_KEPT = 250_000, 200_000
 PARTS_AT_ONCE = 50_000
 FEW = 16
 SENT_ROWS = 100_000
@@ -139,6 +139,8 @@ class PlainRuns(WordRuns):
 
     def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct parts, one after the other, and the number of ids of each; only pre-tokens are kept."""
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.word_runs = {}, Runs()
         found = self.part_runs.take(self.numbers(parts))
         self.parts, self.part_runs = {}, Runs()
         return found
