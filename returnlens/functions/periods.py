@@ -138,9 +138,20 @@ def _half_day_after(whole_days: int) -> Column:
     return F.make_dt_interval(F.lit(whole_days), F.lit(12))
 
 
+def _newest_day(table: DataFrame, column: str) -> DataFrame:
+    """The rows of the newest day where the table has the days of the column, else all rows.
+
+    The days of a table stored by day are known without reading a column, and one folder holds the newest row.
+    """
+    day = day_column(column)
+    if day not in table.columns:
+        return table
+    return table.filter(F.col(day) == table.agg(F.max(day)).scalar())
+
+
 def _newest(table: DataFrame, column: str, lookback: Lookback):
     if lookback.latest is None:
-        newest = table.agg(F.max(column).alias("newest"))
+        newest = _newest_day(table, column).agg(F.max(column).alias("newest"))
         # Spark would merge the bounds into fields of one struct, which no scan takes as a filter. It leaves
         # subqueries alone that end in a coalesce; their common aggregation still runs once.
         return lambda shift: newest.select(shift(F.col("newest"))).coalesce(1).scalar()

@@ -6,7 +6,7 @@ side must keep its rows (items, sessions, catalogue rows), the other side comes
 which adaptive execution cuts a hot partition into pieces of the advisory size. Rows are never
 paired copy by copy; a side that occurs several times carries its number instead.
 
-Apart from two sides that are bounded by construction, no join is forced to broadcast: Spark
+Apart from a few sides that are bounded by construction, no join is forced to broadcast: Spark
 compares the measured size with ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
 """
 
@@ -39,6 +39,11 @@ def known(key: str | Column) -> Column:
     return F.coalesce(key, F.lit(""))
 
 
+def missing_blank(column: str) -> Column:
+    """A text column that is read with its blanks, with NULL for them, where it is returned."""
+    return F.nullif(column, F.lit("")).alias(column)
+
+
 def row_counts(table: DataFrame, *keys: str) -> DataFrame:
     """One row per combination of keys with the number of rows it stands for."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnlens.functions.periods import Lookback, between, now, timestamp, whole_days_after
-from returnlens.functions.pruning import between_ends
+from returnlens.functions.pruning import between_ends, likely_partners
 from returnlens.functions.rates import MONEY, difference_rate, rounded_difference_rate
 from returnlens.functions.skew import once_per_key, order_rows
 from returnlens.functions.states import AFTER_RETURN, GROSS, NET_OF_CANCEL, flag, outside
@@ -42,7 +43,10 @@ def order_list_return_rate(items: DataFrame, orders: DataFrame, order_list: Data
     """Per config sku, for the orders whose number is in ``order_list`` (column ``order_nr``)."""
     listed = orders.join(once_per_key(order_list, "order_nr"), "order_nr", "left_semi")
     counts = dict(zip(PRODUCT_COUNTS, (GROSS, AFTER_RETURN)))
-    units = ordered_units(items, order_rows(_distinct_rows(listed)), counts)
+    placed = order_rows(_distinct_rows(listed))
+    # Every order has a row. Asking for it keeps the number, so that the bit set reads the same shuffle as the join.
+    near = likely_partners(items, "fk_sales_order", placed.filter("order_rows > 0"), "id_sales_order")
+    units = ordered_units(near, placed, counts)
     return _product_rate(units.groupBy("productsku").agg(*sums(PRODUCT_COUNTS)))
 
 
@@ -59,8 +63,9 @@ def non_campaign_return_rate(
     """Per config sku, for orders of [start, end] without items a campaign reached.
 
     Each count leaves out its own set of reached item ids, by the rule of NOT IN: a reached item without an id
-    empties the count, and an item without an id counts only if nothing was reached. Items are read once: the orders
-    carry the mark whether a campaign reached them, and the reached items are found among the same units.
+    empties the count, and an item without an id counts only if nothing was reached. Items are read and joined once:
+    the orders carry the mark whether a campaign reached them, and one shuffle by item id brings together what an
+    item's units count and whether one of them was reached.
     """
     before, after = PRODUCT_COUNTS
     counts = {before: NET_OF_CANCEL, after: AFTER_RETURN}
@@ -77,35 +82,37 @@ def non_campaign_return_rate(
     )
     units = ordered_units(near, by_order, counts, marks=("reached",))
 
-    reached = units.filter(F.col("reached") == 1).select(
-        F.col("id_sales_order_item").alias("reached_id"), *(flag(F.col(n) > 0).alias(f"hit_{n}") for n in counts)
+    # One row per item id, with the counts of its skus and whether the campaign reached them. Items without an id are
+    # never equal, so they stay apart by sku.
+    item = F.col("id_sales_order_item")
+    hits = {n: flag((F.col("reached") == 1) & (F.col(n) > 0)) for n in counts}
+    per_item = units.groupBy(item, F.when(item.isNull(), F.col("productsku")).alias("unnamed")).agg(
+        *(F.max(hit).alias(f"hit_{n}") for n, hit in hits.items()),
+        F.collect_list(F.struct("productsku", *counts)).alias("skus"),
     )
-    hits = once_per_key(reached, "reached_id", *(F.max(f"hit_{n}").alias(f"hit_{n}") for n in counts))
-    without_id = F.col("reached_id").isNull()
-    # One struct, so that the subquery reads the same columns as the rest and shares its shuffles.
-    ends = reached.agg(
-        F.struct(
-            *(F.max(f"hit_{n}").alias(f"any_{n}") for n in counts),
-            *(F.max(F.when(without_id, F.col(f"hit_{n}"))).alias(f"null_{n}") for n in counts),
-        ).alias("ends")
-    ).scalar()
-
-    def found(name: str) -> Column:
-        return F.coalesce(ends.getField(name), F.lit(0)) == 1
-
-    # Null-safe, though NULL ids are decided below: a plain equality would filter the hits' scan only, and the items
-    # would be read for each side. (A hit without an id empties the counts anyway.)
-    matched = units.join(hits, units.id_sales_order_item.eqNullSafe(hits.reached_id), "left")
-    free = {
-        n: (F.coalesce(f"hit_{n}", F.lit(0)) == 0)
-        & ~found(f"null_{n}")
-        & ~(F.col("id_sales_order_item").isNull() & found(f"any_{n}"))
-        for n in counts
-    }
-    kept = matched.select("productsku", *(F.when(free[n], F.col(n)).otherwise(0).alias(n) for n in counts))
-    return _product_rate(
-        kept.filter((F.col(before) > 0) | (F.col(after) > 0)).groupBy("productsku").agg(*sums(counts))
+    entries = per_item.select(item.isNull().alias("unnamed"), *(f"hit_{n}" for n in counts), F.inline("skus"))
+    per_sku = entries.groupBy("productsku").agg(
+        *(F.sum(F.when(~F.col("unnamed") & (F.col(f"hit_{n}") == 0), F.col(n)).otherwise(0)).alias(f"free_{n}") for n in counts),
+        *(F.sum(F.when(F.col("unnamed"), F.col(n)).otherwise(0)).alias(f"unnamed_{n}") for n in counts),
+        *(F.max(f"hit_{n}").alias(f"any_{n}") for n in counts),
+        *(F.max(F.when(F.col("unnamed"), F.col(f"hit_{n}")).otherwise(0)).alias(f"null_{n}") for n in counts),
+    )
+    # Nothing is negative. Asking for all columns keeps them, so that the ends come from the same shuffles as the rest.
+    # They are joined, not a scalar subquery: adaptive execution plans a subquery apart from the rest and would then
+    # run the join of items and orders again.
+    per_sku = per_sku.filter(functools.reduce(lambda x, y: x & y, (F.col(c) >= 0 for c in per_sku.columns[1:])))
+    ends = per_sku.agg(*(F.max(f"{kind}_{n}").alias(f"{kind}where_{n}") for n in counts for kind in ("any", "null")))
+    totals = per_sku.crossJoin(F.broadcast(ends)).select(
+        "productsku",
+        *(
+            F.when(F.col(f"nullwhere_{n}") == 1, F.lit(0))
+            .when(F.col(f"anywhere_{n}") == 1, F.col(f"free_{n}"))
+            .otherwise(F.col(f"free_{n}") + F.col(f"unnamed_{n}"))
+            .alias(n)
+            for n in counts
+        ),
     )
+    return _product_rate(totals.filter((F.col(before) > 0) | (F.col(after) > 0)))
 
 
 def campaign_return_rate(
@@ -189,7 +196,7 @@ def _distinct_rows(orders: DataFrame) -> DataFrame:
 def _reached_items(items, placed, web_orders, web_campaigns, confdata, pattern, counts) -> DataFrame:
     numbers = reached_orders(web_orders, web_campaigns, confdata, pattern)
     reached = once_per_key(placed.join(numbers, "order_nr", "left_semi"), "id_sales_order")
-    flagged = flagged_items(items, counts)
+    flagged = flagged_items(likely_partners(items, "fk_sales_order", reached, "id_sales_order"), counts)
     return flagged.join(reached, flagged.fk_sales_order == reached.id_sales_order, "left_semi")
 
 

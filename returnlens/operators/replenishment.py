@@ -47,7 +47,7 @@ def days_active(product: DataFrame, seen: Observation = Observation()) -> DataFr
     """
     own = F.col("inventory_type") == seen.inventory_type
     if seen.unknown_inventory:
-        own = own | F.col("inventory_type").isNull()
+        own = own | F.col("inventory_type").isNull() | (F.col("inventory_type") == "")
     visible = seen.current(product).filter((F.col("status") == 1) & own & (F.col("type_id") == "simple"))
     active = rounded_age(F.col("activated_at"), seen.moment)
     estimated = rounded_age(F.col("created_at"), seen.moment, seen.missing_activation_days)

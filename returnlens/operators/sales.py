@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.functions.skew import once_per_key, order_rows, row_counts
+from returnlens.functions.skew import missing_blank, once_per_key, order_rows, row_counts
 from returnlens.functions.states import AFTER_RETURN_OLD, BEFORE_RETURN_REJ, flag, outside
 
 
@@ -33,7 +33,7 @@ def product_order_listing(product: DataFrame, items: DataFrame, orders: DataFram
     Unsold products are added by an anti join rather than kept by an outer join: an outer join
     can be cut only on the preserved side, and the uneven side here is the items.
     """
-    catalogue = product.select("parent_id", "entity_id", F.col("sku").alias("product_sku"), "type_id")
+    catalogue = product.select("parent_id", "entity_id", F.col("sku").alias("product_sku"), missing_blank("type_id"))
     placed = orders.select("id_sales_order", "created_at")
     sold = items.select(F.col("sku").alias("item_sku"), "fk_sales_order")
     timed = sold.join(placed, sold.fk_sales_order == placed.id_sales_order, "left")

@@ -32,10 +32,13 @@ SCHEMAS = {
     "fct_sales": "date_id int, article_id bigint, sold_articles_bef_return int, sold_articles int",
 }
 
-# An empty string means "missing" in every text column. It is read as NULL, except in columns that are only ever
-# compared with constants: there the comparisons leave it out, and their filters reach the scan.
-BLANK_KEPT = ("dwh_shipment_state",)
+# An empty string means "missing" in every text column. It is read as NULL, except in columns that are filtered by
+# constants: there the comparisons leave it out, and their filters reach the scan.
+BLANK_KEPT = {
+    "sales_order_item": ("dwh_shipment_state",),
+    "product": ("type_id", "inventory_type"),
+}
 
 
-def blank_is_null(column: str, kind: str) -> bool:
-    return kind == "string" and column not in BLANK_KEPT
+def blank_is_null(table: str, column: str, kind: str) -> bool:
+    return kind == "string" and column not in BLANK_KEPT.get(table, ())

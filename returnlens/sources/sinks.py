@@ -12,13 +12,16 @@ def forecast_table_name(venture: str) -> str:
 def write_forecast_table(
     forecast: DataFrame, venture: str, schema: str | None = None, folder: str | None = None
 ) -> str:
-    """Create the venture's forecast table at once, in ``folder`` if one is given; fails when it exists."""
+    """Create the venture's forecast table at once, in ``folder`` if one is given; fails when it exists.
+
+    The table is known to the catalog only when all its rows are written, so a run that fails leaves none.
+    """
     name = forecast_table_name(venture)
     qualified = f"{schema}.{name}" if schema else name
-    writer = forecast.write.mode("errorifexists").format("parquet")
+    writer = forecast.writeTo(qualified).using("parquet")
     if folder:
         writer = writer.option("path", f"{folder.rstrip('/')}/{name}")
-    writer.saveAsTable(qualified)
+    writer.create()
     return qualified
 
 

@@ -46,7 +46,7 @@ def declared(rows: DataFrame, table: str) -> DataFrame:
         column = F.col(name)
         if rows.schema[name].dataType.simpleString() != kind:
             column = column.cast(kind)
-        columns.append((F.nullif(column, F.lit("")) if blank_is_null(name, kind) else column).alias(name))
+        columns.append((F.nullif(column, F.lit("")) if blank_is_null(table, name, kind) else column).alias(name))
         if day_column(name) in rows.columns:
             columns.append(F.col(day_column(name)))
     return rows.select(*columns)

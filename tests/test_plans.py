@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from returnlens.functions.periods import Lookback
+from returnlens.functions.pruning import likely_partners
 from returnlens.operators import campaigns, forecast, returns, sales, star
 from returnlens.operators.replenishment import (
     Observation,
@@ -19,7 +20,7 @@ from returnlens.operators.replenishment import (
 )
 from returnlens.plans.forecasts import config_brand_forecast, return_cancel_forecast, star_return_forecast
 from returnlens.sources.schemas import SCHEMAS
-from returnlens.sources.ventures import Venture
+from returnlens.sources.ventures import Venture, declared
 
 NEWEST = datetime(2001, 8, 1, 7)
 
@@ -176,6 +177,8 @@ def test_days_outside_the_period_are_not_read(spark, tmp_path, latest):
     plan = forecast.sku_counts(items, Lookback(150, 30, latest))
     assert plan.collect()[0].sold == 120
     assert rows_read(plan, "sku") == [121]
+    # The newest moment is looked for in the folder of the newest day only.
+    assert [n for n in rows_read(plan, "created_at") if n != 121] == ([1] if latest is None else [])
     seen = Observation(as_of=datetime(2001, 8, 2, 9))
     plan = sales_in_observation(items, seen)
     assert plan.collect()[0].sold_items_before_return == 10
@@ -272,13 +275,13 @@ def test_hot_keys_are_cut_into_pieces(hot, conf, shuffle_joins, operator, tables
 
 
 def test_broadcast_hints_only_on_bounded_sides():
-    """The only hints are on the dates of a period and on the one-row total."""
+    """The only hints are on the dates of a period and on one-row totals."""
     from pathlib import Path
 
     package = Path(entry.__file__).parent / "returnlens"
     core = [p for p in package.rglob("*.py") if p.parent.name != "llm"]
     hinted = [p.name for p in core if "F.broadcast(" in p.read_text()]
-    assert sorted(hinted) == ["forecasts.py", "star.py"]
+    assert sorted(hinted) == ["campaigns.py", "forecasts.py", "star.py"]
 
 
 @pytest.mark.parametrize("name", entry.REGISTRY)
@@ -297,6 +300,50 @@ def test_order_list_reads_items_and_orders_once(stored, shuffle_joins):
     assert counts["sales_order_item"] == counts["sales_order"] == counts["order_list"] == 1
 
 
+@pytest.mark.parametrize("name", ["order_list_return_rate", "campaign_return_rate"])
+def test_items_of_other_orders_are_left_out_before_the_shuffle(stored, shuffle_joins, name):
+    """A bit set of the order ids, built from the shuffle the join reads, is tested as the items leave their scan."""
+    plan = entry.REGISTRY[name].run(stored)
+    assert plan.count() > 0
+    found = list(nodes(plan))
+    joins = [n for n in found if "Join" in n.nodeName() and "fk_sales_order" in n.simpleString(500)]
+    wide = [n for n in found if n.nodeName() == "Exchange" and "hashpartitioning(fk_sales_order" in n.simpleString(500)]
+    assert len(joins) == len(wide) == 1
+    matching = joins[0].metrics().apply("numOutputRows").value()
+    assert matching <= wide[0].metrics().apply("shuffleRecordsWritten").value() <= 1.02 * matching
+
+
+def test_likely_partners_loses_no_partner(spark):
+    keys = [0, 1, -1, 2**40, -(2**63), 2**63 - 1, 77, 77, None]
+    rows = spark.createDataFrame([(k,) for k in [*keys, 5, 6, 2**41, -7]], "id long")
+    for chosen in (keys, [], [None]):
+        table = spark.createDataFrame([(k,) for k in chosen], "key long")
+        found = [r.id for r in likely_partners(rows, "id", table, "key").collect()]
+        assert {k for k in chosen if k is not None} <= set(found) and None not in found
+    many = spark.range(300_000).withColumnRenamed("id", "key")
+    others = spark.range(10**6, 1_200_000).withColumnRenamed("id", "key")
+    assert likely_partners(others, "key", many, "key").count() < 0.01 * 200_000
+    assert likely_partners(many, "key", many, "key").count() == 300_000
+
+
+def test_non_campaign_rate_joins_the_items_once(stored, shuffle_joins):
+    """One shuffle by item id carries the counts, the hits and the ends."""
+    found = list(nodes(entry.REGISTRY["non_campaign_return_rate"].run(stored)))
+    joins = [n.simpleString(500) for n in found if "Join" in n.nodeName()]
+    assert sum("fk_sales_order" in j for j in joins) == 1
+    assert not any("id_sales_order_item" in j for j in joins)
+    by_item = [n for n in found if n.nodeName() == "Exchange" and "hashpartitioning(id_sales_order_item" in n.simpleString(500)]
+    assert len(by_item) == 1
+
+
+@pytest.mark.parametrize(
+    "name", ["return_cancel_forecast", "days_active", "replenishment_report_v2", "abandoned_campaign_totals", "catalog_config_map"]
+)
+def test_catalogue_filters_reach_the_scan(stored, name):
+    plan = entry.REGISTRY[name].run(lambda table: declared(stored(table), table))
+    assert "EqualTo(type_id,simple)" in pushed(plan, "EqualTo(type_id")
+
+
 def test_sold_articles_are_shuffled_by_order_only(stored, shuffle_joins):
     plan = entry.REGISTRY["sold_articles_tagged"].run(stored)
     keys = [e for e in shuffles(plan) if "fk_sales_order" in e]

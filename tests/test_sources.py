@@ -138,3 +138,22 @@ def test_sample_item_ids_are_unique(spark):
     items = SampleTables(spark, "/root/testdata/sf0.01").table("sales_order_item")
     current = items.filter(items.dg_end_date == datetime(9999, 12, 31))
     assert current.count() == current.select("id_sales_order_item").distinct().count()
+
+
+def test_a_failed_run_leaves_no_table(spark, tmp_path):
+    spark.sql(f"create schema failing location '{tmp_path}/schema'")
+    broken = spark.range(10).selectExpr("id", "if(id < 9, id, raise_error('no more rows')) as n")
+    for folder in (None, str(tmp_path)):
+        with pytest.raises(Exception, match="no more rows"):
+            write_forecast_table(broken, "shop", "failing", folder)
+        assert spark.sql("show tables in failing").count() == 0
+    whole = spark.range(3)
+    assert spark.table(write_forecast_table(whole, "shop", "failing")).count() == 3
+    spark.sql("drop schema failing cascade")
+
+
+def test_the_registered_query_leaves_no_schema(spark):
+    before = spark.sql("show schemas").count()
+    rows = entry.queries()["write_forecast_table"](spark, "/root/testdata/sf0.001")
+    assert spark.sql("show schemas").count() == before
+    assert rows.count() == entry.entry(spark).count()
