@@ -38,7 +38,7 @@ from pyspark.sql.types import StructField, StructType
 from returnlens.functions.skew import once_per_key
 from returnlens.llm import quality
 from returnlens.llm.components import components
-from returnlens.llm.shared import grouped_runs, texts_of, written
+from returnlens.llm.shared import grouped_runs, ragged, texts_of, written
 
 THRESHOLD = 2
 LEAST_CHARS = 20
@@ -59,6 +59,7 @@ LONG_WORD = 48  # a longer word counts as its characters
 PLAIN_WORDS, PLAIN_CHARS = 40, 15
 #: Scripts without spaces: each character is a word.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_ANY = re.compile(f"[{UNSPACED}]")
 UNSPACED_PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
 DIGITS = re.compile(r"\d+")
 
@@ -101,7 +102,7 @@ def keys_of(line: str, threshold: int) -> list[int]:
 def words_in(line: str) -> list[str]:
     """What lies between white space; long words and scripts without spaces count by character."""
     parts = line.split()
-    if line.isascii() and max(map(len, parts), default=0) <= LONG_WORD:
+    if max(map(len, parts), default=0) <= LONG_WORD and (line.isascii() or not UNSPACED_ANY.search(line)):
         return parts
     found: list[str] = []
     for part in parts:
@@ -144,32 +145,67 @@ def length_probes(length: int) -> tuple[tuple[tuple[int, int, int], ...], int]:
     return (*own, *others), len(own)
 
 
-def length_keys(line: str) -> tuple[list[int], int]:
-    """Hashes under which a line meets those within its threshold, and how many of them are index entries."""
-    words = words_in(line)
-    grams = gram_keys(words) if len(words) >= EDIT_WORDS else []
-    if len(words) >= PLAIN_WORDS and max(map(len, words)) <= PLAIN_CHARS and words == line.split():
-        return grams, len(grams)
-    numbers = numbers_in(line)
-    mixed = xxhash.xxh64_intdigest(numbers.encode()) if numbers else 0
-    data = line.encode("utf-32-le")
-    digest = xxhash.xxh64_intdigest
-    entries, own = length_probes(len(line))
-    found = [digest(data[4 * at : 4 * (at + size)], seed ^ mixed) for seed, at, size in entries]
-    return grams + found, len(grams) + own
-
-
-def gram_keys(words: list[str]) -> list[int]:
-    """The smallest hash of each window of runs of words."""
-    parts = [w.encode() for w in words]
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    spans = zip(starts[: len(parts) - GRAM + 1].tolist(), ends[GRAM - 1 :].tolist())
+def length_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes under which lines meet those within their threshold: line number, hash, whether it is an index entry."""
+    words = [words_in(line) for line in lines]
+    owner, grams = gram_keys(words)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], GRAM_SEED) for a, b in spans), np.uint64, len(parts) - GRAM + 1)
-    window = next(runs for least, runs in WINDOWS if len(words) >= least)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1)).tolist()
+    found: list[int] = []
+    counts, indexed = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
+    for number, (line, own) in enumerate(zip(lines, words)):
+        if len(own) >= PLAIN_WORDS and max(map(len, own)) <= PLAIN_CHARS and own == line.split():
+            continue
+        numbers = numbers_in(line)
+        mixed = digest(numbers.encode()) if numbers else 0
+        data = line.encode("utf-32-le")
+        entries, indexed[number] = length_probes(len(line))
+        counts[number] = len(entries)
+        found += [digest(data[4 * at : 4 * (at + size)], seed ^ mixed) for seed, at, size in entries]
+    probed = np.repeat(np.arange(len(lines)), counts)
+    place = np.arange(len(probed)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return (
+        np.append(owner, probed),
+        np.append(grams, np.array(found, np.uint64)),
+        np.append(np.ones(len(owner), bool), place < indexed[probed]),
+    )
+
+
+def gram_keys(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and the smallest hash of each window of runs of words, for lines of ``EDIT_WORDS`` words or more."""
+    lines = np.array([i for i, own in enumerate(words) if len(own) >= EDIT_WORDS], np.int64)
+    if not len(lines):
+        return lines, np.zeros(0, np.uint64)
+    sizes = np.array([len(words[i]) for i in lines], np.int64)
+    coded = pa.array([w for i in lines for w in words[i]], pa.large_string()).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w, GRAM_SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+    flat = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+    # A run's hash mixes those of its words, each turned by its place.
+    runs = np.zeros(len(flat) - GRAM + 1, np.uint64)
+    for k in range(GRAM):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(runs)]
+    runs ^= runs >> np.uint64(29)
+    runs *= np.uint64(0xBF58476D1CE4E5B9)
+    runs ^= runs >> np.uint64(32)
+    starts = np.cumsum(sizes) - sizes
+    owners, found = [], []
+    above = np.iinfo(np.int64).max
+    for least, window in WINDOWS:
+        chosen = np.flatnonzero((sizes >= least) & (sizes < above))
+        above = least
+        windows = sizes[chosen] - GRAM - window + 2
+        at = ragged(starts[chosen], windows)
+        smallest = runs[at]
+        for k in range(1, window):
+            smallest = np.minimum(smallest, runs[at + k])
+        owner = np.repeat(lines[chosen], windows)
+        fresh = np.append(True, (smallest[1:] != smallest[:-1]) | (owner[1:] != owner[:-1]))[: len(owner)]
+        owners.append(owner[fresh])
+        found.append(smallest[fresh])
+    owner, keys = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort([keys, owner])
+    owner, keys = owner[order], keys[order]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))
+    return owner[fresh], keys[fresh]
 
 
 def near_words(a: list[str], b: list[str]) -> bool:
@@ -284,7 +320,7 @@ def distances(
 
 def line_classes(
     frame: DataFrame,
-    threshold: int | None = THRESHOLD,
+    threshold: int | None = None,
     least_chars: int = LEAST_CHARS,
     key: str = "doc_id",
     text: str = "text",
@@ -294,7 +330,7 @@ def line_classes(
     The class of a line is what links connect; its first line in order of key and number names it, and only that one
     is kept. Lines of fewer than ``least_chars`` code points are never linked nor equal, hence always kept. A NULL
     text has no lines; an empty text has one empty line. A NULL key comes first. Rows that repeat key and text repeat
-    the result. Other columns are not read.
+    the result. Other columns are not read; an empty table gives no rows. A text is held as a whole while it is split.
 
     Without a ``threshold`` it grows with the line: every line that is not blank belongs to a class, whatever its
     length, and ``least_chars`` is not used. Blank lines are kept.
@@ -343,17 +379,25 @@ def line_classes(
 def without_repeated_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of ``docs``, their texts without the lines that ``classes`` does not keep.
 
-    A text that loses nothing stays as it is; one that loses every line becomes ''.
+    A text that loses nothing stays as it is; one that loses every line becomes ''. NULL texts and keys, repeated rows
+    and other columns stay; an empty table gives none.
     """
     dropped = (
-        classes.filter(~F.col("kept"))
-        .groupBy(F.col(key).alias("_of"))
-        .agg(F.collect_set("line_no").alias("_dropped"))
+        classes.filter(~F.col("kept")).groupBy(F.col(key).alias("of")).agg(F.collect_set("line_no").alias("dropped"))
+    )
+    # The rows in a struct, so that no name of theirs meets one of these.
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].alias("place"), docs[text].alias("whole")
     )
-    joined = docs.join(dropped, docs[key].eqNullSafe(dropped["_of"]), "left")
-    lines = F.filter(F.split(docs[text], "\n"), lambda line, i: ~F.array_contains("_dropped", i))
-    cleaned = F.when(F.col("_dropped").isNull(), docs[text]).otherwise(F.array_join(lines, "\n"))
-    return joined.select(*(cleaned.alias(c) if c == text else docs[c] for c in docs.columns))
+    joined = rows.join(dropped, F.col("place").eqNullSafe(F.col("of")), "left")
+    # Both lists of line numbers are hashed once, so the work is linear in the lines of a document.
+    lines = F.split("whole", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
+    cleaned = F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    )
+    found = joined.withColumn("lines", F.when(F.col("dropped").isNotNull(), lines))
+    return found.select(*((cleaned if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> DataFrame:
@@ -438,19 +482,17 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
         for low in range(0, whole.num_rows, SENT_ROWS // 10):
             batch = whole.slice(low, SENT_ROWS // 10)
             texts = batch.column("line").to_pylist()
+            ids = batch.column("id").to_numpy()
             if threshold is None:
-                both = [length_keys(line) for line in texts]
-                found = [keys for keys, _ in both]
-                indexed = np.fromiter((own for _, own in both), np.int64, len(both))
+                owner, numbers, own = length_keys(texts)
             else:
                 found = [keys_of(line, threshold) for line in texts]
-                indexed = np.full(len(found), threshold + 1)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum())).view(np.int64)
-            ids = np.repeat(batch.column("id").to_numpy(), sizes)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
+                owner = np.repeat(np.arange(len(found)), sizes)
+                own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers), pa.array(ids), pa.array(place < np.repeat(indexed, sizes))], names=["number", "id", "own"]
+                [pa.array(numbers.view(np.int64)), pa.array(ids[owner]), pa.array(own)], names=["number", "id", "own"]
             )
 
 
@@ -473,7 +515,7 @@ def _group_links(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> It
 
 
 def _pairs(group: pa.Table, lines: dict[str, int], threshold: int) -> np.ndarray:
-    """Pairs of a group that may be linked, shorter line first, as numbers in ``lines``, which grows."""
+    """Pairs of a group that may be linked, as numbers in ``lines``, which grows."""
     own = group["own"].to_numpy()
     texts = group["line"].to_pylist()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -487,10 +529,8 @@ def _length_pairs(group: pa.Table, lines: dict[str, int], threshold: None) -> np
     gap = lengths[None, :] - lengths[:, None]
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
     wanted = own[:, None] & (gap >= 0) & (gap <= most[:, None])
-    if own.all():
-        counts = np.fromiter((len(words_in(t)) for t in texts), np.int64, len(texts))
-        more = counts[None, :] - counts[:, None]
-        wanted |= (more >= 0) & (more <= (counts // EDIT_WORDS)[:, None]) & (counts >= EDIT_WORDS)[:, None]
+    if own.all():  # only then the key may be one of words
+        wanted |= np.triu(np.ones_like(wanted), 1)
     return _numbered(group, texts, lines, wanted)
 
 
@@ -540,7 +580,13 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
     symbols = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
     starts = np.cumsum(lengths) - lengths
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
-    words: dict[int, list[str]] = {}
+    words = [words_in(line) for line in lines]
+    counts = np.fromiter(map(len, words), np.int64, n)
+    most_words = np.where(counts >= EDIT_WORDS, counts // EDIT_WORDS, -1)
+    # An edit moves one character, or one word, from one bucket to another at most.
+    letters = _bags(np.repeat(np.arange(n), lengths), symbols, n)
+    word_codes = np.fromiter((hash(w) for own in words for w in own), np.int64, int(counts.sum()))
+    spoken = _bags(np.repeat(np.arange(n), counts), word_codes, n)
     tree = np.arange(n)  # every line's class, by its number
     members = {}
     links: list[tuple[bytes, bytes]] = []
@@ -554,22 +600,21 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
         tree[other] = x
         members[x] = mine + other
 
-    def split(x: int) -> list[str]:
-        if x not in words:
-            words[x] = words_in(lines[x])
-        return words[x]
-
     def compare(x: np.ndarray, y: np.ndarray) -> None:
         apart = tree[x] != tree[y]
         x, y = x[apart], y[apart]
         least = np.minimum(most[x], most[y])
-        near = distances(symbols, starts, lengths, x, y, MOST_EDITS) <= least
-        for a, b, close in zip(x.tolist(), y.tolist(), near.tolist()):
-            if tree[a] != tree[b]:
-                if close and numbers_in(lines[a]) == numbers_in(lines[b]):
-                    join(a, b)
-                elif min(len(split(a)), len(split(b))) >= EDIT_WORDS and near_words(split(a), split(b)):
-                    join(a, b)
+        near = (least > 0) & (np.abs(lengths[x] - lengths[y]) <= least) & (_apart(letters, x, y) <= 2 * least)
+        at = np.flatnonzero(near)
+        near[at] = distances(*_middles(symbols, starts, lengths, x[at], y[at]), MOST_EDITS) <= least[at]
+        edits = np.minimum(most_words[x], most_words[y])
+        alike = (np.abs(counts[x] - counts[y]) <= edits) & (_apart(spoken, x, y) <= 2 * edits)
+        for k in np.flatnonzero(near | alike).tolist():
+            a, b = int(x[k]), int(y[k])
+            if tree[a] != tree[b] and (
+                (near[k] and numbers_in(lines[a]) == numbers_in(lines[b])) or (alike[k] and near_words(words[a], words[b]))
+            ):
+                join(a, b)
 
     # Large runs of one line first: they connect most of a group, and its other pairs need no look.
     cuts = np.flatnonzero(np.diff(firsts, prepend=-1, append=n))
@@ -581,6 +626,58 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
     return _named(links)
 
 
+BUCKETS = 64
+
+
+def _bags(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many codes of each row fall into each bucket."""
+    return np.bincount(owner * BUCKETS + codes % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.int32)
+
+
+def _apart(bags: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many codes the bags of pairs differ; half of it is a lower bound of their edits."""
+    found = [
+        np.abs(bags[x[low : low + 4096]] - bags[y[low : low + 4096]]).sum(axis=1) for low in range(0, len(x), 4096)
+    ]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _middles(
+    symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Pairs without what they begin and end with in common, but for a few characters: their distance is the same.
+
+    Returns symbols, starts, lengths and the numbers of both sides, as ``distances`` takes them.
+    """
+    n = len(x)
+    shorter = np.minimum(lengths[x], lengths[y])
+    begin, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for found, sign in ((begin, 1), (end, -1)):
+        base_x, base_y = (starts[v] + (lengths[v] - 1 if sign < 0 else 0) for v in (x, y))
+        active, width = np.arange(n), 64
+        while len(active):
+            probe = np.minimum(width, shorter[active] - found[active])
+            steps = ragged(found[active], probe) * sign
+            same = symbols[np.repeat(base_x[active], probe) + steps] == symbols[np.repeat(base_y[active], probe) + steps]
+            low = np.cumsum(probe) - probe
+            first = np.append(np.where(same, len(same), np.arange(len(same))), len(same))
+            first = np.where(probe > 0, np.minimum.reduceat(first, low), len(same))
+            run = np.minimum(first - low, probe)
+            found[active] += run
+            active = active[(run == probe) & (found[active] < shorter[active])]
+            width *= 2
+    # The distance is followed over lines longer than the threshold.
+    begin = np.maximum(0, np.minimum(begin, shorter) - MOST_EDITS - 1)
+    end = np.maximum(0, np.minimum(end, shorter - begin - MOST_EDITS - 1))
+    cut = begin + end
+    both = np.append(starts[x] + begin, starts[y] + begin), np.append(lengths[x] - cut, lengths[y] - cut)
+    first, second = np.arange(n), n + np.arange(n)
+    # Shorter line first.
+    turned = both[1][first] > both[1][second]
+    first, second = np.where(turned, second, first), np.where(turned, first, second)
+    return symbols, *both, first, second
+
+
 def _named(links: list[tuple[str, str]]) -> pa.RecordBatch:
     names = [[hashlib.md5(link[k].encode(), usedforsecurity=False).digest() for link in links] for k in (0, 1)]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in names], names=["a", "b"])

@@ -197,26 +197,26 @@ def near_lines():
 
 def test_lines_of_near_copies(texts, monkeypatch):
     rows = near_lines()
-    check_lines(line_dedup.line_classes(texts(rows)).collect(), rows)
+    check_lines(line_dedup.line_classes(texts(rows), threshold=2).collect(), rows)
 
 
 def test_lines_in_many_blocks(texts, monkeypatch):
     # One key for all lines, blocks of four: every pair still meets.
     rows = [(i, "the same beginning of a line " + "abcd"[i % 4] * (i // 4 % 3) + "end" + "xyz"[i % 3]) for i in range(40)]
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
-    check_lines(line_dedup.line_classes(texts(rows)).collect(), rows)
+    check_lines(line_dedup.line_classes(texts(rows), threshold=2).collect(), rows)
 
 
 def test_lines_of_hostile_texts(texts):
     rows = [r for r in HOSTILE if r[0] not in (6, 7)]
     rows += [(40, "z" * 3000 + "a"), (41, "b" + "z" * 3000), (42, "line of an id that comes first of all\n" * 2)]
-    check_lines(line_dedup.line_classes(texts(rows)).collect(), rows, threshold=2)
+    check_lines(line_dedup.line_classes(texts(rows), threshold=2).collect(), rows, threshold=2)
 
 
 def test_repeated_lines_leave_the_text(texts):
     rows = [(1, "a line that stays where it is\nshort\nshort"), (2, "a line that stays where it is!\nnew"), (3, None)]
     docs = texts([*rows, (4, "a line that stays where it is")])
-    classes = line_dedup.line_classes(docs)
+    classes = line_dedup.line_classes(docs, threshold=2)
     found = line_dedup.without_repeated_lines(docs, classes)
     assert found.columns == docs.columns
     assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "new", 3: None, 4: ""}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import pytest
 from conftest_data import HOSTILE
 from test_duplicates import edit_distance, edited, groups_of
@@ -69,8 +71,10 @@ def test_lines_within_the_threshold_share_a_key(seed):
         near = linked(line, other)
         assert line_dedup.within(line, other) == line_dedup.within(other, line) == near
         if near:
-            (a, own_a), (b, own_b) = map(line_dedup.length_keys, sorted((line, other), key=len))
-            assert set(a[:own_a]) & set(b) or set(b[:own_b]) & set(a)
+            owner, keys, own = line_dedup.length_keys([line, other])
+            a, b = ({*keys[owner == k].tolist()} for k in (0, 1))
+            own_a, own_b = ({*keys[(owner == k) & own].tolist()} for k in (0, 1))
+            assert own_a & b or own_b & a
 
 
 def test_classes_of_near_lines(texts):
@@ -124,3 +128,41 @@ def test_the_query_takes_the_threshold_by_length(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op1_line_dedup(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.kept) for r in sorted(found)] == [(1, True), (2, False)]
+
+
+def test_a_document_of_many_lines_in_seconds(spark):
+    import time
+
+    lines = [f"line {i % 50_000}" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "line 1\nother"), (3, None)], "doc_id long, text string")
+    classes = line_dedup.line_classes(docs)
+    classes.write.format("noop").mode("overwrite").save()
+    started = time.monotonic()
+    found = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs, classes).collect()}
+    assert time.monotonic() - started < 30
+    assert found == {1: "\n".join(lines[:50_000]), 2: "other", 3: None}
+
+
+def test_names_of_the_callers_columns(spark):
+    schema = "doc_id long, text string, `of` string, dropped string, row string, lines string, _of int, _dropped int, place int"
+    docs = spark.createDataFrame([(1, "one\none", "a", "b", "c", "d", 1, 2, 3)], schema)
+    found = line_dedup.without_repeated_lines(docs, line_dedup.line_classes(docs))
+    assert found.columns == docs.columns and tuple(found.first()) == (1, "one", "a", "b", "c", "d", 1, 2, 3)
+
+
+def test_the_shortened_pairs_have_the_same_distance():
+    pick = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        line = "".join(pick.choice("ab cé") for _ in range(pick.randrange(20, 90)))
+        pairs.append((line, edited(line, [(pick.choice("idr"), pick.randrange(900), pick.choice("abx")) for _ in range(pick.randrange(4))])))
+    texts = [t for pair in pairs for t in pair]
+    lengths = np.array([len(t) for t in texts])
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    starts = np.cumsum(lengths) - lengths
+    x, y = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    shorter = lengths[x] <= lengths[y]
+    first, second = np.where(shorter, x, y), np.where(shorter, y, x)
+    whole = line_dedup.distances(symbols, starts, lengths, first, second, 2)
+    short = line_dedup.distances(*line_dedup._middles(symbols, starts, lengths, x, y), 2)
+    assert whole.tolist() == short.tolist() and len(set(whole.tolist())) == 4
