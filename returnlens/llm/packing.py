@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from returnlens.llm.bpe import WordRuns
-from returnlens.llm.shared import slices, split_codes, texts_of
+from returnlens.llm.shared import Runs, slices, split_codes, texts_of
 
 CAPACITY = 4096
 OPEN_BINS = 32_768
 END_ID = 1
+CHUNK_BYTES = 12 << 20
 SLICE_BYTES = 3 << 20
+PARTS_AT_ONCE, WORDS_KEPT = 200_000, 400_000
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts, white space between the matches dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -97,31 +99,51 @@ def token_pieces(
 
 def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = _word_level(path)
-    for whole in batches:
-        texts = texts_of(whole.column("text"))
-        for low, high in slices(texts, SLICE_BYTES):
-            # White space separates pre-tokens and is dropped, so texts can be cut at any space.
-            codes, bounds, parts = split_codes(texts.slice(low, high - low))
-            ids, lengths = runs.part_runs_of(codes, parts)
-            counts = np.add.reduceat(lengths, bounds[:-1])
-            ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
-            counts = counts + 1
-            pieces = -(-counts // capacity)
-            row = np.repeat(np.arange(high - low), pieces)
-            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = number * capacity
-            length = np.minimum(capacity, counts[row] - start)
-            offsets = pa.py_buffer((4 * np.append(0, np.cumsum(length))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    whole.column("key").slice(low, high - low).take(pa.array(row)),
-                    pa.array(number.astype(np.int32)),
-                    pa.array(start),
-                    pa.array(length),
-                    pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(ids)]),
-                ],
-                names=["key", "piece", "start", "length", "ids"],
-            )
+    for batch in batches:
+        texts = texts_of(batch.column("text"))
+        for start, stop in slices(texts, CHUNK_BYTES):
+            yield from _chunk_pieces(runs, capacity, batch.column("key").slice(start, stop - start), texts.slice(start, stop - start))
+
+
+def _chunk_pieces(runs: WordRuns, capacity: int, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Each distinct part of a chunk is encoded once; the ids are put together for a slice of texts at a time."""
+    # White space separates pre-tokens and is dropped, so texts can be cut at any space.
+    chunk_codes, chunk_bounds, parts = split_codes(texts)
+    known = _part_runs(runs, parts)
+    for low, high in slices(texts, SLICE_BYTES):
+        codes = chunk_codes[chunk_bounds[low] : chunk_bounds[high]]
+        bounds = chunk_bounds[low : high + 1] - chunk_bounds[low]
+        ids, lengths = known.take(codes)
+        counts = np.add.reduceat(lengths, bounds[:-1])
+        ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
+        counts = counts + 1
+        pieces = -(-counts // capacity)
+        row = np.repeat(np.arange(high - low), pieces)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = number * capacity
+        length = np.minimum(capacity, counts[row] - start)
+        offsets = pa.py_buffer((4 * np.append(0, np.cumsum(length))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [
+                keys.slice(low, high - low).take(pa.array(row)),
+                pa.array(number.astype(np.int32)),
+                pa.array(start),
+                pa.array(length),
+                pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(ids)]),
+            ],
+            names=["key", "piece", "start", "length", "ids"],
+        )
+
+
+def _part_runs(runs: WordRuns, parts: list[str]) -> Runs:
+    """The ids of distinct parts. Of what was encoded only the pre-tokens are kept; parts seldom come again."""
+    found = Runs()
+    for low in range(0, len(parts), PARTS_AT_ONCE):
+        if len(runs.words) > WORDS_KEPT:
+            runs.words, runs.word_runs = {}, Runs()
+        found.extend(*runs.part_runs.take(runs.numbers(parts[low : low + PARTS_AT_ONCE])))
+        runs.parts, runs.part_runs = {}, Runs()
+    return found
 
 
 def pack(
