@@ -11,6 +11,8 @@ join, so Spark can split them.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,18 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*groups), HEX32, BASE32)
 
 
+#: Controls, and the line and paragraph separators: what some reader may take for the end of a line.
+BREAKS = "".join(map(chr, [*range(0x20), 0x7F, 0x85, 0x2028, 0x2029]))
+
+
+def one_line(address: Column) -> Column:
+    """The address with each of ``BREAKS`` percent-encoded, byte by byte of its UTF-8."""
+    encoded = functools.reduce(
+        lambda left, c: F.replace(left, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode()))), BREAKS, address
+    )
+    return F.when(address.rlike(r"[\x00-\x1F\x7F\x85\u2028\u2029]"), encoded).otherwise(address)
+
+
 def write_archive(
     pages: DataFrame,
     folder: str,
@@ -44,8 +58,9 @@ def write_archive(
 
     The payload is the page in UTF-8 (NULL: empty). Of records with equal payloads of at least ``least_bytes`` bytes,
     that with the largest key is the response and the others revisit it; smaller ones are all responses. A repeated
-    row gives a repeated record of the same type. A NULL key counts as smallest; a NULL address is empty, and line
-    ends in an address are percent-encoded. Other columns are not read.
+    row gives a repeated record of the same type. A NULL key counts as smallest; a NULL address is empty, and
+    controls and line separators in an address are percent-encoded. An empty table gives an empty archive. Other columns
+    are not read.
     """
     rows = pages.select(
         pages[key].cast("long").alias("key"),
@@ -74,9 +89,8 @@ def write_archive(
         F.col("size").cast("string"),
         F.lit(END + END),
     )
-    address = F.replace(F.replace("uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     named = joined.select(
-        "digest", "size", "sha1", "owner", address.alias("uri"), block.alias("block"), revisit.alias("revisit"),
+        "digest", "size", "sha1", "owner", one_line(F.col("uri")).alias("uri"), block.alias("block"), revisit.alias("revisit"),
         F.coalesce(F.col("key").cast("string"), F.lit("none")).alias("name"),
     )
     lines = [
@@ -117,7 +131,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     blocks = records.withColumn("header", header).withColumn(
         "block", F.expr("substring(record, octet_length(header) + 5, octet_length(record) - octet_length(header) - 8)")
     )
-    says = lambda name, value: F.regexp_extract("header", rf"(?m)^{name}: {value}\r?$", 1)
+    says = lambda name, value: F.regexp_extract("header", rf"(?md)^{name}: {value}\r?$", 1)
     front = F.octet_length(F.substring_index(F.col("block").cast("string"), END + END, 1))
     parsed = blocks.select(
         "digest",
