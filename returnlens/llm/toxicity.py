@@ -1,17 +1,20 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A logistic regression over words and word beginnings. Besides the log loss it minimises the squared change of the
-score (in log odds) when the identity terms of a labelled text are swapped for others of their group, so a neutral
-mention of a group earns no weight of its own.
+score (in log odds) between two versions of a labelled text: with its identity terms, and with those swapped for others
+of their group. A text without such a term gets a mention of a group in one version and of another in the other, so
+the penalty reaches every row. A neutral mention of a group so earns no weight of its own, also where the beginning of
+a term is that of toxic words.
 
-The model is fitted on a bounded, documented sample: of the labelled rows of the training fold, the ``rows`` with the
-smallest hash of their id. Scoring reads every whole text; it is a projection, without a shuffle.
+The model is fitted on a bounded, documented sample: of the labelled ids of the training fold, the ``rows`` with the
+smallest hash, one text each, written once. Scoring reads every whole text; it is a projection, without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.llm.shared import slices, split_codes, texts_of
+from returnlens.llm.shared import slices, split_codes, texts_of, written
 
 SAMPLE_ROWS = 20_000
 FEATURES = 20_000
@@ -33,7 +36,8 @@ PENALTY = 1.0
 RIDGE = 0.3  # over the number of rows
 STEPS = 300
 BEGINNINGS = (4, 5)
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
+COUNTED = 100_000  # features a task counts before it passes them on
 WORD = re.compile(r"[^\W\d_]+")
 
 # Terms of one row are swapped for one another.
@@ -81,6 +85,8 @@ class Classifier:
     index: dict[str, int]
     weights: np.ndarray
     bias: float
+    mentions: int = 0  # labelled rows that hold an identity term
+    inserted: int = 0  # labelled rows that were given one
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text."""
@@ -129,8 +135,9 @@ def fit(
 ) -> Classifier:
     """The classifier of ``labels.toxic``, learned from at most ``rows`` labelled documents of the training fold.
 
-    Labels that are NULL are left out; a document labelled several times counts as toxic if one label says so.
-    Without rows of both classes every score is the share of label 1 (0 without any row).
+    Labels that are NULL are left out; a document labelled several times counts as toxic if one label says so. Of the
+    rows that repeat an id one text is learned from. Without rows of both classes every score is the share of label 1
+    (0 without any row, as for an empty table). A text is held as a whole while its features are found.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train(F.col("doc_id")))
     sample = (
@@ -139,22 +146,32 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    # Broadcast: at most ``rows`` rows of two numbers.
-    texts = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(sample), F.col("_id") == F.col("doc_id"))
-        .select("text", "label")
+    # Broadcast: at most ``rows`` rows of two numbers. Of the rows of an id the text with the smallest digest counts.
+    texts = written(
+        docs.select(F.col("doc_id").alias("own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        .join(F.broadcast(sample.withColumnRenamed("doc_id", "sampled")), F.col("own") == F.col("sampled"))
+        .groupBy("own")
+        .agg(F.min(F.struct(F.md5("text").alias("digest"), "text", "label")).alias("first"))
+        .select("first.text", "first.label"),
+        "labelled",
     )
+    terms = sorted({f for group in groups for term in group for f in features(term)})
     found = _chosen_features(texts)
-    index = {name: i for i, name in enumerate(found)}
+    # Terms are part of the model wherever a score can change, whether or not the sample holds them.
+    index = {name: i for i, name in enumerate(dict.fromkeys([*found, *(terms if found else [])]))}
     table = texts.mapInArrow(
-        functools.partial(_learned_rows, index, swaps(groups)), "label int, own array<int>, other array<int>"
+        functools.partial(_learned_rows, index, groups),
+        "label int, own array<int>, one array<int>, other array<int>, mentions boolean",
     ).toArrow()
     label = table["label"].to_numpy().astype(float)
     if not 0 < label.sum() < len(label):
         share = float(label.mean()) if len(label) else 0.0
         return Classifier({}, np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -30, 30)))
-    return Classifier(index, *_minimum(label, _Rows(table["own"]), _Rows(table["other"]), len(index), penalty))
+    own, one, other = (_Rows(table[c]) for c in ("own", "one", "other"))
+    mentions = table["mentions"].to_numpy()
+    return Classifier(
+        index, *_minimum(label, own, one, other, len(index), penalty), int(mentions.sum()), int((~mentions & one.given).sum())
+    )
 
 
 def _chosen_features(texts: DataFrame) -> list[str]:
@@ -199,26 +216,40 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
             counts.update((f, label) for f in features(text or ""))
             counts["", label] += 1
-            if len(counts) > 500_000:
+            if len(counts) > COUNTED:
                 yield rows()
                 counts.clear()
     if counts:
         yield rows()
 
 
-def _learned_rows(index: dict[str, int], pairs: dict[str, str], batches) -> Iterator[pa.RecordBatch]:
-    """Feature numbers of each text, and those after the swap (NULL where it changes nothing)."""
+def _learned_rows(index: dict[str, int], groups, batches) -> Iterator[pa.RecordBatch]:
+    """Feature numbers of each text and of its two versions (NULL without any group), and whether it holds a term."""
+    pairs = swaps(groups)
 
-    def numbers(text: str) -> list[int]:
-        return [index[f] for f in features(text) if f in index]
+    def numbers(found: set[str]) -> list[int]:
+        return sorted(index[f] for f in found if f in index)
 
     for batch in batches:
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        others = [swapped(t, pairs) for t in texts]
+        texts = batch["text"].to_pylist()
+        own = [features(t) for t in texts]
+        versions: list[tuple[set[str], set[str]] | None] = []
+        mentions = []
+        for text, found in zip(texts, own):
+            other = swapped(text, pairs)
+            mentions.append(other != text)
+            if other != text:
+                versions.append((found, features(other)))
+            elif pairs:
+                term = [*pairs][zlib.crc32(text.encode()) % len(pairs)]
+                versions.append((found | features(term), found | features(pairs[term])))
+            else:
+                versions.append(None)
+        lists = [[None if v is None else numbers(v[k]) for v in versions] for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(
-            [batch["label"], pa.array([numbers(t) for t in texts], pa.list_(pa.int32())),
-             pa.array([None if o == t else numbers(o) for t, o in zip(texts, others)], pa.list_(pa.int32()))],
-            names=["label", "own", "other"],
+            [batch["label"], *(pa.array(x, pa.list_(pa.int32())) for x in ([numbers(f) for f in own], *lists)),
+             pa.array(mentions, pa.bool_())],
+            names=["label", "own", "one", "other", "mentions"],
         )
 
 
@@ -240,8 +271,20 @@ class _Rows:
         return np.bincount(self.columns, values[self.rows], width)
 
 
-def _minimum(label: np.ndarray, own: _Rows, other: _Rows, width: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of least loss, by gradient steps of adapted size (Adam)."""
+def loss(
+    label: np.ndarray, own: _Rows, one: _Rows, other: _Rows, weights: np.ndarray, bias: float, penalty: float
+) -> float:
+    """Mean log loss, ridge, and mean squared change of the log odds between the two versions of a row."""
+    logits = own.times(weights) + bias
+    change = np.where(other.given, one.times(weights) - other.times(weights), 0.0)
+    fit = np.logaddexp(0, np.where(label == 1, -logits, logits)).mean()
+    return float(fit + 0.5 * RIDGE * (weights @ weights) / len(label) + penalty * (change @ change) / len(label))
+
+
+def _minimum(
+    label: np.ndarray, own: _Rows, one: _Rows, other: _Rows, width: int, penalty: float
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of least ``loss``, by gradient steps of adapted size (Adam)."""
     n = len(label)
     swap = other.given
     weights, bias = np.zeros(width), float(np.log(label.mean() / (1 - label.mean())))
@@ -251,8 +294,8 @@ def _minimum(label: np.ndarray, own: _Rows, other: _Rows, width: int, penalty: f
         error = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - label
         gradient = (own.gathered(error, width) + RIDGE * weights) / n
         if swap.any():
-            change = np.where(swap, own.times(weights) - other.times(weights), 0.0)
-            gradient += 2 * penalty * (own.gathered(change, width) - other.gathered(change, width)) / n
+            change = np.where(swap, one.times(weights) - other.times(weights), 0.0)
+            gradient += 2 * penalty * (one.gathered(change, width) - other.gathered(change, width)) / n
         full = np.append(gradient, error.mean())
         moment = 0.9 * moment + 0.1 * full
         square = 0.99 * square + 0.01 * full**2

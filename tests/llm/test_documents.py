@@ -330,3 +330,82 @@ def test_empty_tables(spark, tmp_path):
     assert toxicity.classified(docs, model).collect() == []
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/archive")
     assert warc.read_archive(spark, f"{tmp_path}/archive").collect() == []
+
+
+# what the model is made of
+
+
+def test_every_row_has_two_versions():
+    import pyarrow as pa
+
+    index = {name: i for i, name in enumerate(["grumbo", "women", "men", "wome~", "w"])}
+    batch = pa.RecordBatch.from_pydict({"text": ["Women w1", "grumbo w1", ""], "label": pa.array([0, 1, 0], pa.int32())})
+    (made,) = toxicity._learned_rows(index, (("women", "men"),), iter([batch]))
+    rows = made.to_pydict()
+    assert rows["mentions"] == [True, False, False]
+    assert rows["own"] == [[1, 3, 4], [0, 4], []]
+    assert rows["one"][0] == [1, 3, 4] and rows["other"][0] == [2, 4]
+    for k in (1, 2):  # a mention of either group beside the text's own words
+        versions = sorted([rows["one"][k], rows["other"][k]])
+        assert versions == sorted([sorted([*rows["own"][k], 1, 3]), sorted([*rows["own"][k], 2])])
+    (alone,) = toxicity._learned_rows(index, (), iter([batch]))
+    assert alone.to_pydict()["one"] == [None] * 3
+
+
+def test_the_weights_have_the_least_loss():
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(4)
+    rows = [sorted(random.choice(12, 4, replace=False).tolist()) for _ in range(300)]
+    other = [[(i + 1) % 12 for i in r] if k % 3 else None for k, r in enumerate(rows)]
+    label = np.array([float(3 in r) if random.random() < 0.9 else 1.0 for r in rows])
+    kind = pa.list_(pa.int32())
+    own, two = (toxicity._Rows(pa.chunked_array([pa.array(x, kind)])) for x in (rows, other))
+    for penalty in (0.0, 1.0):
+        weights, bias = toxicity._minimum(label, own, own, two, 12, penalty)
+
+        def loss(w, b):
+            """By hand, row by row."""
+            total = 0.15 * sum(x * x for x in w)
+            for r, o, y in zip(rows, other, label):
+                odds = b + sum(w[i] for i in r)
+                total += np.log1p(np.exp(-odds if y else odds))
+                total += penalty * (0 if o is None else sum(w[i] for i in r) - sum(w[i] for i in o)) ** 2
+            return total / len(rows)
+
+        best = loss(weights, bias)
+        assert best == pytest.approx(toxicity.loss(label, own, own, two, weights, bias, penalty))
+        for k in range(12):
+            for step in (-0.02, 0.02):
+                moved = weights.copy()
+                moved[k] += step
+                assert loss(moved, bias) > best - 5e-4
+
+
+def test_scores_add_the_weights_of_the_words_held(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    assert model.mentions + model.inserted > 50 and set(toxicity.features("women")) <= set(model.index)
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    for text, score in zip(texts, model.scores(pa.array(texts, pa.large_string()))):
+        odds = model.bias + sum(model.weights[i] for i in {model.index.get(f) for f in toxicity.features(text)} - {None})
+        assert score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
+
+
+def test_addresses_that_look_like_headers(spark, tmp_path):
+    breaks = ["\r\n", "\n", "\r", "\u0085", " ", " ", "\x0b", "\x0c", "\x1e", "\x00"]
+    rows = [(i, f"http://a{b}WARC-Refers-To: <urn:page:77>{b}{b}WARC-Type: x", "same") for i, b in enumerate(breaks)]
+    rows += [(99, "http://b/ é %0A?WARC-Refers-To: <urn:page:77>", "same"), (50, None, None)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/archive")
+    found = {r.page_id: r for r in warc.read_archive(spark, f"{tmp_path}/archive").collect()}
+    assert len(found) == len(rows)
+    for key, address, html in rows:
+        wanted = "".join(
+            "".join(f"%{x:02X}" for x in c.encode()) if c in "\u0085  " or ord(c) < 32 else c for c in address or ""
+        )
+        assert found[key].uri == wanted
+        assert found[key].refers_to == (99 if html and key != 99 else None)
