@@ -2,7 +2,8 @@
 
 Every stage takes what its predecessor kept. All but the last return the columns of documents; where a stage changes a
 text, ``n_chars`` follows. Every row is a document of its own, whatever its ``doc_id``: the stages that compare
-documents tell rows apart by a number, which ``run`` writes with their input.
+documents tell rows apart by a number, which they write with their input. Columns they add have names the input lacks.
+An empty input gives no rows; NULL texts are empty ones; a text is held as a whole by the task that works on it.
 """
 
 from __future__ import annotations
@@ -17,20 +18,22 @@ from returnlens.llm import line_dedup, quality, queries, simhash, toxicity
 from returnlens.llm.shared import written
 from returnlens.session import shared_dir
 
-ROW = "corpus_pipeline_row"
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels of the training fold, scores below its threshold."""
+    """Documents that the classifier, learned from the labels of the training fold, scores below its threshold.
+
+    A row is scored by its text alone: repeated rows and rows without an id stay or go as they would alone.
+    """
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), model.column("text").alias("score"))
-    return rows.filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    score = _free("score", docs)
+    scored = docs.withColumn(score, model.column("text"))
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality rules keep, without their failing lines."""
+    """Documents the quality rules keep, without their failing lines. Rows are judged one by one; repeated ones alike."""
     judged = quality.quality(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept")
     return _with_text(judged, docs.columns, F.col("clean_text"))
 
@@ -38,8 +41,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
     queries.prepare(spark)
-    numbered = _numbered(docs)
-    rows = numbered.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", ROW).alias("place"), "text")
+    numbered, row = _numbered(docs)
+    rows = numbered.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", row).alias("place"), "text")
     classes = line_dedup.line_classes(rows, threshold=None, key="place")
     cleaned = line_dedup.without_repeated_lines(rows, classes, key="place")
     emptied = (F.length(quality.bare(F.col("text"))) == 0) & (F.length(quality.bare(F.col("row.text"))) > 0)
@@ -49,27 +52,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked fingerprints, one row: the first of the smallest id."""
     queries.prepare(spark)
-    numbered = _numbered(docs)
+    numbered, row = _numbered(docs)
     # A NULL id comes last.
-    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", ROW)
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(row).alias("number"))
     groups = simhash.simhash_groups(numbered.select(place.alias("place"), "text"), bits=3, words=3, key="place")
-    kept = groups.filter(F.col("place").eqNullSafe(F.col("component_id"))).select(
-        F.col(f"place.{ROW}").alias("_kept")
-    )
-    return numbered.join(kept, F.col(ROW) == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = groups.filter(F.col("place").eqNullSafe(F.col("component_id"))).select(F.col("place.number").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences. Every row has pieces of its own, a NULL text the end id alone."""
     queries.prepare(spark)
     return queries.packed_documents(docs)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own; written where they have none, so that every read sees the same."""
-    if ROW in docs.columns:
-        return docs
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, written so that every read sees the same, and the number's column."""
+    row = _free("row_number", docs)
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
@@ -98,9 +105,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
-        rows = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            rows = rows.withColumn(ROW, F.monotonically_increasing_id())
-        rows.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
