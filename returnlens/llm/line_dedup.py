@@ -16,8 +16,9 @@ blank are one class at any length. Characters: one edit from 20 of them, two fro
 one edit for every 25 of them. Lengths are those of the shorter line; either measure links. Two lines of 25 words or
 more within their threshold share a run of 12 words, of 16 from 54 words and of 20 from 100: of the runs of ``GRAM``
 words in each window of that length the one with the smallest hash is a key, so both lines have it. Larger windows
-choose among the keys of smaller ones, so lines on two sides of a bound meet as well. Lines of 40 words or more that
-are short words throughout meet by these keys also where characters differ; the others have segments too.
+choose among the keys of smaller ones, so lines on two sides of a bound meet as well. Two edits of characters leave a
+run of 12 words whole in a line of 40 words or more, so such lines meet by these keys as well, unless an edit can join
+words to one of more than ``LONG_WORD`` characters; those, and all shorter lines, have segments.
 """
 
 from __future__ import annotations
@@ -56,11 +57,16 @@ GRAM = 8
 GRAM_SEED = 1 << 40
 WINDOWS = ((100, 13), (54, 9), (0, 5))  # least words, runs in a window
 LONG_WORD = 48  # a longer word counts as its characters
-PLAIN_WORDS, PLAIN_CHARS = 40, 15
+PLAIN_WORDS = 40
 #: Scripts without spaces: each character is a word.
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_ANY = re.compile(f"[{UNSPACED}]")
 UNSPACED_PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
+# Lines whose words are not simply what lies between common white space.
+ODD = (
+    r"\S{49}|[\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{180e}]"
+    r"|[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
+)
 DIGITS = re.compile(r"\d+")
 
 
@@ -145,16 +151,53 @@ def length_probes(length: int) -> tuple[tuple[tuple[int, int, int], ...], int]:
     return (*own, *others), len(own)
 
 
+def coded_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of lines (64-bit offsets) as codes, one line after the other, their number, and the distinct words.
+
+    Lines with long words, other scripts or rare white space are cut by ``words_in``, all others at once.
+    """
+    odd = pc.match_substring_regex(lines, ODD).to_numpy(zero_copy_only=False)
+    lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", lines))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(lines)), sizes)
+    if odd.any():
+        cut = {i: words_in(lines[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        flat = pa.concat_arrays([flat, pa.array([w for own in cut.values() for w in own], flat.type)])
+        owner = np.append(owner, np.repeat(np.array([*cut]), [len(own) for own in cut.values()]))
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    held = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes]
+    codes, owner = codes[held], owner[held]
+    if odd.any():
+        order = np.argsort(owner, kind="stable")
+        codes, owner = codes[order], owner[order]
+    return codes, np.bincount(owner, minlength=len(lines)), coded.dictionary
+
+
+def plain_lines(codes: np.ndarray, counts: np.ndarray, words: pa.Array, odd: np.ndarray) -> np.ndarray:
+    """Lines of many words none of which can become a long one by two edits, even if three become one."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+    three = np.convolve(sizes, np.ones(3, np.int64))[: len(sizes)]
+    # The first two words of a line also take in some of the line before, which only adds.
+    starts = np.cumsum(counts) - counts
+    widest = np.zeros(len(counts), np.int64)
+    some = counts > 0
+    if some.any():
+        widest[some] = np.maximum.reduceat(three, starts[some])
+    return (counts >= PLAIN_WORDS) & (widest + 2 <= LONG_WORD) & ~odd
+
+
 def length_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes under which lines meet those within their threshold: line number, hash, whether it is an index entry."""
-    words = [words_in(line) for line in lines]
-    owner, grams = gram_keys(words)
+    texts = pa.array(lines, pa.large_string())
+    codes, sizes, words = coded_words(texts)
+    owner, grams = gram_keys(codes, sizes, words)
+    odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
     digest = xxhash.xxh64_intdigest
     found: list[int] = []
     counts, indexed = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
-    for number, (line, own) in enumerate(zip(lines, words)):
-        if len(own) >= PLAIN_WORDS and max(map(len, own)) <= PLAIN_CHARS and own == line.split():
-            continue
+    for number in np.flatnonzero(~plain_lines(codes, sizes, words, odd)).tolist():
+        line = lines[number]
         numbers = numbers_in(line)
         mixed = digest(numbers.encode()) if numbers else 0
         data = line.encode("utf-32-le")
@@ -170,15 +213,14 @@ def length_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def gram_keys(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def gram_keys(codes: np.ndarray, counts: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Line number and the smallest hash of each window of runs of words, for lines of ``EDIT_WORDS`` words or more."""
-    lines = np.array([i for i, own in enumerate(words) if len(own) >= EDIT_WORDS], np.int64)
+    lines = np.flatnonzero(counts >= EDIT_WORDS)
     if not len(lines):
         return lines, np.zeros(0, np.uint64)
-    sizes = np.array([len(words[i]) for i in lines], np.int64)
-    coded = pa.array([w for i in lines for w in words[i]], pa.large_string()).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w, GRAM_SEED) for w in coded.dictionary.to_pylist()], np.uint64)
-    flat = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+    sizes = counts[lines]
+    hashes = np.array([xxhash.xxh64_intdigest(w, GRAM_SEED) for w in words.to_pylist()], np.uint64)
+    flat = hashes[codes[np.repeat(counts >= EDIT_WORDS, counts)]]
     # A run's hash mixes those of its words, each turned by its place.
     runs = np.zeros(len(flat) - GRAM + 1, np.uint64)
     for k in range(GRAM):
@@ -479,8 +521,8 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for low in range(0, whole.num_rows, SENT_ROWS // 10):
-            batch = whole.slice(low, SENT_ROWS // 10)
+        for low in range(0, whole.num_rows, SENT_ROWS // 4):
+            batch = whole.slice(low, SENT_ROWS // 4)
             texts = batch.column("line").to_pylist()
             ids = batch.column("id").to_numpy()
             if threshold is None:
@@ -580,12 +622,11 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
     symbols = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
     starts = np.cumsum(lengths) - lengths
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
-    words = [words_in(line) for line in lines]
-    counts = np.fromiter(map(len, words), np.int64, n)
+    word_codes, counts, _ = coded_words(pa.array(lines, pa.large_string()))
+    words = functools.cache(lambda number: words_in(lines[number]))
     most_words = np.where(counts >= EDIT_WORDS, counts // EDIT_WORDS, -1)
     # An edit moves one character, or one word, from one bucket to another at most.
     letters = _bags(np.repeat(np.arange(n), lengths), symbols, n)
-    word_codes = np.fromiter((hash(w) for own in words for w in own), np.int64, int(counts.sum()))
     spoken = _bags(np.repeat(np.arange(n), counts), word_codes, n)
     tree = np.arange(n)  # every line's class, by its number
     members = {}
@@ -612,7 +653,7 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
         for k in np.flatnonzero(near | alike).tolist():
             a, b = int(x[k]), int(y[k])
             if tree[a] != tree[b] and (
-                (near[k] and numbers_in(lines[a]) == numbers_in(lines[b])) or (alike[k] and near_words(words[a], words[b]))
+                (near[k] and numbers_in(lines[a]) == numbers_in(lines[b])) or (alike[k] and near_words(words(a), words(b)))
             ):
                 join(a, b)
 
