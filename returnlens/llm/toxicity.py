@@ -37,6 +37,7 @@ RIDGE = 0.3  # over the number of rows
 STEPS = 300
 BEGINNINGS = (4, 5)
 SLICE_BYTES = 2 << 20
+LEARNED_ROWS = 200  # labelled texts whose features a task holds
 COUNTED = 100_000  # features a task counts before it passes them on
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -213,7 +214,8 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
     for batch in batches:
-        for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
+        for text, label in zip(batch["text"], batch["label"].to_pylist()):
+            text = text.as_py()
             counts.update((f, label) for f in features(text or ""))
             counts["", label] += 1
             if len(counts) > COUNTED:
@@ -230,27 +232,25 @@ def _learned_rows(index: dict[str, int], groups, batches) -> Iterator[pa.RecordB
     def numbers(found: set[str]) -> list[int]:
         return sorted(index[f] for f in found if f in index)
 
-    for batch in batches:
-        texts = batch["text"].to_pylist()
-        own = [features(t) for t in texts]
-        versions: list[tuple[set[str], set[str]] | None] = []
-        mentions = []
-        for text, found in zip(texts, own):
-            other = swapped(text, pairs)
-            mentions.append(other != text)
-            if other != text:
-                versions.append((found, features(other)))
-            elif pairs:
-                term = [*pairs][zlib.crc32(text.encode()) % len(pairs)]
-                versions.append((found | features(term), found | features(pairs[term])))
-            else:
-                versions.append(None)
-        lists = [[None if v is None else numbers(v[k]) for v in versions] for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch["label"], *(pa.array(x, pa.list_(pa.int32())) for x in ([numbers(f) for f in own], *lists)),
-             pa.array(mentions, pa.bool_())],
-            names=["label", "own", "one", "other", "mentions"],
-        )
+    for whole in batches:
+        for low in range(0, whole.num_rows, LEARNED_ROWS):
+            batch = whole.slice(low, LEARNED_ROWS)
+            rows: list[tuple[list[int], list[int] | None, list[int] | None, bool]] = []
+            for text in batch["text"].to_pylist():
+                found, other = features(text), swapped(text, pairs)
+                one = two = None
+                if other != text:
+                    one, two = numbers(found), numbers(features(other))
+                elif pairs:
+                    term = [*pairs][zlib.crc32(text.encode()) % len(pairs)]
+                    one, two = numbers(found | features(term)), numbers(found | features(pairs[term]))
+                rows.append((numbers(found), one, two, other != text))
+            own, one, two, mentions = zip(*rows)
+            lists = (pa.array(x, pa.list_(pa.int32())) for x in (own, one, two))
+            yield pa.RecordBatch.from_arrays(
+                [batch["label"], *lists, pa.array(mentions, pa.bool_())],
+                names=["label", "own", "one", "other", "mentions"],
+            )
 
 
 class _Rows:
