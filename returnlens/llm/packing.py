@@ -25,9 +25,9 @@ from returnlens.llm.shared import Runs, slices, split_codes, texts_of
 CAPACITY = 4096
 OPEN_BINS = 32_768
 END_ID = 1
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 3 << 20
-PARTS_AT_ONCE, WORDS_KEPT = 200_000, 400_000
+PARTS_AT_ONCE, WORDS_KEPT = 150_000, 200_000
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts, white space between the matches dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
