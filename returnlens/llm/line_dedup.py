@@ -39,13 +39,14 @@ from pyspark.sql.types import StructField, StructType
 from returnlens.functions.skew import once_per_key
 from returnlens.llm import quality
 from returnlens.llm.components import components
-from returnlens.llm.shared import grouped_runs, ragged, texts_of, written
+from returnlens.llm.shared import gathered, grouped_runs, ragged, texts_of, written
 
 THRESHOLD = 2
 LEAST_CHARS = 20
 BLOCK = 512
 SEEN_LINES = 400_000
 SENT_ROWS = 20_000
+KEY_BYTES = 2 << 20
 PAIRS = 1 << 15
 HELD_BYTES = 16 << 20
 
@@ -62,11 +63,15 @@ PLAIN_WORDS = 40
 UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_ANY = re.compile(f"[{UNSPACED}]")
 UNSPACED_PARTS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}]+")
-# Lines whose words are not simply what lies between common white space.
-ODD = (
-    r"\S{49}|[\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{180e}]"
-    r"|[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
-)
+# Characters of lines whose words are not simply what lies between common white space: first and last of each run.
+ODD_LOW = ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0))
+ODD_HIGH = (
+    (0xE00, 0xEFF), (0x1000, 0x109F), (0x1680, 0x1680), (0x1780, 0x17FF), (0x180E, 0x180E), (0x2000, 0x200F),
+    (0x2028, 0x202F), (0x205F, 0x2064), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFEFF, 0xFEFF), (0x20000, 0x3FFFF),
+)
+TURN = 0x9E3779B97F4A7C15
+TURN_BACK = pow(TURN, -1, 1 << 64)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
 DIGITS = re.compile(r"\d+")
 
 
@@ -134,8 +139,11 @@ def word_edits(count: int) -> int:
 
 
 @functools.lru_cache(1 << 14)
-def length_probes(length: int) -> tuple[tuple[tuple[int, int, int], ...], int]:
-    """Probes for lines that are shorter by their own threshold at most, and how many of them are index entries."""
+def length_probes(length: int) -> tuple[np.ndarray, int]:
+    """Probes for lines that are shorter by their own threshold at most, and how many of them are index entries.
+
+    A probe is a column: seed, start, length.
+    """
     own, others = [], []
     for other in range(max(EDIT_CHARS, length - MOST_EDITS), length + 1):
         threshold, longer = char_edits(other), length - other
@@ -148,35 +156,92 @@ def length_probes(length: int) -> tuple[tuple[tuple[int, int, int], ...], int]:
             for at in range(low, high + 1):
                 entry = (other * (MOST_EDITS + 1) + i, at, size)
                 (own if not longer and at == start else others).append(entry)
-    return (*own, *others), len(own)
+    return np.array([*own, *others], np.int64).reshape(-1, 3).T, len(own)
 
 
-def coded_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """The words of lines (64-bit offsets) as codes, one line after the other, their number, and the distinct words.
+class Lines:
+    """Lines as one array of code points, with hashes of any of their substrings.
 
-    Lines with long words, other scripts or rare white space are cut by ``words_in``, all others at once.
+    The hash of a substring is a polynomial over its characters, so sums from the start give it in one step. Equal
+    substrings have equal hashes wherever they are, in other batches as well.
     """
-    odd = pc.match_substring_regex(lines, ODD).to_numpy(zero_copy_only=False)
-    lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", lines))
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, owner = lists.flatten(), np.repeat(np.arange(len(lines)), sizes)
-    if odd.any():
-        cut = {i: words_in(lines[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-        flat = pa.concat_arrays([flat, pa.array([w for own in cut.values() for w in own], flat.type)])
-        owner = np.append(owner, np.repeat(np.array([*cut]), [len(own) for own in cut.values()]))
-    coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    held = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes]
-    codes, owner = codes[held], owner[held]
-    if odd.any():
-        order = np.argsort(owner, kind="stable")
-        codes, owner = codes[order], owner[order]
-    return codes, np.bincount(owner, minlength=len(lines)), coded.dictionary
-
-
-def plain_lines(codes: np.ndarray, counts: np.ndarray, words: pa.Array, odd: np.ndarray) -> np.ndarray:
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.symbols = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        values = _stirred(self.symbols.astype(np.uint64) + np.uint64(1))
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(TURN, len(values)), out=sums[1:])
+        return sums
+
+    @functools.cached_property
+    def back(self) -> np.ndarray:
+        return _powers(TURN_BACK, len(self.symbols) + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _stirred((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and length of every word, line after line; the words of each line; the lines cut by ``words_in``.
+
+        Those have long words, scripts without spaces or rare white space.
+        """
+        n, symbols = len(self.lines), self.symbols
+        blank = np.append((symbols == 32) | (symbols - np.uint32(9) < 5), True)
+        before = np.append(True, blank[:-1])
+        before[self.starts[self.lengths > 0]] = True
+        after = blank.copy()
+        after[:-1] = blank[1:]
+        after[(self.starts + self.lengths - 1)[self.lengths > 0]] = True
+        begins = np.flatnonzero(before & ~blank)
+        ends = np.flatnonzero(after & ~blank) + 1
+        owner = np.repeat(np.arange(n), self.lengths)[begins]
+        sizes, hashes = ends - begins, self.hashes(begins, ends)
+        odd = np.zeros(n, bool)
+        odd[owner[sizes > LONG_WORD]] = True
+        for rare in self._rare():
+            odd[np.searchsorted(self.starts, rare, side="right") - 1] = True
+        if odd.any():
+            numbers = np.flatnonzero(odd)
+            cut = [words_in(self.lines[i]) for i in numbers.tolist()]
+            inner = Lines([w for own in cut for w in own])
+            kept = ~odd[owner]
+            owner = np.append(owner[kept], np.repeat(numbers, [len(own) for own in cut]))
+            sizes = np.append(sizes[kept], inner.lengths)
+            hashes = np.append(hashes[kept], inner.hashes(inner.starts, inner.starts + inner.lengths))
+            order = np.argsort(owner, kind="stable")
+            owner, sizes, hashes = owner[order], sizes[order], hashes[order]
+        return hashes, sizes, np.bincount(owner, minlength=n), odd
+
+    def _rare(self) -> Iterator[np.ndarray]:
+        """Places of the characters that make a line an odd one."""
+        for low, high in ODD_LOW:
+            yield np.flatnonzero(self.symbols - np.uint32(low) <= high - low)
+        at = np.flatnonzero(self.symbols >= ODD_HIGH[0][0])
+        for low, high in ODD_HIGH:
+            yield at[self.symbols[at] - np.uint32(low) <= high - low]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, np.uint64)
+    found[:1] = 1
+    return np.cumprod(found, out=found)
+
+
+def _stirred(codes: np.ndarray) -> np.ndarray:
+    codes = codes ^ codes >> np.uint64(29)
+    codes *= MIX
+    codes ^= codes >> np.uint64(32)
+    return codes
+
+
+def plain_lines(sizes: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndarray:
     """Lines of many words none of which can become a long one by two edits, even if three become one."""
-    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
     three = np.convolve(sizes, np.ones(3, np.int64))[: len(sizes)]
     # The first two words of a line also take in some of the line before, which only adds.
     starts = np.cumsum(counts) - counts
@@ -189,56 +254,55 @@ def plain_lines(codes: np.ndarray, counts: np.ndarray, words: pa.Array, odd: np.
 
 def length_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes under which lines meet those within their threshold: line number, hash, whether it is an index entry."""
-    texts = pa.array(lines, pa.large_string())
-    codes, sizes, words = coded_words(texts)
-    owner, grams = gram_keys(codes, sizes, words)
-    odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-    digest = xxhash.xxh64_intdigest
-    found: list[int] = []
-    counts, indexed = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64)
-    for number in np.flatnonzero(~plain_lines(codes, sizes, words, odd)).tolist():
-        line = lines[number]
-        numbers = numbers_in(line)
-        mixed = digest(numbers.encode()) if numbers else 0
-        data = line.encode("utf-32-le")
-        entries, indexed[number] = length_probes(len(line))
-        counts[number] = len(entries)
-        found += [digest(data[4 * at : 4 * (at + size)], seed ^ mixed) for seed, at, size in entries]
-    probed = np.repeat(np.arange(len(lines)), counts)
-    place = np.arange(len(probed)) - np.repeat(np.cumsum(counts) - counts, counts)
+    held = Lines(lines)
+    words, sizes, counts, odd = held.words()
+    owner, grams = gram_keys(words, counts)
+    cut = np.flatnonzero(~plain_lines(sizes, counts, odd))
+    # The probes of every length once, then those of each line.
+    lengths, kind = np.unique(held.lengths[cut], return_inverse=True)
+    found = [length_probes(length) for length in lengths.tolist()]
+    probes_of = np.array([entries.shape[1] for entries, _ in found], np.int64)
+    seeds, at, size = np.concatenate([np.zeros((3, 0), np.int64), *(entries for entries, _ in found)], axis=1)
+    n = probes_of[kind]
+    chosen = ragged((np.cumsum(probes_of) - probes_of)[kind], n)
+    indexed = np.array([own for _, own in found], np.int64)[kind]
+    numbers = [numbers_in(lines[i]) for i in cut.tolist()]
+    mixed = np.array([xxhash.xxh64_intdigest(x.encode()) if x else 0 for x in numbers], np.uint64)
+    starts = np.repeat(held.starts[cut], n) + at[chosen]
+    seeded = seeds[chosen].astype(np.uint64) * np.uint64(TURN) ^ np.repeat(mixed, n)
+    probed = _stirred(held.hashes(starts, starts + size[chosen]) + seeded)
+    place = np.arange(len(chosen)) - np.repeat(np.cumsum(n) - n, n)
     return (
-        np.append(owner, probed),
-        np.append(grams, np.array(found, np.uint64)),
-        np.append(np.ones(len(owner), bool), place < indexed[probed]),
+        np.append(owner, np.repeat(cut, n)),
+        np.append(grams, probed),
+        np.append(np.ones(len(owner), bool), place < np.repeat(indexed, n)),
     )
 
 
-def gram_keys(codes: np.ndarray, counts: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def gram_keys(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line number and the smallest hash of each window of runs of words, for lines of ``EDIT_WORDS`` words or more."""
     lines = np.flatnonzero(counts >= EDIT_WORDS)
     if not len(lines):
         return lines, np.zeros(0, np.uint64)
     sizes = counts[lines]
-    hashes = np.array([xxhash.xxh64_intdigest(w, GRAM_SEED) for w in words.to_pylist()], np.uint64)
-    flat = hashes[codes[np.repeat(counts >= EDIT_WORDS, counts)]]
+    flat = _stirred(words[np.repeat(counts >= EDIT_WORDS, counts)] + np.uint64(GRAM_SEED))
     # A run's hash mixes those of its words, each turned by its place.
     runs = np.zeros(len(flat) - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(runs)]
-    runs ^= runs >> np.uint64(29)
-    runs *= np.uint64(0xBF58476D1CE4E5B9)
-    runs ^= runs >> np.uint64(32)
+        runs *= np.uint64(TURN)
+        runs += flat[k : k + len(runs)]
+    runs = _stirred(runs)
     starts = np.cumsum(sizes) - sizes
     owners, found = [], []
     above = np.iinfo(np.int64).max
     for least, window in WINDOWS:
         chosen = np.flatnonzero((sizes >= least) & (sizes < above))
         above = least
+        if not len(chosen):
+            continue
         windows = sizes[chosen] - GRAM - window + 2
         at = ragged(starts[chosen], windows)
-        smallest = runs[at]
-        for k in range(1, window):
-            smallest = np.minimum(smallest, runs[at + k])
+        smallest = _least_of(runs, window)[at]
         owner = np.repeat(lines[chosen], windows)
         fresh = np.append(True, (smallest[1:] != smallest[:-1]) | (owner[1:] != owner[:-1]))[: len(owner)]
         owners.append(owner[fresh])
@@ -250,6 +314,16 @@ def gram_keys(codes: np.ndarray, counts: np.ndarray, words: pa.Array) -> tuple[n
     return owner[fresh], keys[fresh]
 
 
+def _least_of(values: np.ndarray, window: int) -> np.ndarray:
+    """The smallest value of each window, from windows of doubled length."""
+    found, width = values, 1
+    while width < window:
+        step = min(width, window - width)
+        found = np.minimum(found[: len(found) - step], found[step:])
+        width += step
+    return found
+
+
 def near_words(a: list[str], b: list[str]) -> bool:
     """Whether the edit distance over words is within the threshold of the shorter list."""
     if len(a) > len(b):
@@ -520,22 +594,20 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for low in range(0, whole.num_rows, SENT_ROWS // 4):
-            batch = whole.slice(low, SENT_ROWS // 4)
-            texts = batch.column("line").to_pylist()
-            ids = batch.column("id").to_numpy()
-            if threshold is None:
-                owner, numbers, own = length_keys(texts)
-            else:
-                found = [keys_of(line, threshold) for line in texts]
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
-                owner = np.repeat(np.arange(len(found)), sizes)
-                own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers.view(np.int64)), pa.array(ids[owner]), pa.array(own)], names=["number", "id", "own"]
-            )
+    for batch in gathered(batches, "line", KEY_BYTES, SENT_ROWS):
+        texts = batch.column("line").to_pylist()
+        ids = batch.column("id").to_numpy()
+        if threshold is None:
+            owner, numbers, own = length_keys(texts)
+        else:
+            found = [keys_of(line, threshold) for line in texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
+            owner = np.repeat(np.arange(len(found)), sizes)
+            own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers.view(np.int64)), pa.array(ids[owner]), pa.array(own)], names=["number", "id", "own"]
+        )
 
 
 def _group_links(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -618,16 +690,15 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
     both = np.concatenate(pairs, axis=1)
     codes = np.unique(both.min(axis=0) * n + both.max(axis=0))
     firsts = codes // n
-    lengths = np.fromiter(map(len, lines), np.int64, n)
-    symbols = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
-    starts = np.cumsum(lengths) - lengths
+    held = Lines(lines)
+    lengths, symbols, starts = held.lengths, held.symbols, held.starts
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
-    word_codes, counts, _ = coded_words(pa.array(lines, pa.large_string()))
+    spoken_words, _, counts, _ = held.words()
     words = functools.cache(lambda number: words_in(lines[number]))
     most_words = np.where(counts >= EDIT_WORDS, counts // EDIT_WORDS, -1)
     # An edit moves one character, or one word, from one bucket to another at most.
     letters = _bags(np.repeat(np.arange(n), lengths), symbols, n)
-    spoken = _bags(np.repeat(np.arange(n), counts), word_codes, n)
+    spoken = _bags(np.repeat(np.arange(n), counts), spoken_words, n)
     tree = np.arange(n)  # every line's class, by its number
     members = {}
     links: list[tuple[bytes, bytes]] = []
@@ -672,7 +743,8 @@ BUCKETS = 64
 
 def _bags(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     """How many codes of each row fall into each bucket."""
-    return np.bincount(owner * BUCKETS + codes % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.int32)
+    buckets = (codes % codes.dtype.type(BUCKETS)).astype(np.int64)
+    return np.bincount(owner * BUCKETS + buckets, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.int32)
 
 
 def _apart(bags: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
