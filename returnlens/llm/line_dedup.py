@@ -39,7 +39,7 @@ from pyspark.sql.types import StructField, StructType
 from returnlens.functions.skew import once_per_key
 from returnlens.llm import quality
 from returnlens.llm.components import components
-from returnlens.llm.shared import gathered, grouped_runs, ragged, texts_of, written
+from returnlens.llm.shared import gathered, grouped_runs, plain, ragged, texts_of, whole_groups, written
 
 THRESHOLD = 2
 LEAST_CHARS = 20
@@ -501,11 +501,11 @@ def without_repeated_lines(docs: DataFrame, classes: DataFrame, key: str = "doc_
     dropped = (
         classes.filter(~F.col("kept")).groupBy(F.col(key).alias("of")).agg(F.collect_set("line_no").alias("dropped"))
     )
-    # The rows in a struct, so that no name of theirs meets one of these.
-    rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].alias("place"), docs[text].alias("whole")
+    # The rows in a struct, so that no name of theirs meets one of these. A text is shuffled once.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].alias("place"))
+    joined = rows.join(dropped, F.col("place").eqNullSafe(F.col("of")), "left").withColumn(
+        "whole", F.col(f"row.`{text}`")
     )
-    joined = rows.join(dropped, F.col("place").eqNullSafe(F.col("of")), "left")
     # Both lists of line numbers are hashed once, so the work is linear in the lines of a document.
     lines = F.split("whole", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
@@ -612,20 +612,40 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def _group_links(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups are compared many at a time, as far as memory and ``PAIRS`` allow: most hold two or three lines."""
+    if threshold is None:
+        for table, cuts in whole_groups(batches, GROUP):
+            for low, high in _portions(table, cuts):
+                lines, pairs = _length_pairs(table.slice(cuts[low], cuts[high] - cuts[low]), cuts[low : high + 1])
+                yield _length_links(lines, pairs)
+        return
     lines: dict[str, int] = {}
     pairs: list[np.ndarray] = []
     held = size = 0
-    find, linked = (_pairs, _links) if threshold is not None else (_length_pairs, _length_links)
     for group in grouped_runs(batches, GROUP):
-        found = find(group, lines, threshold)
+        found = _pairs(group, lines, threshold)
         pairs.append(found)
         held += found.shape[1]
         size += pc.sum(pc.binary_length(group["line"])).as_py()
         if held > PAIRS or size > HELD_BYTES:
-            yield linked([*lines], pairs, threshold)
+            yield _links([*lines], pairs, threshold)
             lines, pairs, held, size = {}, [], 0, 0
     if held:
-        yield linked([*lines], pairs, threshold)
+        yield _links([*lines], pairs, threshold)
+
+
+def _portions(table: pa.Table, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of groups of at most ``HELD_BYTES`` of text and about ``8 * PAIRS`` pairs; a larger group is alone."""
+    bytes_to = np.append(0, np.cumsum(pc.binary_length(table["line"]).to_numpy()))[cuts]
+    pairs_to = np.append(0, np.cumsum(np.diff(cuts) ** 2 // 2))
+    low = 0
+    while low < len(cuts) - 1:
+        high = min(
+            np.searchsorted(bytes_to, bytes_to[low] + HELD_BYTES, side="right"),
+            np.searchsorted(pairs_to, pairs_to[low] + 8 * PAIRS, side="right"),
+        )
+        high = max(low + 1, int(high) - 1)
+        yield low, high
+        low = high
 
 
 def _pairs(group: pa.Table, lines: dict[str, int], threshold: int) -> np.ndarray:
@@ -637,15 +657,26 @@ def _pairs(group: pa.Table, lines: dict[str, int], threshold: int) -> np.ndarray
     return _numbered(group, texts, lines, own[:, None] & (gap >= 0) & (gap <= threshold))
 
 
-def _length_pairs(group: pa.Table, lines: dict[str, int], threshold: None) -> np.ndarray:
-    own, texts = group["own"].to_numpy(), group["line"].to_pylist()
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    gap = lengths[None, :] - lengths[:, None]
+def _length_pairs(table: pa.Table, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct lines of many groups, and the pairs of each group that may be linked, as numbers of lines."""
+    coded = plain(table["line"]).dictionary_encode()
+    lines, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    own, block = table["own"].to_numpy(), table["block"].to_numpy()
+    across = table["low"].to_numpy() != table["high"].to_numpy()
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))[numbers]
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
-    wanted = own[:, None] & (gap >= 0) & (gap <= most[:, None])
-    if own.all():  # only then the key may be one of words
-        wanted |= np.triu(np.ones_like(wanted), 1)
-    return _numbered(group, texts, lines, wanted)
+    starts, sizes = cuts[:-1] - cuts[0], np.diff(cuts)
+    words = np.repeat(np.logical_and.reduceat(own, starts), sizes)  # only then the key may be one of words
+    found = [np.zeros((2, 0), np.int64)]
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        one, two = np.triu_indices(n, 1)
+        base = starts[sizes == n][:, None]
+        i, j = (base + one).ravel(), (base + two).ravel()
+        gap = lengths[j] - lengths[i]
+        wanted = words[i] | (own[i] & (gap >= 0) & (gap <= most[i])) | (own[j] & (gap <= 0) & (-gap <= most[j]))
+        wanted &= (numbers[i] != numbers[j]) & (~across[i] | (block[i] != block[j]))
+        found.append(np.stack([numbers[i[wanted]], numbers[j[wanted]]]))
+    return lines, np.concatenate(found, axis=1)
 
 
 def _numbered(group: pa.Table, texts: list[str], lines: dict[str, int], wanted: np.ndarray) -> np.ndarray:
@@ -684,16 +715,16 @@ def _links(lines: list[str], pairs: list[np.ndarray], threshold: int) -> pa.Reco
     return _named(links)
 
 
-def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) -> pa.RecordBatch:
+def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
     """Links among the pairs under the threshold by length; pairs that are connected already are not compared."""
     n = len(lines)
-    both = np.concatenate(pairs, axis=1)
     codes = np.unique(both.min(axis=0) * n + both.max(axis=0))
     firsts = codes // n
     held = Lines(lines)
     lengths, symbols, starts = held.lengths, held.symbols, held.starts
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
     spoken_words, _, counts, _ = held.words()
+    word_starts = np.cumsum(counts) - counts
     words = functools.cache(lambda number: words_in(lines[number]))
     most_words = np.where(counts >= EDIT_WORDS, counts // EDIT_WORDS, -1)
     # An edit moves one character, or one word, from one bucket to another at most.
@@ -721,10 +752,14 @@ def _length_links(lines: list[str], pairs: list[np.ndarray], threshold: None) ->
         near[at] = distances(*_middles(symbols, starts, lengths, x[at], y[at]), MOST_EDITS) <= least[at]
         edits = np.minimum(most_words[x], most_words[y])
         alike = (np.abs(counts[x] - counts[y]) <= edits) & (_apart(spoken, x, y) <= 2 * edits)
+        # Words that differ place by place bound the edits from above.
+        replaced = np.flatnonzero(alike & (counts[x] == counts[y]))
+        sure = np.zeros(len(x), bool)
+        sure[replaced] = _replaced(spoken_words, word_starts, counts, x[replaced], y[replaced]) <= edits[replaced]
         for k in np.flatnonzero(near | alike).tolist():
             a, b = int(x[k]), int(y[k])
             if tree[a] != tree[b] and (
-                (near[k] and numbers_in(lines[a]) == numbers_in(lines[b])) or (alike[k] and near_words(words(a), words(b)))
+                (near[k] and numbers_in(lines[a]) == numbers_in(lines[b])) or (alike[k] and (sure[k] or near_words(words(a), words(b))))
             ):
                 join(a, b)
 
@@ -755,6 +790,18 @@ def _apart(bags: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _replaced(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places pairs of equally many words, told apart by their hashes, differ."""
+    found = np.zeros(len(x), np.int64)
+    for low in range(0, len(x), 4096):
+        a, b = x[low : low + 4096], y[low : low + 4096]
+        differ = words[ragged(starts[a], counts[a])] != words[ragged(starts[b], counts[b])]
+        so_far = np.append(0, np.cumsum(differ))
+        ends = np.cumsum(counts[a])
+        found[low : low + 4096] = so_far[ends] - so_far[ends - counts[a]]
+    return found
+
+
 def _middles(
     symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray
 ) -> tuple[np.ndarray, ...]:

@@ -120,6 +120,13 @@ class Runs:
 
 def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each group of a sorted partition; a group must fit in memory."""
+    for table, cuts in whole_groups(batches, keys):
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield table.slice(low, high - low)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of a sorted partition, some whole groups at a time, with the bounds of these groups."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -129,9 +136,9 @@ def grouped_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             column = plain(held[key])
             changed = pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1)))
             changes |= changed.to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist()]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            yield held.slice(low, high - low)
-        held = held.slice(cuts[-1])
+        cuts = np.append(0, np.flatnonzero(changes) + 1)
+        if len(cuts) > 1:
+            yield held.slice(0, int(cuts[-1])), cuts
+        held = held.slice(int(cuts[-1]))
     if held is not None and held.num_rows:
-        yield held
+        yield held, np.array([0, held.num_rows])
