@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from returnlens.llm import line_dedup, quality, queries, simhash, toxicity
@@ -35,18 +35,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality rules keep, without their failing lines. Rows are judged one by one; repeated ones alike."""
     judged = quality.quality(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept")
-    return _with_text(judged, docs.columns, F.col("clean_text"))
+    text = F.col("clean_text")
+    return _with_text(judged, docs.columns, text, text.eqNullSafe(F.col("row.text")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
     queries.prepare(spark)
     numbered, row = _numbered(docs)
-    rows = numbered.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", row).alias("place"), "text")
+    # The text is shuffled once: of the old one only its length and whether it has words go along.
+    others = [c for c in docs.columns if c.lower() != "text"]
+    rows = numbered.select(
+        F.struct(*others).alias("row"), F.struct("doc_id", row).alias("place"), "text", F.length("text").alias("chars"),
+        (F.length(quality.bare(F.col("text"))) > 0).alias("worded"),
+    )
     classes = line_dedup.line_classes(rows, threshold=None, key="place")
     cleaned = line_dedup.without_repeated_lines(rows, classes, key="place")
-    emptied = (F.length(quality.bare(F.col("text"))) == 0) & (F.length(quality.bare(F.col("row.text"))) > 0)
-    return _with_text(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs.columns, F.col("text"))
+    emptied = F.col("worded") & (F.length(quality.bare(F.col("text"))) == 0)
+    # A line that goes has a word, so a text that loses one is shorter.
+    same = F.length("text").eqNullSafe(F.col("chars"))
+    return _with_text(cleaned.filter(~F.coalesce(emptied, F.lit(False))), docs.columns, F.col("text"), same)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,10 +87,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _with_text(rows: DataFrame, columns: list[str], text) -> DataFrame:
-    """The columns of ``row`` with another text, and its length where it changed."""
-    old = F.col("row.text")
-    values = {"text": text, "n_chars": F.when(text.eqNullSafe(old), F.col("row.n_chars")).otherwise(F.length(text))}
+def _with_text(rows: DataFrame, columns: list[str], text: Column, same: Column) -> DataFrame:
+    """The columns of ``row`` with another text, and its length where it is not the same."""
+    values = {"text": text, "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length(text))}
     return rows.select(*(values.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
 
 
