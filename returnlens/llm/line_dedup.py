@@ -457,7 +457,7 @@ def line_classes(
         raise ValueError("lines must be longer than the threshold")
     docs = frame.select(frame[key].alias("key"), frame[text].cast("string").alias("text"))
     lines = docs.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    classed = F.length("line") >= least_chars if threshold is not None else F.length(quality.bare(F.col("line"))) > 0
+    classed = F.length("line") >= least_chars if threshold is not None else F.ltrim("line", F.lit(quality.SPACES)) != ""
     places = written(
         lines.select("key", "line_no", F.when(classed, F.unhex(F.md5("line"))).alias("digest")), "line-places"
     )
