@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from returnlens.llm.shared import OTHER_SPACES, Runs, plain, ragged, slices, split_codes, texts_of
+from returnlens.llm.shared import OTHER_SPACES, Runs, plain, ragged, slices, split_codes, texts_of, unused_prefix
 
 NONE = np.iinfo(np.int32).max
 PARTS_KEPT = 250_000
@@ -348,9 +348,13 @@ def bpe_encode(frame: DataFrame, path: str, text: str = "text", ids: str = "ids"
 def bpe_round_trip(
     frame: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """``bpe_encode`` and ``bpe_decode`` in one pass, for checks that the ids lose nothing."""
-    both = frame.withColumn("_both", round_tripper(path)(_text(frame, text)))
-    return both.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
+    """``bpe_encode`` and ``bpe_decode`` in one pass, for checks that the ids lose nothing.
+
+    Columns already named ``ids`` or ``decoded`` are replaced, all others stay.
+    """
+    both = f"{unused_prefix(frame.columns)}both"
+    tripped = frame.withColumn(both, round_tripper(path)(_text(frame, text)))
+    return tripped.withColumn(ids, F.col(f"{both}.ids")).withColumn(decoded, F.col(f"{both}.decoded")).drop(both)
 
 
 def bpe_decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -15,6 +15,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from returnlens.llm.shared import quoted, unused_prefix
+
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
@@ -114,58 +116,65 @@ def quality(frame: DataFrame, text: str = "text") -> DataFrame:
     Counts: ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_dup_lines`` (lines with a word equal
     to an earlier line), ``n_repeat_words`` (words in windows found twice or more). ``clean_text`` is the text without
     failing lines; lines without a word stay, and a text none of whose lines fail stays as it is. NULL and empty
-    texts have no words and fail. Repeated rows are judged alike; rows are neither joined nor reordered.
+    texts have no words and fail. Repeated rows are judged alike; rows are neither joined nor reordered. Other columns
+    stay, whatever their names; an empty table gives no rows. A text is held as a whole by its task.
     """
-    kept_names = [c for c in frame.columns if c not in OUTPUTS]
-    parts = frame.select(
-        *(frame[c] for c in kept_names), F.coalesce(frame[text].cast("string"), F.lit("")).alias("_text")
-    )
-    cut = parts.select("*", F.split("_text", "\n").alias("_lines"))
-    cut = cut.select("*", F.transform("_lines", words_of).alias("_line_words"))
-    cut = cut.select("*", F.flatten("_line_words").alias("_words"))
+    others = [c for c in frame.columns if c.lower() not in OUTPUTS]
+    kept_names = [quoted(c) for c in others]
+    inner = unused_prefix(others)
+
+    def own(name: str) -> Column:
+        return F.col(inner + name)
+
+    parts = frame.select(*kept_names, F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias(f"{inner}text"))
+    cut = parts.select("*", F.split(own("text"), "\n").alias(f"{inner}lines"))
+    cut = cut.select("*", F.transform(own("lines"), words_of).alias(f"{inner}line_words"))
+    cut = cut.select("*", F.flatten(own("line_words")).alias(f"{inner}words"))
+    count = F.size(own("words"))
     windows = F.when(
-        F.size("_words") >= WINDOW,
+        count >= WINDOW,
         F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))),
+            F.sequence(F.lit(1), count - (WINDOW - 1)),
+            lambda i: F.xxhash64(F.slice(own("words"), i, F.lit(WINDOW))),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
     judged = cut.select(
         *kept_names,
-        "_text",
-        F.size("_words").cast("long").alias("n_words"),
-        windows.alias("_windows"),
+        own("text"),
+        count.cast("long").alias("n_words"),
+        windows.alias(f"{inner}windows"),
         F.filter(
-            F.zip_with("_lines", "_line_words", lambda line, words: F.when(F.size(words) > 0, line)), F.isnotnull
-        ).alias("_full"),
+            F.zip_with(own("lines"), own("line_words"), lambda line, words: F.when(F.size(words) > 0, line)),
+            F.isnotnull,
+        ).alias(f"{inner}full"),
         F.filter(
             F.zip_with(
-                "_lines",
-                "_line_words",
+                own("lines"),
+                own("line_words"),
                 lambda line, words: F.when((F.size(words) == 0) | line_kept(line, words), line),
             ),
             F.isnotnull,
-        ).alias("_passed"),
+        ).alias(f"{inner}passed"),
     )
-    judged = judged.withColumn("_placed", placed_hashes(F.col("_windows")))
-    judged = judged.withColumn("_places", repeated_places(F.col("_placed")))
-    solid = F.length(bare(F.col("_text")))
+    judged = judged.withColumn(f"{inner}placed", placed_hashes(own("windows")))
+    judged = judged.withColumn(f"{inner}places", repeated_places(own("placed")))
+    solid = F.length(bare(own("text")))
     counted = judged.select(
         *kept_names,
         "n_words",
         solid.cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        covered_words(F.col("_places")).alias("n_repeat_words"),
-        F.array_join("_passed", "\n").alias("clean_text"),
+        (F.length(own("text")) - F.length(without(own("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size(own("full")) - F.size(F.array_distinct(own("full")))).cast("long").alias("n_dup_lines"),
+        covered_words(own("places")).alias("n_repeat_words"),
+        F.array_join(own("passed"), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     enough = 100 * F.length(bare(F.col("clean_text"))) >= LEAST_LEFT * F.col("word_chars")
     # A filter on the verdict must not be pushed below: it would judge every text twice, the inner steps many times.
     # Spark moves no filter past a generator, and this one makes one row of each.
     verdict = F.struct(*OUTPUTS[:5], failed.alias("base_failed"), (~failed & enough).alias("kept"), "clean_text")
-    held = counted.select(*kept_names, F.explode(F.array(verdict)).alias("_verdict"))
-    return held.select(*kept_names, *(F.col(f"_verdict.{c}").alias(c) for c in OUTPUTS))
+    held = counted.select(*kept_names, F.explode(F.array(verdict)).alias(f"{inner}verdict"))
+    return held.select(*kept_names, *(F.col(f"{inner}verdict.{c}").alias(c) for c in OUTPUTS))
 
 
 OUTPUTS = [

@@ -142,3 +142,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         held = held.slice(int(cuts[-1]))
     if held is not None and held.num_rows:
         yield held, np.array([0, held.num_rows])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused_prefix(columns: list[str]) -> str:
+    """Underscores that none of the columns begins with, so that no name made from them is one of theirs."""
+    longest = max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
+    return "_" * (longest + 1)

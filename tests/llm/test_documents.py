@@ -28,7 +28,7 @@ def ordered(rows):
 @pytest.mark.parametrize("name", oracle.ORACLE)
 def test_queries_with_a_statement(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
@@ -252,6 +252,18 @@ def test_quality_of_hostile_texts(texts):
     assert clean[50] == rows[-7][1] and clean[51] == good and clean[55] == rows[-2][1]
 
 
+def test_inner_names_of_the_rules_are_free(texts):
+    rows = texts(HOSTILE)
+    names = ["_text", "_lines", "_line_words", "_words", "_windows", "_full", "_passed", "_placed", "_places", "__a.b"]
+    clashing = rows.select("*", *(F.lit(f"own {n}").alias(n) for n in names), F.lit("gone").alias("N_Words"))
+    judged = quality.quality(clashing)
+    assert not {"_verdict", "N_Words"} & set(judged.columns)
+    found = judged.select("doc_id", *quality.OUTPUTS).collect()
+    assert ordered(found) == ordered(quality.quality(rows).select("doc_id", *quality.OUTPUTS).collect())
+    kept = judged.select(*(f"`{n}`" for n in names)).distinct().collect()
+    assert [tuple(r) for r in kept] == [tuple(f"own {n}" for n in names)]
+
+
 def test_filters_stay_above_the_verdict(texts):
     kept = quality.quality(texts(HOSTILE)).filter("kept")
     plan = kept._jdf.queryExecution().executedPlan().toString()

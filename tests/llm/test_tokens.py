@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 from conftest_data import HOSTILE
 from hypothesis import given, settings
@@ -83,6 +84,15 @@ def test_encode_and_decode_columns(texts):
         assert row["class"] == "x"
 
 
+def test_the_round_trip_keeps_other_columns(texts):
+    docs = texts(HOSTILE).withColumn("_both", F.lit("own")).withColumn("ids", F.lit("gone"))
+    rows = bpe.bpe_round_trip(docs, BYTES).collect()
+    assert len(rows) == len(HOSTILE)
+    tokenizer = library(BYTES)
+    for row in rows:
+        assert (row["_both"], row.ids, row.decoded) == ("own", ids_of(tokenizer, row.text), row.text or "")
+
+
 def test_broken_utf8_decodes_like_the_library(spark):
     tokenizer = library(BYTES)
     runs = [[222], [222, 64], [50256, 10], [], None, [172, 253]]
