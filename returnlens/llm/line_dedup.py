@@ -46,9 +46,10 @@ LEAST_CHARS = 20
 BLOCK = 512
 SEEN_LINES = 400_000
 SENT_ROWS = 20_000
-KEY_BYTES = 2 << 20
+KEY_BYTES = 1 << 19
 PAIRS = 1 << 15
-HELD_BYTES = 16 << 20
+HELD_BYTES = 4 << 20
+POWERS_KEPT = 1 << 22
 
 # Threshold by length.
 EDIT_CHARS = 20  # code points for one edit of characters
@@ -174,9 +175,10 @@ class Lines:
 
     @functools.cached_property
     def sums(self) -> np.ndarray:
-        values = _stirred(self.symbols.astype(np.uint64) + np.uint64(1))
+        values = _stirred_symbols()[self.symbols]
+        values *= _powers(TURN, len(values))
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(TURN, len(values)), out=sums[1:])
+        np.cumsum(values, out=sums[1:])
         return sums
 
     @functools.cached_property
@@ -191,8 +193,9 @@ class Lines:
 
         Those have long words, scripts without spaces or rare white space.
         """
-        n, symbols = len(self.lines), self.symbols
-        blank = np.append((symbols == 32) | (symbols - np.uint32(9) < 5), True)
+        n = len(self.lines)
+        kinds = _kinds()[self.symbols]
+        blank = np.append(kinds == BLANK, True)
         before = np.append(True, blank[:-1])
         before[self.starts[self.lengths > 0]] = True
         after = blank.copy()
@@ -200,12 +203,12 @@ class Lines:
         after[(self.starts + self.lengths - 1)[self.lengths > 0]] = True
         begins = np.flatnonzero(before & ~blank)
         ends = np.flatnonzero(after & ~blank) + 1
-        owner = np.repeat(np.arange(n), self.lengths)[begins]
+        counts = np.diff(np.searchsorted(begins, self.starts), append=len(begins))
+        owner = np.repeat(np.arange(n), counts)
         sizes, hashes = ends - begins, self.hashes(begins, ends)
         odd = np.zeros(n, bool)
         odd[owner[sizes > LONG_WORD]] = True
-        for rare in self._rare():
-            odd[np.searchsorted(self.starts, rare, side="right") - 1] = True
+        odd[np.searchsorted(self.starts, np.flatnonzero(kinds == RARE), side="right") - 1] = True
         if odd.any():
             numbers = np.flatnonzero(odd)
             cut = [words_in(self.lines[i]) for i in numbers.tolist()]
@@ -218,16 +221,35 @@ class Lines:
             owner, sizes, hashes = owner[order], sizes[order], hashes[order]
         return hashes, sizes, np.bincount(owner, minlength=n), odd
 
-    def _rare(self) -> Iterator[np.ndarray]:
-        """Places of the characters that make a line an odd one."""
-        for low, high in ODD_LOW:
-            yield np.flatnonzero(self.symbols - np.uint32(low) <= high - low)
-        at = np.flatnonzero(self.symbols >= ODD_HIGH[0][0])
-        for low, high in ODD_HIGH:
-            yield at[self.symbols[at] - np.uint32(low) <= high - low]
+
+BLANK, RARE = 1, 2
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point, whether it parts words or makes a line an odd one."""
+    found = np.zeros(0x110000, np.uint8)
+    for low, high in (*ODD_LOW, *ODD_HIGH):
+        found[low : high + 1] = RARE
+    found[[32, *range(9, 14)]] = BLANK
+    return found
+
+
+@functools.cache
+def _stirred_symbols() -> np.ndarray:
+    return _stirred(np.arange(1, 0x110001, dtype=np.uint64))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    return _kept_powers(base)[:n] if n <= POWERS_KEPT else _all_powers(base, n)
+
+
+@functools.cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _all_powers(base, POWERS_KEPT)
+
+
+def _all_powers(base: int, n: int) -> np.ndarray:
     found = np.full(n, base, np.uint64)
     found[:1] = 1
     return np.cumprod(found, out=found)
@@ -527,19 +549,20 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
         .distinct()
     )
     entries = lines.mapInArrow(
-        functools.partial(_key_rows, threshold), _filled("number long, id long, own boolean")
+        functools.partial(_key_rows, threshold), _filled("number long, entry long")
     ).repartition("number")
-    mixed = F.xxhash64("id", "own")
+    mixed = F.xxhash64("entry")
+    indexed = F.col("entry").bitwiseAND(F.lit(1))
     crowds = (
         entries.groupBy("number")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max("own").alias("indexed"),
-            F.max("id").alias("some"),
+            F.max(indexed).alias("indexed"),
+            F.max("entry").alias("some"),
             F.sum(F.shiftright(mixed, 32)).alias("high"),
             F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
         )
-        .filter("n > 1 and indexed and some is not null")
+        .filter("n > 1 and indexed = 1 and some is not null")
     )
     # Of keys with the very same lines one is enough: near copies share many.
     crowds = (
@@ -548,7 +571,7 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
         .select("met", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     met = entries.join(crowds, F.col("number") == F.col("met")).select(
-        "number", "own", "blocks", F.col("id").alias("line_id")
+        "number", (indexed == 1).alias("own"), "blocks", F.col("entry").bitwiseAND(F.lit(-2)).alias("line_id")
     )
     placed = met.join(lines, F.col("line_id") == F.col("id")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int")
@@ -587,7 +610,8 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
             if len(seen) > SEEN_LINES:
                 seen.clear()
             seen.update(new)
-            ids = np.frombuffer(b"".join(new), "<i8")[::2]
+            # Even, so that an entry tells by its lowest bit whether the index has it.
+            ids = np.frombuffer(b"".join(new), "<i8")[::2] & -2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array([*new.values()], pa.string())], names=["id", "line"]
             )
@@ -605,8 +629,10 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
             numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
             owner = np.repeat(np.arange(len(found)), sizes)
             own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
+        entries = ids[owner]
+        entries |= own
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers.view(np.int64)), pa.array(ids[owner]), pa.array(own)], names=["number", "id", "own"]
+            [pa.array(numbers.view(np.int64)), pa.array(entries)], names=["number", "entry"]
         )
 
 
@@ -719,7 +745,6 @@ def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
     """Links among the pairs under the threshold by length; pairs that are connected already are not compared."""
     n = len(lines)
     codes = np.unique(both.min(axis=0) * n + both.max(axis=0))
-    firsts = codes // n
     held = Lines(lines)
     lengths, symbols, starts = held.lengths, held.symbols, held.starts
     most = np.minimum(lengths // EDIT_CHARS, MOST_EDITS)
@@ -728,8 +753,12 @@ def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
     words = functools.cache(lambda number: words_in(lines[number]))
     most_words = np.where(counts >= EDIT_WORDS, counts // EDIT_WORDS, -1)
     # An edit moves one character, or one word, from one bucket to another at most.
-    letters = _bags(np.repeat(np.arange(n), lengths), symbols, n)
-    spoken = _bags(np.repeat(np.arange(n), counts), spoken_words, n)
+    firsts, seconds = codes // n, codes % n
+    least = np.minimum(most[firsts], most[seconds])
+    close = (least > 0) & (np.abs(lengths[firsts] - lengths[seconds]) <= least)
+    asked = np.unique(np.append(firsts[close], seconds[close]))
+    letters = _bags(asked, lengths[asked], symbols[ragged(starts[asked], lengths[asked])], n)
+    spoken = _bags(np.arange(n), counts, spoken_words, n)
     tree = np.arange(n)  # every line's class, by its number
     members = {}
     links: list[tuple[bytes, bytes]] = []
@@ -767,19 +796,22 @@ def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(firsts, prepend=-1, append=n))
     for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if high - low >= 64:
-            compare(firsts[low:high], codes[low:high] % n)
+            compare(firsts[low:high], seconds[low:high])
     for low in range(0, len(codes), PAIRS):
-        compare(firsts[low : low + PAIRS], codes[low : low + PAIRS] % n)
+        compare(firsts[low : low + PAIRS], seconds[low : low + PAIRS])
     return _named(links)
 
 
 BUCKETS = 64
 
 
-def _bags(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    """How many codes of each row fall into each bucket."""
-    buckets = (codes % codes.dtype.type(BUCKETS)).astype(np.int64)
-    return np.bincount(owner * BUCKETS + buckets, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.int32)
+def _bags(rows: np.ndarray, sizes: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many of the codes of each given row fall into each bucket; none for the others of ``n`` rows."""
+    buckets = np.repeat(np.arange(len(rows)) * BUCKETS, sizes)
+    buckets += (codes & codes.dtype.type(BUCKETS - 1)).astype(np.int64)
+    found = np.zeros((n, BUCKETS), np.int32)
+    found[rows] = np.bincount(buckets, minlength=len(rows) * BUCKETS).reshape(len(rows), BUCKETS)
+    return found
 
 
 def _apart(bags: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
