@@ -552,26 +552,24 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
         functools.partial(_key_rows, threshold), _filled("number long, entry long")
     ).repartition("number")
     mixed = F.xxhash64("entry")
-    indexed = F.col("entry").bitwiseAND(F.lit(1))
     crowds = (
         entries.groupBy("number")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.max(indexed).alias("indexed"),
-            F.max("entry").alias("some"),
+            F.max("entry").alias("largest"),
             F.sum(F.shiftright(mixed, 32)).alias("high"),
             F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
         )
-        .filter("n > 1 and indexed = 1 and some is not null")
+        .filter("n > 1 and largest >= 0")
     )
     # Of keys with the very same lines one is enough: near copies share many.
     crowds = (
-        crowds.groupBy("n", "some", "high", "low")
+        crowds.groupBy("n", "largest", "high", "low")
         .agg(F.min("number").alias("met"))
         .select("met", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     met = entries.join(crowds, F.col("number") == F.col("met")).select(
-        "number", (indexed == 1).alias("own"), "blocks", F.col("entry").bitwiseAND(F.lit(-2)).alias("line_id")
+        "number", (F.col("entry") >= 0).alias("own"), "blocks", F.col("entry").bitwiseAND(ID).alias("line_id")
     )
     placed = met.join(lines, F.col("line_id") == F.col("id")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int")
@@ -588,6 +586,7 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
 
 
 GROUP = ["number", "low", "high"]
+ID = (1 << 63) - 1  # the bits of an entry that name its line
 
 
 def _filled(columns: str) -> StructType:
@@ -602,18 +601,18 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
         for low in range(0, len(texts), 500):
             lines = pc.unique(pc.split_pattern(texts.slice(low, 500), "\n").flatten())
             chosen = lines.filter(pc.greater_equal(pc.utf8_length(lines), least_chars))
-            new: dict[bytes, str] = {}
-            for line in chosen.to_pylist():
-                digest = hashlib.md5(line.encode(), usedforsecurity=False).digest()
+            new: dict[bytes, bytes] = {}
+            for line in chosen.cast(pa.binary()).to_pylist():
+                digest = hashlib.md5(line, usedforsecurity=False).digest()
                 if digest not in seen:
                     new[digest] = line
             if len(seen) > SEEN_LINES:
                 seen.clear()
             seen.update(new)
-            # Even, so that an entry tells by its lowest bit whether the index has it.
-            ids = np.frombuffer(b"".join(new), "<i8")[::2] & -2
+            # The sign is left for entries: those of the index have none.
+            ids = np.frombuffer(b"".join(new), "<i8")[::2] & ID
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([*new.values()], pa.string())], names=["id", "line"]
+                [pa.array(ids), pa.array([*new.values()], pa.binary()).cast(pa.string())], names=["id", "line"]
             )
 
 
@@ -629,8 +628,7 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
             numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
             owner = np.repeat(np.arange(len(found)), sizes)
             own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
-        entries = ids[owner]
-        entries |= own
+        entries = np.where(own, ids[owner], ids[owner] | ~ID)
         yield pa.RecordBatch.from_arrays(
             [pa.array(numbers.view(np.int64)), pa.array(entries)], names=["number", "entry"]
         )
@@ -781,10 +779,9 @@ def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
         near[at] = distances(*_middles(symbols, starts, lengths, x[at], y[at]), MOST_EDITS) <= least[at]
         edits = np.minimum(most_words[x], most_words[y])
         alike = (np.abs(counts[x] - counts[y]) <= edits) & (_apart(spoken, x, y) <= 2 * edits)
-        # Words that differ place by place bound the edits from above.
-        replaced = np.flatnonzero(alike & (counts[x] == counts[y]))
         sure = np.zeros(len(x), bool)
-        sure[replaced] = _replaced(spoken_words, word_starts, counts, x[replaced], y[replaced]) <= edits[replaced]
+        at = np.flatnonzero(alike)
+        sure[at] = _most_edits(spoken_words, word_starts, counts, x[at], y[at]) <= edits[at]
         for k in np.flatnonzero(near | alike).tolist():
             a, b = int(x[k]), int(y[k])
             if tree[a] != tree[b] and (
@@ -802,7 +799,7 @@ def _length_links(lines: list[str], both: np.ndarray) -> pa.RecordBatch:
     return _named(links)
 
 
-BUCKETS = 64
+BUCKETS = 128
 
 
 def _bags(rows: np.ndarray, sizes: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
@@ -822,15 +819,24 @@ def _apart(bags: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _replaced(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many places pairs of equally many words, told apart by their hashes, differ."""
+def _most_edits(words: np.ndarray, starts: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the edits of words of pairs of lines that have words.
+
+    The longer line leaves out one run of words, wherever that is best; then words are replaced place by place.
+    """
     found = np.zeros(len(x), np.int64)
     for low in range(0, len(x), 4096):
         a, b = x[low : low + 4096], y[low : low + 4096]
-        differ = words[ragged(starts[a], counts[a])] != words[ragged(starts[b], counts[b])]
-        so_far = np.append(0, np.cumsum(differ))
-        ends = np.cumsum(counts[a])
-        found[low : low + 4096] = so_far[ends] - so_far[ends - counts[a]]
+        turned = counts[a] > counts[b]
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        n, gap = counts[a], counts[b] - counts[a]
+        own = words[ragged(starts[a], n)]
+        before = (own != words[ragged(starts[b], n)]).astype(np.int64)
+        after = (own != words[ragged(starts[b] + gap, n)]).astype(np.int64)
+        begins = np.cumsum(n) - n
+        change = np.append(0, np.cumsum(before - after))
+        least = np.minimum(change[begins], np.minimum.reduceat(change[1:], begins)) - change[begins]
+        found[low : low + 4096] = gap + np.add.reduceat(after, begins) + least
     return found
 
 
