@@ -39,7 +39,7 @@ from pyspark.sql.types import StructField, StructType
 from returnlens.functions.skew import once_per_key
 from returnlens.llm import quality
 from returnlens.llm.components import components
-from returnlens.llm.shared import gathered, grouped_runs, plain, ragged, texts_of, whole_groups, written
+from returnlens.llm.shared import gathered, grouped_runs, plain, ragged, released, texts_of, whole_groups, written
 
 THRESHOLD = 2
 LEAST_CHARS = 20
@@ -48,8 +48,8 @@ SEEN_LINES = 400_000
 SENT_ROWS = 20_000
 KEY_BYTES = 1 << 19
 PAIRS = 1 << 15
-HELD_BYTES = 4 << 20
-POWERS_KEPT = 1 << 22
+HELD_BYTES = 1 << 20
+POWERS_KEPT = 1 << 20
 
 # Threshold by length.
 EDIT_CHARS = 20  # code points for one edit of characters
@@ -594,6 +594,7 @@ def _filled(columns: str) -> StructType:
     return StructType([StructField(f.name, f.dataType, False) for f in StructType.fromDDL(columns)])
 
 
+@released
 def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
@@ -616,6 +617,7 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
             )
 
 
+@released
 def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in gathered(batches, "line", KEY_BYTES, SENT_ROWS):
         texts = batch.column("line").to_pylist()
@@ -634,6 +636,7 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
         )
 
 
+@released
 def _group_links(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups are compared many at a time, as far as memory and ``PAIRS`` allow: most hold two or three lines."""
     if threshold is None:

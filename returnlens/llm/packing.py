@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from returnlens.llm.bpe import WordRuns
-from returnlens.llm.shared import Runs, slices, split_codes, texts_of
+from returnlens.llm.shared import Runs, released, slices, split_codes, texts_of
 
 CAPACITY = 4096
 OPEN_BINS = 32_768
@@ -97,6 +97,7 @@ def token_pieces(
     return docs.mapInArrow(functools.partial(_pieces, path, capacity), out).withColumnRenamed("key", key)
 
 
+@released
 def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs = _word_level(path)
     for batch in batches:
@@ -159,6 +160,7 @@ def pack(
     return rows.mapInArrow(functools.partial(_placed, length, capacity, open_bins), out)
 
 
+@released
 def _placed(
     length: str, capacity: int, open_bins: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:

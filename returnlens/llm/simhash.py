@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from returnlens.functions.skew import once_per_key
 from returnlens.llm.components import components
-from returnlens.llm.shared import texts_of, written
+from returnlens.llm.shared import release, slices, texts_of, written
 
 BITS = 3
 WORDS = 3
 SEED = 42
+SLICE_BYTES = 1 << 20
 ODD = 0x5555555555555555
 FIELDS = 16  # segments in a half
 
@@ -61,7 +62,10 @@ def fingerprints(text: Column, words: int = WORDS) -> Column:
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = texts_of(batch).cast(pa.large_binary())
-            values = np.fromiter((fingerprint(t, words) for t in texts.to_pylist()), np.uint64, len(texts))
+            parts = (texts.slice(a, b - a).to_pylist() for a, b in slices(texts, SLICE_BYTES))
+            values = np.fromiter((fingerprint(t, words) for part in parts for t in part), np.uint64, len(texts))
+            del batch, texts
+            release()
             yield pa.array(values.view(np.int64))
 
     return found.asNondeterministic()(text)

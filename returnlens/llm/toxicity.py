@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnlens.llm.shared import slices, split_codes, texts_of, written
+from returnlens.llm.shared import release, released, slices, split_codes, texts_of, written
 
 SAMPLE_ROWS = 20_000
 FEATURES = 20_000
@@ -36,7 +36,7 @@ PENALTY = 1.0
 RIDGE = 0.3  # over the number of rows
 STEPS = 300
 BEGINNINGS = (4, 5)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 LEARNED_ROWS = 200  # labelled texts whose features a task holds
 COUNTED = 100_000  # features a task counts before it passes them on
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,6 +116,8 @@ class Classifier:
             for batch in batches:
                 texts = texts_of(batch)
                 found = [self.scores(texts.slice(a, b - a)) for a, b in slices(texts, SLICE_BYTES)]
+                del batch, texts
+                release()
                 yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
         return score.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
@@ -202,6 +204,7 @@ def _chosen_features(texts: DataFrame) -> list[str]:
     return [r.feature for r in chosen.orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()]
 
 
+@released
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -225,6 +228,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield rows()
 
 
+@released
 def _learned_rows(index: dict[str, int], groups, batches) -> Iterator[pa.RecordBatch]:
     """Feature numbers of each text and of its two versions (NULL without any group), and whether it holds a term."""
     pairs = swaps(groups)
