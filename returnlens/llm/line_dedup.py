@@ -7,7 +7,8 @@ threshold allows (those whose shift both the edits before and after the segment
 meet by a hash of length, segment number and content; every meeting is verified by a banded bit-parallel edit
 distance, for many pairs at a time.
 
-Only keys with two lines or more go on, and only for those the texts are fetched. The lines of a key are compared in
+Keys travel many to a row, with others of their part; a part is sorted in one task, with 12 bytes for each line of a
+key. Only keys with two lines or more go on, and only for those the texts are fetched. The lines of a key are compared in
 blocks of at most ``BLOCK`` lines, every pair of blocks in its own group; a group returns links that keep connected
 lines connected, never all pairs. Equal lines are one line from the start, so copies add no work.
 
@@ -47,6 +48,8 @@ BLOCK = 512
 SEEN_LINES = 400_000
 SENT_ROWS = 20_000
 KEY_BYTES = 1 << 19
+SENT_KEYS = 1 << 19
+PARTS = 4  # of keys, for each partition of their shuffle: a task sends a row for each of them at most
 PAIRS = 1 << 15
 HELD_BYTES = 1 << 20
 POWERS_KEPT = 1 << 20
@@ -548,28 +551,19 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
         .repartition("id")
         .distinct()
     )
+    conf = docs.sparkSession.conf
+    shuffled = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    parts = PARTS * int(shuffled or conf.get("spark.sql.shuffle.partitions"))
     entries = lines.mapInArrow(
-        functools.partial(_key_rows, threshold), _filled("number long, entry long")
-    ).repartition("number")
-    mixed = F.xxhash64("entry")
-    crowds = (
-        entries.groupBy("number")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("entry").alias("largest"),
-            F.sum(F.shiftright(mixed, 32)).alias("high"),
-            F.sum(mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
-        )
-        .filter("n > 1 and largest >= 0")
-    )
-    # Of keys with the very same lines one is enough: near copies share many.
-    crowds = (
-        crowds.groupBy("n", "largest", "high", "low")
-        .agg(F.min("number").alias("met"))
-        .select("met", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    met = entries.join(crowds, F.col("number") == F.col("met")).select(
-        "number", (F.col("entry") >= 0).alias("own"), "blocks", F.col("entry").bitwiseAND(ID).alias("line_id")
+        functools.partial(_key_rows, threshold, parts), _filled("part int, numbers binary, entries binary")
+    ).repartition("part")
+    # Of keys with the very same lines one is enough: near copies share many. Such keys have one crowd.
+    met = (
+        entries.sortWithinPartitions("part")
+        .mapInArrow(_crowds, _filled("number long, own boolean, lines long, line_id long"))
+        .repartition("line_id")
+        .distinct()
+        .withColumn("blocks", F.ceil(F.col("lines") / BLOCK).cast("int"))
     )
     placed = met.join(lines, F.col("line_id") == F.col("id")).withColumn(
         "block", F.pmod(F.xxhash64("line"), F.col("blocks").cast("long")).cast("int")
@@ -586,7 +580,9 @@ def line_links(docs: DataFrame, threshold: int | None, least_chars: int) -> Data
 
 
 GROUP = ["number", "low", "high"]
-ID = (1 << 63) - 1  # the bits of an entry that name its line
+KEY_WIDTH = 6  # bytes of a key's number, and of an entry
+ID = (1 << 47) - 1  # the bits of an entry that name its line; lines that share them only meet
+OWN = 1 << 47  # whether it belongs to the index
 
 
 def _filled(columns: str) -> StructType:
@@ -610,7 +606,6 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
             if len(seen) > SEEN_LINES:
                 seen.clear()
             seen.update(new)
-            # The sign is left for entries: those of the index have none.
             ids = np.frombuffer(b"".join(new), "<i8")[::2] & ID
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array([*new.values()], pa.binary()).cast(pa.string())], names=["id", "line"]
@@ -618,7 +613,10 @@ def _distinct_lines(least_chars: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 @released
-def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(threshold: int | None, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of all lines by part, as many to a row as come at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
     for batch in gathered(batches, "line", KEY_BYTES, SENT_ROWS):
         texts = batch.column("line").to_pylist()
         ids = batch.column("id").to_numpy()
@@ -630,10 +628,67 @@ def _key_rows(threshold: int | None, batches: Iterator[pa.RecordBatch]) -> Itera
             numbers = np.fromiter((k for keys in found for k in keys), np.uint64, int(sizes.sum()))
             owner = np.repeat(np.arange(len(found)), sizes)
             own = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= threshold
-        entries = np.where(own, ids[owner], ids[owner] | ~ID)
+        held.append((numbers >> np.uint64(64 - 8 * KEY_WIDTH), np.where(own, ids[owner] | OWN, ids[owner])))
+        count += len(owner)
+        if count >= SENT_KEYS:
+            yield _parted(held, parts)
+            held, count = [], 0
+    if count:
+        yield _parted(held, parts)
+
+
+def _parted(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    numbers, entries = (np.concatenate(x) for x in zip(*held))
+    part = numbers % np.uint64(parts)
+    order = np.argsort(part)
+    part = part[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    offsets = pa.py_buffer((KEY_WIDTH * np.append(starts, len(part))).astype(np.int32))
+    columns = [
+        pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(_narrow(x[order]))])
+        for x in (numbers, entries)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[starts].astype(np.int32)), *columns], names=["part", "numbers", "entries"]
+    )
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The lowest bytes of 64-bit numbers."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_WIDTH])
+
+
+def _wide(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows of ``_narrow`` bytes."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEY_WIDTH)
+    found = np.zeros((len(data), 8), np.uint8)
+    found[:, :KEY_WIDTH] = data
+    return found.view("<u8").ravel()
+
+
+@released
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each key that has two or more, one of them in the index, under a number made from these lines."""
+    for table in grouped_runs(batches, ["part"]):
+        numbers, entries = _wide(table["numbers"]), _wide(table["entries"])
+        order = np.argsort(numbers)
+        numbers = numbers[order]
+        again = numbers[1:] == numbers[:-1]
+        chosen = np.append(again, False)
+        chosen[1:] |= again
+        numbers, entries = numbers[chosen], entries[order[chosen]]
+        if not len(numbers):
+            continue
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        sizes = np.diff(starts, append=len(numbers))
+        own = entries >= OWN
+        crowd = _stirred(np.add.reduceat(_stirred(entries), starts) + sizes.astype(np.uint64))
+        kept = np.repeat(np.logical_or.reduceat(own, starts), sizes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers.view(np.int64)), pa.array(entries)], names=["number", "entry"]
-        )
+            [pa.array(np.repeat(crowd, sizes)[kept].view(np.int64)), pa.array(own[kept]),
+             pa.array(np.repeat(sizes, sizes)[kept]), pa.array((entries & np.uint64(ID))[kept].view(np.int64))],
+            names=["number", "own", "lines", "line_id"],
+        )
 
 
 @released
