@@ -20,12 +20,16 @@ from returnlens.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Rows that travel to Python at once. An executor holds such batches beside its heap, and keeps much of their space.
+BATCH_ROWS = 1000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of the training fold, scores below its threshold.
 
     A row is scored by its text alone: repeated rows and rows without an id stay or go as they would alone.
     """
+    _prepare(spark)
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     score = _free("score", docs)
     scored = docs.withColumn(score, model.column("text"))
@@ -41,7 +45,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat or nearly repeat an earlier one; those that lose all their words go."""
-    queries.prepare(spark)
+    _prepare(spark)
     numbered, row = _numbered(docs)
     # The text is shuffled once: of the old one only its length and whether it has words go along.
     others = [c for c in docs.columns if c.lower() != "text"]
@@ -59,7 +63,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked fingerprints, one row: the first of the smallest id."""
-    queries.prepare(spark)
+    _prepare(spark)
     numbered, row = _numbered(docs)
     # A NULL id comes last.
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(row).alias("number"))
@@ -70,10 +74,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences. Every row has pieces of its own, a NULL text the end id alone."""
-    queries.prepare(spark)
+    _prepare(spark)
     return queries.packed_documents(docs)
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Settings of the session that stages with Python work rely on; fewer rows at once stay as they are."""
+    queries.prepare(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _free(name: str, docs: DataFrame) -> str:
     """The name, lengthened until no column has it."""
     while name.lower() in (c.lower() for c in docs.columns):

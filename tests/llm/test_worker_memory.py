@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
+import corpus_pipeline
 from returnlens.llm import line_dedup, packing, shared, simhash, toxicity
 
 TEXTS = pa.array(["one two three four five six seven", None, "", "eight nine"])
@@ -69,3 +70,15 @@ def test_keys_travel_in_twelve_bytes_and_meet():
     for number, own, lines, line in got:
         groups.setdefault((number, lines), set()).add((line, own))
     assert sorted((n, sorted(g)) for (_, n), g in groups.items()) == sorted((len(c), sorted(set(c))) for c in expected)
+
+
+def test_stages_send_few_rows_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for number, expected in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(name, number)
+            corpus_pipeline._prepare(spark)
+            assert spark.conf.get(name) == expected
+    finally:
+        spark.conf.set(name, before)
