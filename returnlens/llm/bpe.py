@@ -89,8 +89,10 @@ class Merges:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one word after the other, and the number of ids of each."""
         data = [w.encode() for w in words]
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        raw = np.frombuffer(b"".join(data), np.uint8)
+        return self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, len(data)))
+
+    def encode_bytes(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words given as their UTF-8 bytes, one word after the other, and the number of bytes of each."""
         n = len(raw)
         if not n:
             return np.zeros(0, np.int32), lengths
@@ -144,7 +146,7 @@ class Merges:
             rank[n] = NONE
             file(touched)
         alive = symbol[:n] >= 0
-        counts = np.zeros(len(data), np.int64)
+        counts = np.zeros(len(lengths), np.int64)
         counts[lengths > 0] = np.add.reduceat(alive, starts, dtype=np.int64)
         return symbol[:n][alive], counts
 

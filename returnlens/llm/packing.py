@@ -14,22 +14,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from returnlens.llm.bpe import WordRuns
-from returnlens.llm.shared import Runs, released, slices, split_codes, texts_of
+from returnlens.llm.bpe import SEPARATOR, WordRuns
+from returnlens.llm.shared import Runs, bytes_of, released, slices, split_parts, texts_of
 
 CAPACITY = 4096
 OPEN_BINS = 32_768
 END_ID = 1
 CHUNK_BYTES = 8 << 20
 SLICE_BYTES = 3 << 20
-PARTS_AT_ONCE, WORDS_KEPT = 150_000, 200_000
+PARTS_BYTES, WORDS_BYTES = 4 << 20, 1 << 20
+PARTS_AT_ONCE, WORDS_KEPT = 150_000, 400_000
 #: Fixed value: how the vocabulary's pre-tokenizer cuts texts, white space between the matches dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts that bytes alone cut by the pattern: no apostrophe, and nothing beyond ASCII that versions of Unicode tell apart.
+PLAIN = r"\A[\t\n\r -&(-~]*\z"
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = np.array(
+    [SPACE if c.isspace() else LETTER if c.isalpha() else DIGIT if c.isdigit() else OTHER for c in map(chr, range(128))],
+    np.uint8,
+)
 
 
 class OpenBins:
@@ -73,9 +83,96 @@ def normal(text: str) -> str:
     return "σ".join(part.lower() for part in unicodedata.normalize("NFC", text).split("Σ"))
 
 
+class ChunkRuns:
+    """Ids of the distinct parts of a chunk. Pre-tokens are kept up to a number and looked up as arrays of texts."""
+
+    def __init__(self, path: str):
+        self.runs = WordRuns(path, PATTERN, normal)
+        self.names = "|".join(map(regex.escape, self.runs.special))
+        self.kept, self.kept_runs = pa.array([], pa.large_string()), Runs()
+
+    def of(self, parts: pa.Array) -> tuple[Runs, np.ndarray]:
+        """The runs of the parts, and which of them is each part's."""
+        found, order = Runs(), [np.zeros(0, np.int64)]
+        for low, high in slices(parts, PARTS_BYTES):
+            some = parts.slice(low, high - low)
+            easy = _matched(some, PLAIN)
+            if self.names:
+                easy &= ~_matched(some, self.names)
+            alone = ~easy & _matched(some, self.runs.alone)
+            joined = ~easy & ~alone
+            self._extend(found, [cut_plain(some.filter(pa.array(easy))), self._cut(some.filter(pa.array(joined)))])
+            _extend_alone(found, self.runs, some.filter(pa.array(alone)).to_pylist())
+            order += [low + np.flatnonzero(group) for group in (easy, joined, alone)]
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate(order)] = np.arange(len(parts))
+        return found, place
+
+    def _cut(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pre-tokens of parts that the separator does not touch, and their number in each part."""
+        tokens = pa.array(self.runs.find(self.runs.normal(SEPARATOR.join(parts.to_pylist()))), pa.large_string())
+        ends = pc.equal(tokens, SEPARATOR).to_numpy(zero_copy_only=False)
+        return tokens.filter(pa.array(~ends)), np.bincount(np.cumsum(ends)[~ends], minlength=len(parts))
+
+    def _extend(self, found: Runs, cut: list[tuple[pa.Array, np.ndarray]]) -> None:
+        numbers = self._numbers(pa.concat_arrays([words for words, _ in cut]))
+        values, sizes = self.kept_runs.take(numbers)
+        counts = np.concatenate([counts for _, counts in cut])
+        found.extend(values, np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]))
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each pre-token among the kept ones, new ones encoded on the way."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary
+        known = pc.index_in(distinct, value_set=self.kept)
+        if len(self.kept) + known.null_count > WORDS_KEPT:
+            self.kept, self.kept_runs = distinct.slice(0, 0), Runs()
+            known = pc.index_in(distinct, value_set=self.kept)
+        new = known.is_null()
+        fresh = distinct.filter(new)
+        for low, high in slices(fresh, WORDS_BYTES):
+            raw, bounds = bytes_of(fresh.slice(low, high - low))
+            self.kept_runs.extend(*self.runs.merges.encode_bytes(raw, np.diff(bounds)))
+        numbers = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers[new.to_numpy(zero_copy_only=False)] = len(self.kept) + np.arange(len(fresh))
+        self.kept = pa.concat_arrays([self.kept, fresh])
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _matched(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
+def cut_plain(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pre-tokens of parts that ``PLAIN`` matches, one part after the other, and their number in each part.
+
+    They begin where the kind of character changes, at each digit and where a part begins.
+    """
+    raw, bounds = bytes_of(pc.ascii_lower(parts))
+    kinds = KINDS[raw]
+    begins = kinds == DIGIT
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    begins &= kinds != SPACE
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), bounds))
+    shown = kinds != SPACE
+    raw = raw[shown]
+    starts = np.append(np.flatnonzero(begins[shown]), len(raw))
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(raw)), counts
+
+
+def _extend_alone(found: Runs, runs: WordRuns, parts: list[str]) -> None:
+    """The ids of parts that are cut one by one. Of what was encoded only the pre-tokens are kept."""
+    for low in range(0, len(parts), PARTS_AT_ONCE):
+        if len(runs.words) > WORDS_KEPT // 2:
+            runs.words, runs.word_runs = {}, Runs()
+        found.extend(*runs.part_runs.take(runs.numbers(parts[low : low + PARTS_AT_ONCE])))
+        runs.parts, runs.part_runs = {}, Runs()
+
+
 @functools.cache
-def _word_level(path: str) -> WordRuns:
-    return WordRuns(path, PATTERN, normal)
+def _word_level(path: str) -> ChunkRuns:
+    return ChunkRuns(path)
 
 
 def token_pieces(
@@ -106,15 +203,15 @@ def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iter
             yield from _chunk_pieces(runs, capacity, batch.column("key").slice(start, stop - start), texts.slice(start, stop - start))
 
 
-def _chunk_pieces(runs: WordRuns, capacity: int, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+def _chunk_pieces(runs: ChunkRuns, capacity: int, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
     """Each distinct part of a chunk is encoded once; the ids are put together for a slice of texts at a time."""
     # White space separates pre-tokens and is dropped, so texts can be cut at any space.
-    chunk_codes, chunk_bounds, parts = split_codes(texts)
-    known = _part_runs(runs, parts)
+    chunk_codes, chunk_bounds, parts = split_parts(texts)
+    known, place = runs.of(parts)
     for low, high in slices(texts, SLICE_BYTES):
         codes = chunk_codes[chunk_bounds[low] : chunk_bounds[high]]
         bounds = chunk_bounds[low : high + 1] - chunk_bounds[low]
-        ids, lengths = known.take(codes)
+        ids, lengths = known.take(place[codes])
         counts = np.add.reduceat(lengths, bounds[:-1])
         ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4")
         counts = counts + 1
@@ -136,17 +233,6 @@ def _chunk_pieces(runs: WordRuns, capacity: int, keys: pa.Array, texts: pa.Array
         )
 
 
-def _part_runs(runs: WordRuns, parts: list[str]) -> Runs:
-    """The ids of distinct parts. Of what was encoded only the pre-tokens are kept; parts seldom come again."""
-    found = Runs()
-    for low in range(0, len(parts), PARTS_AT_ONCE):
-        if len(runs.words) > WORDS_KEPT:
-            runs.words, runs.word_runs = {}, Runs()
-        found.extend(*runs.part_runs.take(runs.numbers(parts[low : low + PARTS_AT_ONCE])))
-        runs.parts, runs.part_runs = {}, Runs()
-    return found
-
-
 def pack(
     pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 ) -> DataFrame:

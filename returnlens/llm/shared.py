@@ -101,10 +101,26 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, mo
 
 def split_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts cut at each plain space: a code per part, the row bounds, and the distinct parts."""
+    codes, bounds, parts = split_parts(texts)
+    return codes, bounds, parts.to_pylist()
+
+
+def split_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``split_codes`` with the distinct parts as an array."""
     lists = pc.split_pattern(texts, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], coded.dictionary
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts with 64-bit offsets and no NULL, one text after the other, and the bounds of the texts."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

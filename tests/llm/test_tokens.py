@@ -183,6 +183,51 @@ def test_pieces_of_hostile_texts(texts):
     assert all(r.length * 4 == len(r.ids) for r in rows)
 
 
+def pieces_of(texts):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["key", "text"])
+    found = [[] for _ in texts]
+    for batch in packing._pieces(WORDS, 7, iter([rows])):
+        for row in batch.to_pylist():
+            found[row["key"]] += np.frombuffer(row["ids"], "<u4").tolist()
+    return found
+
+
+ascii_letters = st.one_of(st.sampled_from("aaBb  \n\t'st12.,<|>"), st.characters(max_codepoint=127), st.sampled_from("éÉΣ\u0301\u3000中"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(ascii_letters, max_size=30), max_size=5))
+def test_pieces_of_any_texts_are_those_of_the_library(texts):
+    tokenizer = library(WORDS)
+    texts = [*texts, "<|endoftext|>".join(texts), "I'M it's 'tis 12ab3\r\nEnd. <|StartOfText|>"]
+    assert pieces_of(texts) == [[*ids_of(tokenizer, t), 1] for t in texts]
+
+
+def test_pieces_do_not_depend_on_what_workers_keep(monkeypatch):
+    for name, most in {"WORDS_KEPT": 3, "PARTS_BYTES": 9, "WORDS_BYTES": 5, "PARTS_AT_ONCE": 1, "CHUNK_BYTES": 40, "SLICE_BYTES": 9}.items():
+        monkeypatch.setattr(packing, name, most)
+    packing._word_level.cache_clear()
+    tokenizer = library(WORDS)
+    for texts in (["some few words, 12 words", "", None, "été <|endoftext|> some\u3000"], ["few été some", "\n", " "], ["some few"]):
+        assert pieces_of(texts) == [[*ids_of(tokenizer, t), 1] for t in texts]
+    packing._word_level.cache_clear()
+
+
+def test_only_other_than_plain_parts_become_python_texts(monkeypatch):
+    seen, encode = [], packing.normal
+    monkeypatch.setattr(packing, "normal", lambda text: seen.append(text) or encode(text))
+    packing._word_level.cache_clear()
+    tokenizer = library(WORDS)
+    texts = ["Plain words, 12 of them.\nAnd it's été", "plain words"]
+    assert pieces_of(texts) == [[*ids_of(tokenizer, t), 1] for t in texts]
+    assert set("".join(seen).replace(bpe.SEPARATOR, " ").split()) == {"it's", "été"}
+    runs = packing._word_level(WORDS)
+    assert runs.kept_runs.count == len(runs.kept) == len(set(runs.kept.to_pylist()))
+    packing._word_level.cache_clear()
+
+
 def test_packed_sequences_hold_the_ids(spark):
     frame = spark.createDataFrame(
         [(n, bytes([n]) * 4 * n) for n in (1, 2, 3, 5, 7, 8)], "length long, ids binary"
